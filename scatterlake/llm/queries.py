@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scatterlake.llm import lines, simhash, toxicity
+from scatterlake.llm import decontam, lines, simhash, toxicity
 from scatterlake.llm.common import table
 
 
@@ -32,6 +32,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contained_items(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        F.col("__id").alias("doc_id"),
+        F.col("__item").alias("item_id"),
+        F.col("__shared").alias("n_shared"),
+        F.col("__size").alias("n_shingles"),
+    )
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -45,6 +57,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_line_dedup": op4_line_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op10_simhash": op10_simhash,
 }
@@ -69,4 +82,18 @@ WITH line AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id""",
+    "op6_decontamination": r"""
+WITH word AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark
+), shingle AS (
+  SELECT DISTINCT side, id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT side, id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM word WHERE len(w) > 0)
+), item AS (
+  SELECT id, s, count(*) OVER (PARTITION BY id) AS n FROM shingle WHERE side = 'b'
+)
+SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, any_value(i.n) AS n_shingles
+FROM shingle d JOIN item i ON d.s = i.s WHERE d.side = 'd'
+GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(i.n)""",
 }
