@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scatterlake.llm import decontam, lines, packing, simhash, toxicity
+from scatterlake.llm import decontam, knn, lines, packing, simhash, toxicity
 from scatterlake.llm.common import table
 
 
@@ -33,6 +33,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return knn.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
@@ -70,6 +75,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
+    "op8_top_k": op8_top_k,
     "op10_simhash": op10_simhash,
 }
 
@@ -107,4 +113,20 @@ WITH word AS (
 SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, any_value(i.n) AS n_shingles
 FROM shingle d JOIN item i ON d.s = i.s WHERE d.side = 'd'
 GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(i.n)""",
+    "op8_top_k": r"""
+WITH vec AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), part AS (
+  SELECT vec_id, unnest(range(len(v))) AS i, unnest(v) AS x, len(v) AS d FROM vec
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM part q JOIN part c ON q.i = c.i AND q.d = c.d AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id, c.vec_id
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
 }
