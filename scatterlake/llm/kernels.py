@@ -116,8 +116,19 @@ def prefix(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hashes(buf: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, a function of its bytes alone."""
+def span_hashes(buf: np.ndarray, begins: np.ndarray, ends: np.ndarray, each: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each span, a function of its bytes alone. Long buffers go in parts."""
+    if len(buf) > 2 * each and len(begins) > 1:
+        cuts = np.unique(np.searchsorted(begins, np.arange(0, len(buf) + each, each)))
+        parts = [(int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        low = [int(begins[a]) for a, _ in parts]
+        return np.concatenate(
+            [_span_hashes(buf[o : int(ends[b - 1])], begins[a:b] - o, ends[a:b] - o) for o, (a, b) in zip(low, parts, strict=True)]
+        )
+    return _span_hashes(buf, begins, ends)
+
+
+def _span_hashes(buf: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     p = prefix(buf)
     return mix((p[ends] - p[begins]) * powers(len(buf) + 1)[1][begins])
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scatterlake.llm import decontam, knn, lines, packing, simhash, toxicity
+from scatterlake.llm import decontam, knn, lines, packing, passages, simhash, substrings, toxicity
 from scatterlake.llm.common import table
 
 
@@ -23,6 +23,17 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer_path())
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        F.col("__id").alias("doc_id"),
+        F.col("__n_bytes").alias("n_bytes"),
+        F.expr("aggregate(__spans, 0L, (n, x) -> n + x.end - x.start)").alias("n_removed"),
+        F.size("__spans").cast("long").alias("n_spans"),
+        F.sha2("__kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
@@ -47,6 +58,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        F.col("__id").alias("doc_id"),
+        F.col("__n_words").alias("n_words"),
+        F.col("__n_removed").alias("n_removed"),
+        F.sha2("__kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contained_items(
         table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
@@ -72,7 +93,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_line_dedup": op4_line_dedup,
+    "op5_passage_dedup": op5_passage_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_top_k": op8_top_k,
