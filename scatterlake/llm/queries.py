@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scatterlake.llm import decontam, knn, lines, packing, passages, simhash, substrings, toxicity
+from scatterlake.llm import decontam, knn, lines, packing, passages, pii, simhash, substrings, toxicity
 from scatterlake.llm.common import table
 
 
@@ -34,6 +34,17 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.find_personal_data(docs, pii.train(docs))
+    return out.select(
+        "doc_id",
+        *(F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(pii.all_spans(with_added=False), 256).alias("base_sha256"),
+        pii.all_spans(with_added=True).alias("spans"),
+    )
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
@@ -94,6 +105,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_pii": op3_pii,
     "op4_line_dedup": op4_line_dedup,
     "op5_passage_dedup": op5_passage_dedup,
     "op6_decontamination": op6_decontamination,
