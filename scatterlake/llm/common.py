@@ -49,12 +49,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     the work above is done once however often the result is used.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scatterlake/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted by ``release`` like a staged table."""
+    path = f"{shared_dir(spark)}/scatterlake/{label}-{uuid.uuid4().hex}"
+    _staged.append((spark, path))
+    return path
+
+
 def release() -> None:
     """Deletes every staged table; call when no result that reads them is needed."""
     while _staged:

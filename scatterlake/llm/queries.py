@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scatterlake.llm import decontam, knn, lines, packing, passages, pii, simhash, substrings, toxicity
-from scatterlake.llm.common import table
+from scatterlake.llm import decontam, knn, lines, packing, passages, pii, shards, simhash, substrings, toxicity
+from scatterlake.llm.common import scratch_path, table
 
 
 def _tokenizer_path() -> str:
@@ -60,6 +60,22 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+#: Arrivals that the sharding query replays.
+ARRIVALS = 8
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = shards.shard(docs, scratch_path(spark, "shards"), F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
+    return store.read().select(
+        "doc_id",
+        F.regexp_extract(F.input_file_name(), r"/runs/([0-9a-f]+)/", 1).alias("run"),
+        F.regexp_extract(F.input_file_name(), r"/(part-[0-9]+)[^/]*$", 1).alias("shard"),
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
@@ -111,6 +127,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_top_k": op8_top_k,
+    "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
 }
 
