@@ -61,10 +61,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def release() -> None:
-    """Deletes every staged table; call when no result that reads them is needed."""
-    while _staged:
-        spark, path = _staged.pop()
+def staged_paths() -> list[str]:
+    """Paths made by this module that haven't been deleted, oldest first."""
+    return [path for _, path in _staged]
+
+
+def release(paths: list[str] | None = None) -> None:
+    """Deletes staged tables, all by default; call when no result that reads them is needed."""
+    wanted = set(staged_paths() if paths is None else paths)
+    for spark, path in [x for x in _staged if x[1] in wanted]:
+        _staged.remove((spark, path))
         try:
             delete_path(spark, path)
         except Exception:  # the session may be gone at exit

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,6 +136,42 @@ def search(piece: K.Slices, index: Index, words: int) -> Iterator[tuple[int, int
                 yield o, i, shared
 
 
+def item_blocks(items: DataFrame, item_id_col: str, item_text_col: str, words: int, threshold: float, block_bytes: int) -> Iterator[Broadcast]:
+    """Indexes of the items in blocks of about ``block_bytes`` of text, each broadcast by itself."""
+    spark = items.sparkSession
+    wanted = items.select(F.col(item_id_col).alias("i"), F.col(item_text_col).alias("t")).where(F.col("t").isNotNull())
+    blocks = max(1, math.ceil((wanted.agg(F.sum(F.octet_length("t"))).first()[0] or 0) / block_bytes))
+    for block in range(blocks):
+        rows = wanted.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block).collect()
+        yield spark.sparkContext.broadcast(build_index([(r["i"], r["t"]) for r in rows], words, threshold))
+
+
+def without_items(
+    docs: DataFrame,
+    items: DataFrame,
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+    words: int = WORDS,
+    threshold: float = THRESHOLD,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of ``docs`` that hold no item, all columns as they are, as ``contained_items`` finds them."""
+    at = docs.columns.index(text_col)
+    for sent in item_blocks(items, item_id_col, item_text_col, words, threshold, block_bytes):
+
+        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for piece in K.text_slices(batch.column(at)):
+                    for o, _, _ in search(piece, sent.value, words):
+                        clean[piece.rows[o]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
 def contained_items(
     docs: DataFrame,
     items: DataFrame,
@@ -154,15 +191,10 @@ def contained_items(
     ``docs`` without a shuffle. Items or rows without words never match. Null
     ids are kept; repeated rows and items each return their pairs.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__text"))
     id_type, item_type = (d.schema[c].dataType.simpleString() for d, c in ((docs, id_col), (items, item_id_col)))
-    wanted = items.select(F.col(item_id_col).alias("i"), F.col(item_text_col).alias("t")).where(F.col("t").isNotNull())
-    blocks = max(1, math.ceil((wanted.agg(F.sum(F.octet_length("t"))).first()[0] or 0) / block_bytes))
     out = None
-    for block in range(blocks):
-        rows = wanted.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block).collect()
-        sent = spark.sparkContext.broadcast(build_index([(r["i"], r["t"]) for r in rows], words, threshold))
+    for sent in item_blocks(items, item_id_col, item_text_col, words, threshold, block_bytes):
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value

@@ -14,7 +14,7 @@ from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scatterlake.llm.common import parts_for, stage
@@ -55,17 +55,23 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
     return int(np.packbits(majority, bitorder="little").view(np.uint64)[0])
 
 
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(__id, __fp): one row per row of ``docs``; fingerprints as signed longs."""
+    """(__id, __text_hash, __fp): one row per row of ``docs``; fingerprints as signed longs."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
             fps = np.array([fingerprint(t, words) for t in (x.as_py() for x in texts)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["__id", "__fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], ["__id", "__text_hash", "__fp"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("binary").alias("__text"))
-    return source.mapInArrow(compute, "__id long, __fp long")
+    source = docs.select(
+        F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("binary").alias("__text"), text_hash(text_col).alias("__text_hash")
+    )
+    return source.mapInArrow(compute, "__id long, __text_hash long, __fp long")
 
 
 class _Forest:
@@ -180,7 +186,7 @@ def fingerprint_links(distinct_fps: DataFrame, fp_col: str, n_fps: int) -> DataF
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(__id, __fp, __component): the SimHash and near-duplicate class of every row.
+    """(__id, __text_hash, __fp, __class, __component): the SimHash and near-duplicate class of every row.
 
     A-Z are lower-cased, words are runs of anything but ASCII blanks, shingles
     are ``words`` consecutive words with repeats (fewer words: the whole
@@ -199,5 +205,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "__fp", "least", F.coalesce("root", "__fp").alias("root")
     )
     least = labelled.groupBy("root").agg(F.min("least").alias("__component"))
-    classes = labelled.join(least, "root").select("__fp", "__component")
-    return fps.join(classes, "__fp").select("__id", "__fp", "__component")
+    classes = labelled.join(least, "root").select("__fp", F.col("root").alias("__class"), "__component")
+    return fps.join(classes, "__fp").select("__id", "__text_hash", "__fp", "__class", "__component")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """``docs`` with one row of each near-duplicate class: that of the smallest id, null ids last.
+
+    Of rows with the same id the one with the smaller text hash stays, of
+    equal rows one. All columns of the row stay as they are.
+    """
+    classes = stage(near_duplicates(docs, id_col, text_col, words), "classes")
+    first = classes.groupBy("__class").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__text_hash")).alias("k"))
+    chosen = first.select(F.col("k.__id").alias("__kid"), F.col("k.__text_hash").alias("__khash"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__kid")) & (text_hash(text_col) == F.col("__khash"))
+    kept = docs.join(chosen.hint("shuffle_hash"), same, "left_semi")
+    repeated = classes.groupBy("__id", "__text_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    if repeated.isEmpty():
+        return kept
+    # only rows that are equal in id and text can be left double
+    number = Window.partitionBy(F.col(id_col), text_hash(text_col)).orderBy(F.lit(0))
+    return kept.withColumn("__n", F.row_number().over(number)).where(F.col("__n") == 1).drop("__n")
