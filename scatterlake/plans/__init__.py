@@ -6,7 +6,7 @@ import importlib
 
 from scatterlake.plans import registry
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("grid",)
 
 
 def queries():
