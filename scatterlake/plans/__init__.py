@@ -6,7 +6,7 @@ import importlib
 
 from scatterlake.plans import registry
 
-MODULES: tuple[str, ...] = ("grid", "pattern", "integrate", "derive")
+MODULES: tuple[str, ...] = ("grid", "pattern", "integrate", "derive", "ingest")
 
 
 def queries():

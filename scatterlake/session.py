@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +38,23 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``, through Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_own_dir: list[str] = []
+
+
+def work_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all executors share, ``spark.checkpoint.dir``; a local one only if that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not _own_dir:
+            _own_dir.append("file://" + tempfile.mkdtemp(prefix="scatterlake-"))
+        root = _own_dir[0]
+    return f"{root.rstrip('/')}/scatterlake/{label}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: the lineage of an iteration is cut without copies on one machine."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
