@@ -1,0 +1,72 @@
+import re
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from scatterlake.llm import pii
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def passes(kind, text):
+    digits = re.sub("[^0-9]", "", text)
+    return {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in text.split(".")), "card": 14 <= len(digits) <= 19 and luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]
+
+
+def plain(text):
+    spans = [(m.start(), n, m.end()) for n, k in enumerate(PLAIN) for m in re.finditer(PLAIN[k], text or "") if passes(k, m.group())]
+    return ",".join(f"{list(PLAIN)[n]}:{a}:{b}" for a, n, b in sorted(spans))
+
+
+TEXTS = [
+    None, "", "a@b.c_d@e.f.g x@y_z@q.w a@b. @c.d", "1.2.3.4.5.6.7.8 999.1.1.1 00001.2.3.255 1.2.3", "4111 1111 1111 1111 and 1 4111 1111 1111 1111",
+    "+1 (555) 123-4567 0049 30 1234567 +12 +123456789012345678", "é é a.b@c-d.co.uk\n+44 20 7946 0958 😀 x@y.zz", "1" * 5000, "a" * 30000 + "@" + "b" * 20,
+    "1 " * 3000, ".".join(["1"] * 2000), "jürgen@exämple.de", "10.0.0.1 " * 1200, "mail: me@x.org, " * 700,
+]
+
+
+def test_rules_against_plain_patterns(spark):
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, start int")
+    out = pii.find_personal_data(docs, None)
+    assert out.columns[:3] == ["doc_id", "text", "start"]
+    got = {r["doc_id"]: r["s"] for r in out.select("doc_id", pii.all_spans(False).alias("s")).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(TEXTS)}
+
+
+def test_model_adds_what_the_rules_run_past(spark):
+    card = "4111 1111 1111 1111"
+    rows = [(i, f"pay {card} now {i}") for i in range(60)] + [(100 + i, f"order 1234 5678 9012 34{i:02d} x") for i in range(60)]
+    rows += [(900, f"{card} {card}"), (901, "nothing here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.train(docs)
+    assert model is not None
+    out = pii.find_personal_data(docs.where("doc_id >= 900"), model).select("doc_id", pii.all_spans(True).alias("s")).collect()
+    assert {r["doc_id"]: r["s"] for r in out} == {900: "card:0:19,card:20:39", 901: ""}
+    clean = pii.redact(docs.where("doc_id in (0, 900)"), model).orderBy("doc_id").collect()
+    assert [r["text"] for r in clean] == ["pay [card] now 0", "[card] [card]"]
+
+
+def test_trees_and_their_expression_agree(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 5, (400, 3)).astype(float)
+    y = (x[:, 0] > 2) & (x[:, 1] < 3)
+    model = pii.fit(x, y, np.arange(400) % 4 == 0)
+    rows = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").select(model.column(F.col("x")).alias("m")).toPandas()["m"]
+    assert np.allclose(rows.to_numpy(), model.margin(x))
+    assert ((model.margin(x) >= model.threshold) == y).mean() > 0.98
+
+
+def test_nothing_to_learn_from(spark):
+    assert pii.train(spark.createDataFrame([], "doc_id long, text string")) is None
+    assert pii.train(spark.createDataFrame([(1, "no data")], "doc_id long, text string")) is None
