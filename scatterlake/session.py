@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +61,31 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for an application, so that it needn't be installed there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="scatterlake-")) / "scatterlake_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, Path(root.name) / file.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
+def shipping(query):
+    """``query(spark, ...)`` with the package sent ahead."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *args, **kwargs) -> DataFrame:
+        ship(spark)
+        return query(spark, *args, **kwargs)
+
+    return run

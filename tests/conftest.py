@@ -5,11 +5,12 @@ import pytest
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 
-from scatterlake.session import local_session  # noqa: E402
+from scatterlake.session import local_session, ship  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(4, 4)
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     return session
