@@ -39,8 +39,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         number = TaskContext.get().partitionId() << 36
         for batch in batches:
             row, piece, start, size, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = np.append(tokenizer.encode(text.as_py()), end_id).astype("<u4")
+            for i, encoded in enumerate(tokenizer.encode_all(batch.column(1).to_pylist())):
+                ids = np.append(encoded, end_id).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), length)):
                     part = ids[at : at + length]
                     row.append(i)
@@ -219,8 +219,8 @@ def sequences(docs: DataFrame, placed: DataFrame, tokenizer_path: str, id_col: s
         tokenizer = word_tokenizer(tokenizer_path)
         for batch in batches:
             row, number, ids = [], [], []
-            for i, text in enumerate(batch.column(1)):
-                every = np.append(tokenizer.encode(text.as_py()), end_id)
+            for i, encoded in enumerate(tokenizer.encode_all(batch.column(1).to_pylist())):
+                every = np.append(encoded, end_id)
                 for k, at in enumerate(range(0, len(every), length)):
                     row.append(i)
                     number.append(k)

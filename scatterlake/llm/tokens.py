@@ -1,8 +1,9 @@
 """Token ids of whole texts by a public tokenizer file, with a word cache.
 
 The tokenizer splits lower-cased text into words and encodes each word by
-itself, so the ids of a word are looked up once. Texts outside a set of
-characters for which the split is plain go to the tokenizer whole.
+itself, so a word needs encoding once. Words of many texts are cut and looked
+up together by arrays; only words that are new go to the tokenizer. Texts
+outside the characters for which the split is plain go to it whole.
 """
 
 from __future__ import annotations
@@ -11,65 +12,164 @@ import re
 
 import numpy as np
 
-#: Fixed values, after the tokenizer file: its word pattern, restricted to the plain characters.
-PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-įı-ž]*")
-WORD = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ž]+|[0-9]|[^\\sa-zß-öø-ž0-9]+")
+from scatterlake.llm import kernels as K
+
+#: The characters for which the tokenizer file's word pattern amounts to runs of letters,
+#: single digits and runs of other marks. Apostrophes are excluded: they begin contractions.
+PLAIN = re.compile("[\t\n\r -&(-~À-ÖØ-öø-įı-ž]*")
 SPECIAL = "<|"
-MAX_WORDS = 300_000
+MAX_WORDS = 1_000_000
+SLOTS = 1 << 22
+GROUP = 1 << 18
+
+BLANK, LETTER, DIGIT, MARK = 0, 1, 2, 3
+KIND = np.full(256, MARK, np.uint8)
+KIND[[9, 10, 13, 32]] = BLANK
+KIND[ord("0") : ord("9") + 1] = DIGIT
+KIND[ord("a") : ord("z") + 1] = LETTER
+KIND[0x80:] = LETTER
+
+
+class HashNumbers:
+    """64-bit hashes to numbers, open addressing over arrays. Zero is no hash."""
+
+    def __init__(self, slots: int = SLOTS):
+        self.mask = np.uint64(slots - 1)
+        self.hashes = np.zeros(slots, np.uint64)
+        self.numbers = np.zeros(slots, np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for those unknown."""
+        out = np.full(len(h), -1, np.int32)
+        at, slot = np.arange(len(h)), h & self.mask
+        while len(at):
+            held = self.hashes[slot]
+            same = held == h[at]
+            out[at[same]] = self.numbers[slot[same]]
+            more = ~same & (held != 0)
+            at, slot = at[more], (slot[more] + np.uint64(1)) & self.mask
+        return out
+
+    def add(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        """Distinct hashes, none of them known."""
+        slot = h & self.mask
+        while len(h):
+            free = np.flatnonzero(self.hashes[slot] == 0)
+            won = free[np.unique(slot[free], return_index=True)[1]]
+            self.hashes[slot[won]], self.numbers[slot[won]] = h[won], numbers[won]
+            left = np.ones(len(h), bool)
+            left[won] = False
+            h, numbers, slot = h[left], numbers[left], (slot[left] + np.uint64(1)) & self.mask
 
 
 class WordTokenizer:
-    """``encode`` gives int32 ids of a text, the same as the tokenizer's own."""
+    """Gives int32 ids of texts, the same as the tokenizer's own."""
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same vocabulary for words that are cut and lower-cased already
+        self.by_word = Tokenizer.from_file(path)
+        self.by_word.normalizer = None
+        self.by_word.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.max_words = max_words
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.start = np.zeros(1024, np.int64)
-        self.length = np.zeros(1024, np.int64)
-        self.flat = np.zeros(4096, np.int32)
+        self.known = HashNumbers()
+        self.words = 0
+        self.start = np.zeros(1 << 16, np.int64)
+        self.length = np.zeros(1 << 16, np.int64)
+        self.flat = np.zeros(1 << 18, np.int32)
         self.used = 0
 
-    def _learn(self, words: list[str]) -> None:
-        """Encodes unknown words, joined by blanks, in one call."""
-        encoding = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(encoding.ids, np.int32)
-        lengths = np.bincount(np.array(encoding.word_ids, np.int64), minlength=len(words))
-        if len(lengths) != len(words):
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Encodes new words, joined by blanks, in one call."""
+        ids = np.array(self.by_word.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
+        last = np.flatnonzero(self.closes[ids])  # the last token of a word is marked as such
+        if len(last) != len(words):
             raise ValueError("the tokenizer splits words that were taken as whole")
-        at, n = len(self.number), len(words)
+        lengths = np.diff(last, prepend=-1)
+        at, n = self.words, len(words)
         while len(self.start) < at + n:
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
         while len(self.flat) < self.used + len(ids):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
         self.length[at : at + n] = lengths
-        self.start[at : at + n] = self.used + np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        self.start[at : at + n] = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
-        self.number.update(zip(words, range(at, at + n), strict=True))
-
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        if not PLAIN.fullmatch(text) or SPECIAL in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-        words = WORD.findall(text.lower())
-        numbers = list(map(self.number.get, words))
-        if None in numbers:
-            if len(self.number) > self.max_words:
+        self.known.add(hashes, np.arange(at, at + n, dtype=np.int32))
+        self.words += n
+
+    def _numbers(self, buf: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The cache number of each word of the buffer."""
+        h = K.span_hashes(buf, begins, ends)
+        h[h == 0] = 1
+        numbers = self.known.find(h)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            fresh, first = np.unique(h[new], return_index=True)
+            if self.words + len(fresh) > self.max_words:
                 self._clear()
-            self._learn(list(dict.fromkeys(w for w in words if w not in self.number)))
-            numbers = list(map(self.number.__getitem__, words))
-        at = np.array(numbers, np.int64)
-        lengths = self.length[at]
-        ends = np.cumsum(lengths)
-        places = np.repeat(self.start[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
-        return self.flat[places]
+                fresh, first = np.unique(h, return_index=True)
+                new = np.arange(len(h))
+            data = buf.tobytes()
+            where = new[first]
+            self._learn(fresh, [data[a:b].decode() for a, b in zip(begins[where].tolist(), ends[where].tolist(), strict=True)])
+            numbers = self.known.find(h)
+        return numbers
+
+    def _encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts of plain characters: cut, looked up and put together as one buffer."""
+        data = "\n".join(texts).lower().encode()
+        buf = np.frombuffer(data, np.uint8)
+        stops = np.cumsum([len(t.lower().encode()) + 1 for t in texts])
+        kind = KIND[buf]
+        first = np.ones(len(buf), bool)
+        first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        edges = np.append(np.flatnonzero(first), len(buf))
+        begins, ends = edges[:-1], edges[1:]
+        word = kind[begins] != BLANK
+        begins, ends = begins[word], ends[word]
+        numbers = self._numbers(buf, begins, ends)
+        lengths = self.length[numbers]
+        total = np.cumsum(lengths)
+        ids = self.flat[np.repeat(self.start[numbers] - total + lengths, lengths) + np.arange(total[-1] if len(total) else 0)]
+        cuts = np.concatenate(([0], total))[np.searchsorted(begins, stops)]
+        return np.split(ids, cuts[:-1])
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text, in order; null is empty."""
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+        group: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal group, size
+            if group:
+                for i, ids in zip(group, self._encode_plain([texts[i] for i in group]), strict=True):
+                    out[i] = ids
+            group, size = [], 0
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if PLAIN.fullmatch(text) and SPECIAL not in text:
+                group.append(i)
+                size += len(text)
+                if size >= GROUP:
+                    flush()
+            else:
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+        flush()
+        return out
 
 
 _made: dict[str, WordTokenizer] = {}
