@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scatterlake.llm.common import parts_for, stage
+from scatterlake.llm.common import stage
 from scatterlake.llm.tokens import word_tokenizer
 
 LENGTH = 4096
@@ -111,8 +111,31 @@ def handovers(left: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int
     return out
 
 
-def _sweep_ranges(items: DataFrame, gaps: DataFrame, n_rows: int, length: int, rows_each: int) -> DataFrame:
+def cut_ranges(counts: list[tuple[int, int, int]], each: int) -> list[tuple[int, int, int, int]]:
+    """(size, kind, first range, ranges) for (size, kind, rows) in sort order, about ``each`` rows to a range.
+
+    Ranges follow the order; a class with more rows than a range holds is dealt
+    over several.
+    """
+    out, part, held = [], 0, 0
+    for size, kind, rows in counts:
+        if held and held + rows > each:
+            part, held = part + 1, 0
+        share = -(-rows // each)
+        out.append((size, kind, part, share))
+        part, held = part + share - 1, held + rows if share == 1 else each
+    return out
+
+
+def _sweep_ranges(items: DataFrame, gaps: DataFrame, length: int, rows_each: int) -> DataFrame:
+    spark = items.sparkSession
     both = items.select(F.lit(ITEM).alias("kind"), "id", "size").union(gaps.select(F.lit(GAP).alias("kind"), "id", "size"))
+    # at most ``length`` sizes of two kinds: the splitters of the range sort come from exact counts
+    counts = both.groupBy("size", "kind").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("size"), F.desc("kind")).collect()
+    ranges = cut_ranges([tuple(r) for r in counts], rows_each)
+    cuts = F.broadcast(spark.createDataFrame(ranges, "cut long, of int, part int, share int"))
+    dealt = both.join(cuts, (F.col("size") == F.col("cut")) & (F.col("kind") == F.col("of")))
+    dealt = dealt.withColumn("part", (F.col("part") + F.pmod(F.xxhash64("id"), F.col("share"))).cast("int"))
     order = [F.desc("size"), F.desc("kind"), F.asc("id")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +146,8 @@ def _sweep_ranges(items: DataFrame, gaps: DataFrame, n_rows: int, length: int, r
             columns += [pa.array(x, pa.int64()) for x in (ident, size, seq, offset, rank)]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SWEPT.split(", ")])
 
-    sorted_ = both.repartitionByRange(parts_for(n_rows, rows_each), *order).sortWithinPartitions(*order)
+    n = ranges[-1][2] + ranges[-1][3]
+    sorted_ = dealt.repartitionById(n, "part").select("kind", "id", "size").sortWithinPartitions(*order)
     return sorted_.mapInArrow(run, SWEPT)
 
 
@@ -136,29 +160,26 @@ def _match_across(swept: DataFrame, length: int) -> DataFrame:
     spark = swept.sparkSession
     f = F.broadcast(spark.createDataFrame(flows, "to int, first long, n long, source int, top long"))
     s = swept.alias("s")
-    wanted = s.where(F.col("kind") == ITEM).join(
+    given = s.where(F.col("kind") == ITEM).join(
         f, (F.col("part") == F.col("to")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")), "left"
     )
-    wanted = wanted.select(
-        F.col("id").alias("item"), F.col("size").alias("need"), F.col("part").alias("item_part"),
-        F.col("source"), (F.col("top") - 1 - (F.col("rank") - F.col("first"))).alias("place"),
-    )
-    gaps = swept.where(F.col("kind") == GAP).select(
-        F.col("part").alias("gap_part"), F.col("rank").alias("gap_rank"), F.col("id").alias("gap_id"), F.col("size").alias("gap_size")
-    )
-    met = wanted.join(gaps, (F.col("source") == F.col("gap_part")) & (F.col("place") == F.col("gap_rank")), "full")
+    given = given.withColumn("place", F.col("top") - 1 - (F.col("rank") - F.col("first")))
+    wanted = given.where(F.col("source").isNotNull()).select(F.col("id").alias("item"), F.col("size").alias("need"), "source", "place")
+    # gaps that are handed on have the ranks from the last one's down
+    lent = F.broadcast(spark.createDataFrame([(x[3], x[4] - x[2], x[4]) for x in flows], "lender int, low long, high long"))
+    taken = (F.col("part") == F.col("lender")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
+    gaps = s.where(F.col("kind") == GAP).join(lent, taken, "left")
+    offered = gaps.where(F.col("lender").isNotNull()).select("part", F.col("rank").alias("at"), F.col("id").alias("gap"), F.col("size").alias("room"))
+    met = wanted.join(offered, (F.col("source") == F.col("part")) & (F.col("place") == F.col("at")))
     null = F.lit(None).cast("long")
     row = lambda kind, ident, size, seq, offset: F.struct(
-        F.coalesce("item_part", "gap_part").alias("part"), F.lit(kind).alias("kind"), ident.alias("id"),
-        size.alias("size"), seq.alias("seq"), offset.alias("offset"), null.alias("rank"),
-    )
-    item, need, gap, room = (F.col(c) for c in ("item", "need", "gap_id", "gap_size"))
-    rows = (
-        F.when(item.isNull(), F.array(row(GAP, gap, room, null, null)))
-        .when(gap.isNull(), F.array(row(ITEM, item, need, null, null)))
-        .otherwise(F.array(row(PLACED, item, need, gap, F.lit(length) - room), row(LATER, gap, room - need, null, null)))
+        F.lit(kind).alias("kind"), F.col(ident).alias("id"), size.alias("size"), seq.alias("seq"), offset.alias("offset")
     )
-    return swept.where(F.col("rank").isNull()).union(met.select(F.inline(rows)))
+    need, room = F.col("need"), F.col("room")
+    pair = F.array(row(PLACED, "item", need, F.col("gap"), F.lit(length) - room), row(LATER, "gap", room - need, null, null))
+    columns = ["kind", "id", "size", "seq", "offset"]
+    kept = [swept.where(F.col("rank").isNull()), given.where(F.col("source").isNull()), gaps.where(F.col("lender").isNull())]
+    return met.select(F.inline(pair)).union(kept[0].select(*columns)).union(kept[1].select(*columns)).union(kept[2].select(*columns))
 
 
 def place(sizes: DataFrame, length: int = LENGTH, rows_each: int = ROWS_EACH) -> DataFrame:
@@ -178,7 +199,7 @@ def place(sizes: DataFrame, length: int = LENGTH, rows_each: int = ROWS_EACH) ->
             new = -(-total // length)
             fresh = spark.range(opened, opened + new).select("id", F.lit(length).cast("long").alias("size"))
             gaps, n_gaps, opened = gaps.union(fresh), n_gaps + new, opened + new
-        swept = stage(_sweep_ranges(items, gaps, n_items + n_gaps, length, rows_each), "sweep")
+        swept = stage(_sweep_ranges(items, gaps, length, rows_each), "sweep")
         met = _match_across(swept, length)
         state = swept if met is swept else stage(met, "round")
         done.append(state.where(F.col("kind") == PLACED).select("id", "seq", "offset"))
