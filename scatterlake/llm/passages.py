@@ -2,7 +2,7 @@
 
 Recurring passages are confirmed word by word in the exchange of ``repeats``.
 Each block then compiles the passages that it may hold into automata of bounded
-size, over one code point for each word, and streams all its documents through
+size, over a few letters for each word, and streams all its documents through
 them; every hit is checked against the words before it counts.
 """
 
@@ -21,9 +21,10 @@ from scatterlake.llm.substrings import gone_intervals, merge_by_row
 
 ALPHABET = R.Words()
 #: Words of the passages in one automaton.
-SHARD_WORDS = 1_500_000
-#: Code points for words: above the control characters, without the surrogates.
-CODES = 1_100_000
+SHARD_WORDS = 500_000
+#: A word is so many letters, each from an alphabet of its own of 2^LETTER_BITS:
+#: nodes of the automaton have few children, and hits begin and end with words.
+LETTERS, LETTER_BITS = 3, 6
 
 
 def judge(segments: list[bytes], lead: np.ndarray, doc: np.ndarray, start: np.ndarray, alphabet: R.Words = ALPHABET) -> np.ndarray:
@@ -54,14 +55,14 @@ def judge(segments: list[bytes], lead: np.ndarray, doc: np.ndarray, start: np.nd
 
 
 def word_codes(column: pa.Array) -> list[str]:
-    """Each text as a string with one code point for each word."""
+    """Each text as a string with LETTERS code points for each word."""
     out: list[str] = []
     for piece in K.text_slices(column):
         begins, ends = K.spans(piece.buf, piece.starts)
-        codes = (K.span_hashes(piece.buf, begins, ends) % K.U64(CODES)).astype(np.uint32) + np.uint32(0x100)
-        codes[codes >= 0xD800] += np.uint32(0x800)
-        cuts = np.searchsorted(begins, piece.starts)
-        every = codes.astype("<u4").tobytes().decode("utf-32-le")
+        h = K.span_hashes(piece.buf, begins, ends)
+        letters = [((h >> K.U64(LETTER_BITS * i)) & K.U64((1 << LETTER_BITS) - 1)) + K.U64(0x100 + (i << LETTER_BITS)) for i in range(LETTERS)]
+        cuts = np.searchsorted(begins, piece.starts) * LETTERS
+        every = np.stack(letters, 1).astype("<u2").tobytes().decode("utf-16-le")
         out += [every[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
     return out
 
@@ -75,7 +76,7 @@ def occurrences(texts: list[bytes], passages: list[bytes], shard_words: int = SH
         return (np.zeros(0, np.int64),) * 3
     patterns = word_codes(pa.array(passages, pa.large_binary()))
     streams = word_codes(pa.array(texts, pa.large_binary()))
-    sizes = np.cumsum([len(p) for p in patterns])
+    sizes = np.cumsum([len(p) // LETTERS for p in patterns])
     shard = sizes // shard_words
     for s in np.unique(shard).tolist():
         by_code = defaultdict(list)
@@ -83,15 +84,16 @@ def occurrences(texts: list[bytes], passages: list[bytes], shard_words: int = SH
             by_code[patterns[i]].append(i)
         automaton = ahocorasick.Automaton()
         for code, same in by_code.items():
-            automaton.add_word(code, (len(code), same))
+            automaton.add_word(code, (len(code) // LETTERS, same))
         automaton.make_automaton()
         for row, stream in enumerate(streams):
             words = None
             for end, (size, same) in automaton.iter(stream):
                 if words is None:
                     words = texts[row].split()
-                at = end - size + 1
-                found = b" ".join(words[at : end + 1])
+                last = end // LETTERS + 1
+                at = last - size
+                found = b" ".join(words[at:last])
                 for i in same:  # more than one only if words share a code
                     if passages[i] == found:
                         rows.append(row)
