@@ -33,7 +33,8 @@ def judge(segments: list[bytes], lead: np.ndarray, doc: np.ndarray, start: np.nd
     grams = defaultdict(list)
     words = [s.split(b" ") for s in segments]
     for i, at in enumerate(lead.tolist()):
-        grams[b" ".join(words[i][at : at + alphabet.k])].append(i)
+        if at != R.ALONE:
+            grams[b" ".join(words[i][at : at + alphabet.k])].append(i)
     w = alphabet.window
     for members in grams.values():
         if len(members) == 1:
@@ -102,7 +103,7 @@ def occurrences(texts: list[bytes], passages: list[bytes], shard_words: int = SH
     return np.array(rows, np.int64), np.array(first, np.int64), np.array(number, np.int64)
 
 
-def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, block_bytes: int = R.BLOCK_BYTES) -> DataFrame:
+def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, block_bytes: int = R.BLOCK_BYTES, hot_blocks: int = R.HOT_BLOCKS) -> DataFrame:
     """(__id, __kept, __n_words, __n_removed, __spans): every row without the words of earlier passages.
 
     Words are runs of anything but ASCII blanks, unchanged. A word goes if a
@@ -150,4 +151,4 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
 
     schema = "__id long, __kept string, __n_words long, __n_removed long, __spans array<struct<start: long, end: long>>"
-    return R.exchange(docs, id_col, text_col, alphabet, judged, apply, schema, block_bytes)
+    return R.exchange(docs, id_col, text_col, alphabet, judged, apply, schema, block_bytes, hot_blocks)

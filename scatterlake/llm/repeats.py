@@ -11,9 +11,11 @@ at equal places. Four steps, none of which ships a window by itself:
    earlier;
 4. blocks apply the verdicts.
 
-Rows move as compressed blobs, one for each pair of block and shard. A passage
-that a third of all rows share costs each block one entry and each shard one
-entry for each block, so no key gathers its occurrences anywhere.
+Rows move as compressed blobs, one for each pair of block and shard. Copies of a
+passage cost each block one entry, however many they are. A minimizer that very
+many blocks hold may stand in as many different surroundings: its windows are
+then reported one by one and dealt by a hash of the whole window, so no shard
+gathers the surroundings of a passage that a third of all rows share.
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ from scatterlake.llm.common import parts_for, text_bytes
 #: UTF-8 bytes of text in one block, and minimizers gathered before they are sent.
 BLOCK_BYTES = 16 << 20
 FLUSH = 4_000_000
+#: A minimizer in so many blocks is dealt by whole windows; the mark of its keys, and the place given for its segments.
+HOT_BLOCKS = 256
+HOT = np.uint64(1 << 63)
+ALONE = -1
 #: Ids that are null come after all others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -96,12 +102,19 @@ class Alphabet:
     def runs(self, column: pa.Array) -> Iterator[Runs]:
         raise NotImplementedError
 
+    def windows(self, text: bytes) -> list[bytes]:
+        """The windows of a run's canonical bytes."""
+        raise NotImplementedError
+
 
 @dataclass(frozen=True)
 class Bytes(Alphabet):
     window: int = 50
     k: int = 18
 
+    def windows(self, text: bytes) -> list[bytes]:
+        return [text[o : o + self.window] for o in range(len(text) - self.window + 1)]
+
     def runs(self, column: pa.Array) -> Iterator[Runs]:
         for piece in K.text_slices(column, overlap=self.window - 1):
             hashes = K.byte_gram_hashes(piece.buf, self.k)
@@ -122,6 +135,10 @@ class Words(Alphabet):
     window: int = 20
     k: int = 6
 
+    def windows(self, text: bytes) -> list[bytes]:
+        words = text.split(b" ")
+        return [b" ".join(words[o : o + self.window]) for o in range(len(words) - self.window + 1)]
+
     def runs(self, column: pa.Array) -> Iterator[Runs]:
         for piece in K.text_slices(column):
             begins, ends = K.spans(piece.buf, piece.starts)
@@ -179,12 +196,13 @@ class Plan:
 
     blocks: int
     buckets: int
+    hot_blocks: int = HOT_BLOCKS
 
     @staticmethod
-    def of(docs: DataFrame, text_col: str, block_bytes: int) -> "Plan":
+    def of(docs: DataFrame, text_col: str, block_bytes: int, hot_blocks: int) -> "Plan":
         spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         n = parts_for(text_bytes(docs, text_col), block_bytes, spread)
-        return Plan(n, n)
+        return Plan(n, n, hot_blocks)
 
 
 def keyed_docs(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> DataFrame:
@@ -239,6 +257,8 @@ def surviving_keys(rows: DataFrame, alphabet: Alphabet, plan: Plan) -> DataFrame
             entries = np.unique(entries[twice])
             block = (entries & K.U64(0xFFFFFFFF)).astype(np.int64)
             entries = (entries >> K.U64(32)) | K.U64(bucket << 32)
+            _, of, blocks = np.unique(entries, return_inverse=True, return_counts=True)
+            entries = np.where(blocks[of] >= plan.hot_blocks, entries | HOT, entries)
             order = np.argsort(block, kind="stable")
             block, entries = block[order], entries[order]
             cuts = np.flatnonzero(np.diff(block, prepend=-1))
@@ -304,6 +324,8 @@ class Block:
 
 def read_block(rows: Iterator[tuple], alphabet: Alphabet, plan: Plan) -> tuple[Block, dict[int, bytes]]:
     """The block of sorted blobs, and the verdicts by bucket that came with them."""
+    from xxhash import xxh64_intdigest
+
     keys, verdicts, ids, texts, parts = [], {}, [], [], []
     known = None
     number: dict[bytes, int] = {}
@@ -315,7 +337,11 @@ def read_block(rows: Iterator[tuple], alphabet: Alphabet, plan: Plan) -> tuple[B
             verdicts[b] = payload
         else:
             if known is None:
-                known = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+                known = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+                hot = (known & HOT) != 0
+                known = known & ~HOT
+                order = np.argsort(known)
+                known, hot = known[order], hot[order]
             some_ids, some_texts = pickle.loads(unsqueeze(payload))
             base = len(ids)
             ids += some_ids
@@ -324,7 +350,22 @@ def read_block(rows: Iterator[tuple], alphabet: Alphabet, plan: Plan) -> tuple[B
                 continue
             for runs in alphabet.runs(pa.array(some_texts, pa.large_binary())):
                 k = gram_keys(runs.gram, plan.buckets)
-                which = np.flatnonzero(known[np.minimum(np.searchsorted(known, k), len(known) - 1)] == k)
+                place = np.minimum(np.searchsorted(known, k), len(known) - 1)
+                alike = known[place] == k
+                lone = np.flatnonzero(alike & hot[place])
+                for j, text in zip(lone.tolist(), runs.texts(lone), strict=True):
+                    windows = alphabet.windows(text)
+                    found = np.empty(len(windows), np.int64)
+                    for o, part in enumerate(windows):
+                        n = number.get(part)
+                        if n is None:
+                            n = number[part] = len(number)
+                            bucket.append(xxh64_intdigest(part) % plan.buckets)
+                            lead.append(ALONE)
+                        found[o] = n
+                    many = len(windows)
+                    parts.append((np.full(many, runs.row[j] + base), runs.first[j] + np.arange(many), np.ones(many, np.int64), found))
+                which = np.flatnonzero(alike & ~hot[place])
                 if not len(which):
                     continue
                 found = np.empty(len(which), np.int64)
@@ -391,6 +432,7 @@ def verdicts(segments: DataFrame, judge: Judge, plan: Plan) -> DataFrame:
 
     ``judge`` gets distinct segments, their minimizer places and their first
     occurrences, and returns a mask of the windows that occur earlier elsewhere.
+    Segments placed ALONE are single windows that no other segment holds.
     """
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,11 +483,11 @@ def union_of(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first[new], last[np.append(np.flatnonzero(new)[1:] - 1, len(last) - 1)]
 
 
-def exchange(docs: DataFrame, id_col: str, text_col: str, alphabet: Alphabet, judge: Judge, apply, schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def exchange(docs: DataFrame, id_col: str, text_col: str, alphabet: Alphabet, judge: Judge, apply, schema: str, block_bytes: int = BLOCK_BYTES, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """``apply(block, order, start, mask)``, batches of ``schema``, over all blocks."""
     from scatterlake.llm.common import stage
 
-    plan = Plan.of(docs, text_col, block_bytes)
+    plan = Plan.of(docs, text_col, block_bytes, hot_blocks)
     rows = keyed_docs(docs, id_col, text_col, plan)
     keys = stage(surviving_keys(rows, alphabet, plan), "repeat-keys")
     given = stage(verdicts(report_segments(keys.union(doc_blobs(rows)), alphabet, plan), judge, plan), "repeat-verdicts")

@@ -24,7 +24,8 @@ def judge(segments: list[bytes], lead: np.ndarray, doc: np.ndarray, start: np.nd
     mask = np.zeros(len(segments), np.uint64)
     grams = defaultdict(list)
     for i, (text, at) in enumerate(zip(segments, lead.tolist(), strict=True)):
-        grams[text[at : at + alphabet.k]].append(i)
+        if at != R.ALONE:
+            grams[text[at : at + alphabet.k]].append(i)
     several = np.array([i for g in grams.values() if len(g) > 1 for i in g], np.int64)
     if not len(several):
         return mask
@@ -63,7 +64,7 @@ def merge_by_row(row: np.ndarray, first: np.ndarray, last: np.ndarray, sizes: np
     return of, a - base[of], b - base[of]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, block_bytes: int = R.BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, block_bytes: int = R.BLOCK_BYTES, hot_blocks: int = R.HOT_BLOCKS) -> DataFrame:
     """(__id, __kept, __n_bytes, __spans): every row without the bytes that an earlier document has.
 
     A byte goes if a string of ``window`` bytes over it also starts in a row
@@ -102,4 +103,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         )
 
     schema = "__id long, __kept binary, __n_bytes long, __spans array<struct<start: long, end: long>>"
-    return R.exchange(docs, id_col, text_col, alphabet, judged, apply, schema, block_bytes)
+    return R.exchange(docs, id_col, text_col, alphabet, judged, apply, schema, block_bytes, hot_blocks)

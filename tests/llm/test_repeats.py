@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -68,16 +69,18 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, b"x", 1) for i, t in rows], "doc_id long, text string, payload binary, block int")
 
 
-def test_bytes_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [256, 2])
+def test_bytes_against_brute_force(spark, hot):
     rows = corpus(1)
-    got = substrings.remove_repeats(frame(spark, rows), block_bytes=2000).collect()
+    got = substrings.remove_repeats(frame(spark, rows), block_bytes=2000, hot_blocks=hot).collect()
     found = sorted(((r["__id"], bytes(r["__kept"]), r["__n_bytes"], len(r["__spans"])) for r in got), key=repr)
     assert found == plain_bytes(rows, 50)
 
 
-def test_words_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [256, 2])
+def test_words_against_brute_force(spark, hot):
     rows = corpus(2)
-    got = passages.remove_passages(frame(spark, rows), block_bytes=2000).collect()
+    got = passages.remove_passages(frame(spark, rows), block_bytes=2000, hot_blocks=hot).collect()
     found = sorted(((r["__id"], r["__kept"], r["__n_words"], r["__n_removed"]) for r in got), key=repr)
     assert found == plain_words(rows, 20)
 
