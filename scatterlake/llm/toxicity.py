@@ -107,8 +107,8 @@ def train(
     scores one half everywhere.
     """
     known = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y"))
-    known = known.where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("i"))).distinct()
-    drawn = known.withColumn("o", F.xxhash64(F.lit(7), F.col("i"))).orderBy("o", "i", "y").limit(max_rows)
+    known = known.where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("i")))
+    drawn = known.withColumn("o", F.xxhash64(F.lit(7), F.col("i"))).orderBy("o", "i", "y").limit(max_rows).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("binary").alias("__t"))
     sample = texts.join(F.broadcast(drawn), F.col("__id") == F.col("i")).select("o", "i", "y", "__t")
 
@@ -121,15 +121,30 @@ def train(
             packed = [np.unique(np.concatenate(x)).astype("<i4").tobytes() if x else b"" for x in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(packed, pa.binary())], ["o", "i", "y", "x"])
 
-    got = sample.mapInArrow(extract, "o long, i long, y int, x binary").toArrow()
-    got = got.sort_by([("o", "ascending"), ("i", "ascending"), ("y", "ascending"), ("x", "ascending")])
-    order = [(y, np.frombuffer(x, "<i4").astype(np.int64)) for y, x in zip(got["y"].to_pylist(), got["x"].to_pylist(), strict=True)]
-    ftrl = Ftrl(settings)
+    got = sample.mapInArrow(extract, "o long, i long, y int, x binary").toArrow().combine_chunks()
     last = 1 << settings.bits
-    order = [(y, np.append(x, last)) for y, x in order if len(x)]
-    for _ in range(settings.epochs):
-        for y, x in order:
-            ftrl.update(x, y)
+    ftrl = Ftrl(settings)
+    if got.num_rows:
+        column = got["x"].chunk(0)
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 4
+        data = column.buffers()[2]
+        flat = np.frombuffer(data, "<i4", ends[-1]) if data is not None else np.zeros(0, "<i4")
+        # a feature's sum of gradients moves by at most one an example: those that
+        # can't pass the L1 bound in all epochs have no weight and are left out
+        seen = np.bincount(flat[ends[0] :], minlength=last)
+        can = seen * settings.epochs > settings.l1
+        keys = [got[c].to_pylist() for c in "oiy"]
+        # rows of one id and label in the order of their features, whatever the partitions
+        order = sorted(range(len(ends) - 1), key=lambda r: (*(k[r] for k in keys), ends[r + 1] - ends[r], flat[ends[r] : ends[r] + 16].tobytes()))
+        examples = []
+        for r in order:
+            x = flat[ends[r] : ends[r + 1]]
+            if len(x):
+                examples.append((keys[2][r], np.append(x[can[x]], last).astype(np.int32)))
+        del got, column, data, flat
+        for _ in range(settings.epochs):
+            for y, x in examples:
+                ftrl.update(x, y)
     every = ftrl.weights(np.arange(last + 1))
     kept = np.flatnonzero(every[:last])
     return Model(kept.astype(np.int32), every[kept].astype(np.float32), float(every[last]), settings)
