@@ -263,8 +263,8 @@ def _scanned(docs: DataFrame, text_col: str) -> DataFrame:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS, max_candidates: int = MAX_CANDIDATES) -> Boosted | None:
     """Trees from the candidates of at most ``max_docs`` rows, drawn by a hash of the id, and at most ``max_candidates`` of them."""
-    ids = docs.select(F.col(id_col).alias("i")).distinct()
-    drawn = ids.orderBy(F.xxhash64(F.lit(3), F.col("i")), "i").limit(max_docs)
+    ids = docs.select(F.col(id_col).alias("i"))
+    drawn = ids.orderBy(F.xxhash64(F.lit(3), F.col("i")), "i").limit(max_docs).distinct()
     some = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(drawn), F.col("__id").eqNullSafe(F.col("i")), "left_semi")
 
     def labelled(kind: str) -> Column:
