@@ -126,8 +126,9 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, wide: int = WIDE) -> list[tu
     longer ones look up the 6,017 variants of each fingerprint, so the work
     stays linear. Nothing is capped.
     """
+    fps = fps.view(np.uint64)  # unsigned order, as the look-ups below need it
     order = np.lexsort((fps, keys))
-    keys, fps = keys[order], fps[order].view(np.uint64)
+    keys, fps = keys[order], fps[order]
     n = len(keys)
     if n < 2:
         return []
