@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scatterlake.llm.common import stage
+
 MIN_CHARS = 40
 MIN_DOCS = 5
 BLANK = " \t\n\x0b\x0c\r"
@@ -66,8 +68,10 @@ def dropped_positions(
         .where(F.col("n_docs") >= min_docs)
         .select("h1", "h2", "keeper")
     )
-    # a line that a third of the rows share makes one hot key: both sides come
-    # straight from their exchange, so adaptive execution can split it
+    # written and read again, the keys reach the join straight from an exchange:
+    # so do the lines, and adaptive execution can split a key that a third of
+    # the rows share, or send the keys to all if they are small
+    common = stage(common, "common-lines")
     hits = (
         rows.select("__id", "__text_hash", F.explode("keyed").alias("k"))
         .select("__id", "__text_hash", "k.*")
