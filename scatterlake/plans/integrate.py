@@ -16,17 +16,13 @@ PIX = f"pix AS (SELECT DISTINCT row, col, CAST(floor(sqrt((row - {CY}) ** 2 + (c
 VALID = "valid AS (SELECT row, col FROM frame WHERE vec_id < 40 GROUP BY row, col HAVING NOT bool_and(counts < 150) AND NOT bool_or(counts > 420))"
 
 
-def some_frames(spark, sf_dir):
-    return frames(spark, sf_dir).where(F.col("vec_id") < 40)
-
-
 def all_pixels(spark, sf_dir):
     return frames(spark, sf_dir).select("row", "col").distinct()
 
 
 @query("valid_mask", f"{FR}, {VALID} SELECT row, col FROM valid")
 def valid_mask(spark, sf_dir):
-    return I.valid_pixels(some_frames(spark, sf_dir), 150, 420)
+    return I.valid_pixels(frames(spark, sf_dir), 150, 420)
 
 
 @query("mask_merge", f"{FR}, {VALID}, o AS (SELECT DISTINCT row, col FROM frame WHERE (row + col) % 2 = 0) SELECT 'both' AS how, * FROM (SELECT * FROM valid INTERSECT SELECT * FROM o) UNION ALL SELECT 'any', * FROM (SELECT * FROM valid UNION SELECT * FROM o)")
@@ -191,7 +187,7 @@ def gauss_blur(spark, sf_dir):
     sigma = 1.5
     half = math.ceil(2 * sigma)
     w = [math.exp(-((o / sigma) ** 2)) for o in range(-half, half + 1)]
-    rows = frames(spark, sf_dir).where(F.col("vec_id") < 50).withColumnRenamed("counts", "v")
+    rows = frames(spark, sf_dir).withColumnRenamed("counts", "v")
     for axis, other in (("row", "col"), ("col", "row")):
         rows = stencil(rows, [axis], ["v"], [(o - half, x / sum(w)) for o, x in enumerate(w)], {axis: (0, 7)}, ["vec_id", other])
     return rounded(rows, ["vec_id", "row", "col"], ["v"], 5)
