@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import scatterlake.plans as plans
+from scatterlake.functions import images as K
 
 IDS = [0, 3, 45, 250, 5000]
 
@@ -49,3 +50,12 @@ def test_gauss_blur_of_every_frame(spark, sf, images):
     want = {(i, r, c): (k @ images[i] @ k.T)[r, c] for i in IDS for r in range(8) for c in range(8)}
     assert got.keys() == want.keys()
     assert all(got[x] == pytest.approx(want[x], abs=2e-5) for x in want)
+
+
+def test_back_projection_and_transform_of_every_frame(spark, sf, images):
+    got = {(r["vec_id"], r["y"], r["x"]): r["v"] for r in run(spark, "fbp", sf)}
+    out = {i: K.filtered_back_projection(images[i], np.arange(8) * 22.5, "hann") for i in IDS}
+    assert got == {(i, y, x): pytest.approx(out[i][y, x]) for i in IDS for y in range(8) for x in range(8)}
+    got = {(r["vec_id"], r["y"], r["x"]): complex(r["re"], r["im"]) for r in run(spark, "fft_blocks", sf)}
+    out = {i: np.fft.fftshift(np.fft.fft2(images[i])) for i in IDS}
+    assert got == {(i, y, x): pytest.approx(out[i][y, x], abs=1e-6) for i in IDS for y in range(8) for x in range(8)}
