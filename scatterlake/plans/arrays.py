@@ -87,7 +87,7 @@ def image_gradient(spark, sf_dir):
 def unbin(spark, sf_dir):
     """Each pixel repeated 2 x 2."""
     cells = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)))
-    rows = frames(spark, sf_dir).where("vec_id < 60").withColumn("o", F.explode(cells))
+    rows = frames(spark, sf_dir).withColumn("o", F.explode(cells))
     return rows.select("vec_id", (F.col("row") * 2 + F.col("o.a")).alias("row"), (F.col("col") * 2 + F.col("o.b")).alias("col"), "counts")
 
 
@@ -128,7 +128,7 @@ def bright_parts(spark, sf_dir):
 
     Frames are bounded, so each is labelled in place by numpy on Arrow batches.
     """
-    bright = frames(spark, sf_dir).where("vec_id < 60 AND counts > 60").groupBy("vec_id").agg(F.collect_list(F.col("row") * 8 + F.col("col")).alias("k"))
+    bright = frames(spark, sf_dir).where("counts > 60").groupBy("vec_id").agg(F.collect_list(F.col("row") * 8 + F.col("col")).alias("k"))
 
     def label(batches):
         for b in batches:

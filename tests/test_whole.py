@@ -59,3 +59,25 @@ def test_back_projection_and_transform_of_every_frame(spark, sf, images):
     got = {(r["vec_id"], r["y"], r["x"]): complex(r["re"], r["im"]) for r in run(spark, "fft_blocks", sf)}
     out = {i: np.fft.fftshift(np.fft.fft2(images[i])) for i in IDS}
     assert got == {(i, y, x): pytest.approx(out[i][y, x], abs=1e-6) for i in IDS for y in range(8) for x in range(8)}
+
+
+def test_unbin_of_every_frame(spark, sf, images):
+    got = {(r["vec_id"], r["row"], r["col"]): r["counts"] for r in run(spark, "unbin", sf)}
+    assert got == {(i, r, c): images[i][r // 2, c // 2] for i in IDS for r in range(16) for c in range(16)}
+
+
+def test_bright_parts_of_every_frame(spark, sf, images):
+    want = []
+    for i in IDS:
+        left, parts = {(r, c) for r in range(8) for c in range(8) if images[i][r, c] > 60}, []
+        while left:
+            todo, part = [min(left)], set()
+            while todo:
+                r, c = todo.pop()
+                if (r, c) in left:
+                    left.remove((r, c))
+                    part.add(r * 8 + c)
+                    todo += [(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)]
+            parts.append((-len(part), min(part)))
+        want += [(i, least, -size) for size, least in sorted(parts)[:2]]
+    assert sorted((r["vec_id"], r["part"], r["size"]) for r in run(spark, "bright_parts", sf)) == sorted(want)
