@@ -81,3 +81,13 @@ def test_bright_parts_of_every_frame(spark, sf, images):
             parts.append((-len(part), min(part)))
         want += [(i, least, -size) for size, least in sorted(parts)[:2]]
     assert sorted((r["vec_id"], r["part"], r["size"]) for r in run(spark, "bright_parts", sf)) == sorted(want)
+
+
+def test_median_and_padding_of_every_frame(spark, sf, images):
+    cells = [(i, r, c) for i in IDS for r in range(8) for c in range(8)]
+    edge = {i: np.pad(images[i], 1, "edge") for i in IDS}
+    got = {(r["vec_id"], r["row"], r["col"]): r["v"] for r in run(spark, "diode_filter", sf)}
+    assert got == {(i, r, c): np.median(edge[i][r : r + 3, c : c + 3]) for i, r, c in cells}
+    wide = {i: np.pad(images[i], ((0, 1), (0, 2)), constant_values=1) for i in IDS}
+    got = {(r["vec_id"], r["row"], r["col"]): r["v"] for r in run(spark, "pad", sf)}
+    assert got == {(i, r, c): wide[i][r, c] for i in IDS for r in range(9) for c in range(10)}
