@@ -210,13 +210,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes, "__fp").select("__id", "__text_hash", "__fp", "__class", "__component")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """``docs`` with one row of each near-duplicate class: that of the smallest id, null ids last.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, classes_of=near_duplicates) -> DataFrame:
+    """``docs`` with one row of each class of ``classes_of``: that of the smallest id, null ids last.
 
     Of rows with the same id the one with the smaller text hash stays, of
     equal rows one. All columns of the row stay as they are.
     """
-    classes = stage(near_duplicates(docs, id_col, text_col, words), "classes")
+    classes = stage(classes_of(docs, id_col, text_col, words), "classes")
     first = classes.groupBy("__class").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__text_hash")).alias("k"))
     chosen = first.select(F.col("k.__id").alias("__kid"), F.col("k.__text_hash").alias("__khash"))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__kid")) & (text_hash(text_col) == F.col("__khash"))
