@@ -69,19 +69,20 @@ def _nearest(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.nd
     return cell, np.linalg.norm(v - p[cell], axis=1)
 
 
-def reachable(query: np.ndarray, pivots: np.ndarray, cells: dict[str, np.ndarray], k: int) -> np.ndarray:
-    """The groups that may hold one of the ``k`` best of ``query`` (itself may be among the members).
+def reachable(query: np.ndarray, pivots: np.ndarray, cells: dict[str, np.ndarray], k: int, own: int = 1) -> np.ndarray:
+    """The groups that may hold one of the ``k`` best of ``query`` (``own`` members at most have its id).
 
     For a member x of group c, |q.x - q.p_c| <= |q| |x - p_c|. The members
-    nearest to their pivots give k + 1 lower bounds, hence a score that the
-    k best reach; a group whose upper bound falls short of it isn't visited.
+    nearest to their pivots give k + own lower bounds, hence a score that the
+    k best others reach (none, if too few are known); a group whose upper bound falls short of it isn't visited.
     """
     q = query.astype(float)
     norm = np.linalg.norm(q)
     middle = pivots[cells["cell"]].astype(float) @ q
     lower = (middle[:, None] - norm * cells["near"]).ravel()  # inf distances: no member
     lower = lower[np.isfinite(lower)]
-    least = np.partition(lower, len(lower) - k - 1)[len(lower) - k - 1] if len(lower) > k else -np.inf
+    spare = len(lower) - k - own
+    least = np.partition(lower, spare)[spare] if spare >= 0 else -np.inf
     slack = 1e-9 * (1 + np.abs(middle) + norm * cells["radius"])  # rounding never loses a group
     return np.flatnonzero(middle + norm * cells["radius"] + slack >= least)
 
@@ -171,6 +172,8 @@ def _top_k_of_dim(spark, data, asked, dim, n, k, max_pivots, block):
         near[i, : len(x)] = x
     cells = {"cell": summary["cell"].to_numpy(), "near": near, "radius": summary["radius"].to_numpy(), "blocks": -(-summary["size"].to_numpy() // block)}
     sent_cells = spark.sparkContext.broadcast(cells)
+    repeated = data.groupBy("id").agg(F.count(F.lit(1)).alias("own")).where(F.col("own") > 1)
+    asked = asked.withColumn("own", F.lit(1).cast("long")) if repeated.isEmpty() else asked.join(repeated, "id", "left").fillna(1, ["own"])
     most = int(cells["blocks"].max())
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +182,8 @@ def _top_k_of_dim(spark, data, asked, dim, n, k, max_pivots, block):
             if not batch.num_rows:
                 continue
             row, cell, part = [], [], []
-            for i, q in enumerate(_matrix(batch.column(2), dim)):
-                for c in reachable(q, sent.value, known, k).tolist():
+            for i, (q, own) in enumerate(zip(_matrix(batch.column(2), dim), batch.column(3).to_pylist(), strict=True)):
+                for c in reachable(q, sent.value, known, k, own).tolist():
                     for b in range(int(known["blocks"][c])):  # large groups lie in several blocks
                         row.append(i)
                         cell.append(int(known["cell"][c]))
@@ -191,7 +194,7 @@ def _top_k_of_dim(spark, data, asked, dim, n, k, max_pivots, block):
                 ["q", "id", "v", "cell", "block"],
             )
 
-    routed = asked.select("q", "id", "v").mapInArrow(route, "q long, id long, v array<bigint>, cell int, block int")
+    routed = asked.select("q", "id", "v", "own").mapInArrow(route, "q long, id long, v array<bigint>, cell int, block int")
     blocks = spark.createDataFrame(
         pd.DataFrame({"c": cells["cell"], "n": cells["blocks"]}), "c int, n long"
     )  # one row for each pivot

@@ -46,3 +46,11 @@ def test_few_and_no_rows(spark):
     assert run(spark, [(1, [1.0]), (2, [0.5])], {1}) == [(1, 1, 2, 1024 * 512)]
     assert run(spark, [(1, [1.0])], {1}) == []
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_repeated_query_ids_over_several_pivots(spark):
+    rng = np.random.default_rng(6)
+    order = [r["id"] for r in spark.range(300).selectExpr("id", "xxhash64(11, id) AS o").orderBy("o").collect()]
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(300) if i != order[2]]
+    rows += [(order[2], [8.0, 0.0, 0.0, 0.0])] * 14  # the third pivot, and more rows than k + 1
+    assert run(spark, rows, {order[2], 5}, block=16, max_pivots=9) == plain(rows, {order[2], 5}, 10)
