@@ -83,7 +83,7 @@ def image_gradient(spark, sf_dir):
     return frames(spark, sf_dir).select("vec_id", "row", "col", ((F.lead("counts").over(w) - F.lag("counts").over(w)) / 2).alias("dx"))
 
 
-@query("unbin", f"{FR} SELECT vec_id, CAST(row * 2 + a.range AS INTEGER) AS row, CAST(col * 2 + b.range AS INTEGER) AS col, counts FROM frame, range(2) a, range(2) b WHERE vec_id < 60")
+@query("unbin", f"{FR} SELECT vec_id, CAST(row * 2 + a.range AS INTEGER) AS row, CAST(col * 2 + b.range AS INTEGER) AS col, counts FROM frame, range(2) a, range(2) b")
 def unbin(spark, sf_dir):
     """Each pixel repeated 2 x 2."""
     cells = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)))
@@ -120,7 +120,7 @@ def patch_add(spark, sf_dir):
     return rows.groupBy("y", "x").agg(F.sum("counts").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-@query("bright_parts", f"""WITH RECURSIVE frame AS ({FRAME_SQL}), b AS (SELECT vec_id, row, col FROM frame WHERE vec_id < 60 AND counts > 60),
+@query("bright_parts", f"""WITH RECURSIVE frame AS ({FRAME_SQL}), b AS (SELECT vec_id, row, col FROM frame WHERE counts > 60),
 reach AS (SELECT vec_id, row, col, row * 8 + col AS root FROM b UNION SELECT n.vec_id, n.row, n.col, reach.root FROM reach JOIN b n ON n.vec_id = reach.vec_id AND abs(n.row - reach.row) + abs(n.col - reach.col) = 1),
 c AS (SELECT vec_id, row, col, min(root) AS part FROM reach GROUP BY ALL), s AS (SELECT vec_id, part, count(*) AS size FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY size DESC, part) AS p FROM s) SELECT vec_id, CAST(part AS INTEGER) AS part, size FROM r WHERE p <= 2""")
 def bright_parts(spark, sf_dir):

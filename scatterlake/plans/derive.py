@@ -222,7 +222,7 @@ def air_norm(spark, sf_dir):
     return rounded(p.join(F.broadcast(air), "seg").withColumn("i", F.col("i") / F.col("air")), ["vec_id", "r", "seg"], ["i"])
 
 
-@query("diode_filter", f"{PATS}, f AS (SELECT * FROM frame WHERE vec_id < 30), o AS (SELECT a.range - 1 AS dy, b.range - 1 AS dx FROM range(3) a, range(3) b) SELECT t.vec_id, t.row, t.col, round(median(f.counts), 6) AS v FROM f t, o JOIN f ON f.vec_id = t.vec_id AND f.row = greatest(0, least(7, t.row + dy)) AND f.col = greatest(0, least(7, t.col + dx)) GROUP BY ALL")
+@query("diode_filter", f"{PATS}, o AS (SELECT a.range - 1 AS dy, b.range - 1 AS dx FROM range(3) a, range(3) b) SELECT t.vec_id, t.row, t.col, round(median(f.counts), 6) AS v FROM frame t, o JOIN frame f ON f.vec_id = t.vec_id AND f.row = greatest(0, least(7, t.row + dy)) AND f.col = greatest(0, least(7, t.col + dx)) GROUP BY ALL")
 def diode_filter(spark, sf_dir):
     """3 x 3 median with the edge replicated, from each frame's own array."""
     f = frames(spark, sf_dir)
@@ -241,7 +241,7 @@ def sector_avg(spark, sf_dir):
     return rounded(p.groupBy("vec_id", "r", F.expr("CAST(seg div 2 AS INT)").alias("pair")).agg(mean.alias("i")), ["vec_id", "r", "pair"], ["i"])
 
 
-@query("pad", f"{PATS}, e AS (SELECT vec_id, CAST(a.range AS INTEGER) AS row, CAST(b.range AS INTEGER) AS col FROM (SELECT DISTINCT vec_id FROM frame WHERE vec_id < 40), range(9) a, range(10) b) SELECT vec_id, row, col, coalesce(counts, 1) AS v FROM e LEFT JOIN frame USING (vec_id, row, col)")
+@query("pad", f"{PATS}, e AS (SELECT vec_id, CAST(a.range AS INTEGER) AS row, CAST(b.range AS INTEGER) AS col FROM (SELECT DISTINCT vec_id FROM frame), range(9) a, range(10) b) SELECT vec_id, row, col, coalesce(counts, 1) AS v FROM e LEFT JOIN frame USING (vec_id, row, col)")
 def pad(spark, sf_dir):
     """To 9 x 10, the width even, filled with 1."""
     f = frames(spark, sf_dir)

@@ -13,7 +13,7 @@ from scatterlake.sources.standins import FRAME_SQL, frames
 FR = f"WITH frame AS ({FRAME_SQL})"
 CY, CX, SECTORS, RINGS = 3.4, 3.6, 4, 6
 PIX = f"pix AS (SELECT DISTINCT row, col, CAST(floor(sqrt((row - {CY}) ** 2 + (col - {CX}) ** 2)) AS INTEGER) AS ring, CAST(least(3, floor(CASE WHEN atan2(row - {CY}, col - {CX}) < 0 THEN atan2(row - {CY}, col - {CX}) + 2 * pi() ELSE atan2(row - {CY}, col - {CX}) END / (pi() / 2))) AS INTEGER) AS sector FROM frame)"
-VALID = "valid AS (SELECT row, col FROM frame WHERE vec_id < 40 GROUP BY row, col HAVING NOT bool_and(counts < 150) AND NOT bool_or(counts > 420))"
+VALID = "valid AS (SELECT row, col FROM frame GROUP BY row, col HAVING NOT bool_and(counts < 150) AND NOT bool_or(counts > 420))"
 
 
 def all_pixels(spark, sf_dir):
@@ -177,7 +177,7 @@ def crop_pad(spark, sf_dir):
 
 
 @query("gauss_blur", f"""{FR}, k AS (SELECT range - 3 AS o, exp(-(((range - 3) / 1.5e0) ** 2)) / (SELECT sum(exp(-(((range - 3) / 1.5e0) ** 2))) FROM range(7)) AS w FROM range(7))
-SELECT vec_id, CAST(row + a.o AS INTEGER) AS row, CAST(col + b.o AS INTEGER) AS col, round(sum(counts * a.w * b.w), 5) AS v FROM frame, k a, k b WHERE vec_id < 50 AND row + a.o BETWEEN 0 AND 7 AND col + b.o BETWEEN 0 AND 7 GROUP BY ALL""")
+SELECT vec_id, CAST(row + a.o AS INTEGER) AS row, CAST(col + b.o AS INTEGER) AS col, round(sum(counts * a.w * b.w), 5) AS v FROM frame, k a, k b WHERE row + a.o BETWEEN 0 AND 7 AND col + b.o BETWEEN 0 AND 7 GROUP BY ALL""")
 def gauss_blur(spark, sf_dir):
     """exp(-(x / sigma)^2) without a half, radius ceil(2 sigma), one axis at a time."""
     import math
