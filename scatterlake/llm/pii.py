@@ -1,17 +1,20 @@
 """Personal data: format rules, and candidate spans picked by boosted trees.
 
-Native: every text is scanned by column expressions only. High-recall
-generators propose spans that may overlap; boosted trees over format and
-context features score them; a threshold calibrated on held-out candidates
-selects what is added to the spans of the rules.
-
-The trees are fitted on the driver to a bounded sample of candidates and become
-one CASE expression. Their labels come from the rules: a candidate is positive
-if it overlaps a span that the rules accept for its kind.
+Native: every text is scanned by column expressions only. The rules give the
+base spans. High-recall generators propose spans that may overlap; those that
+touch a base span are left out, boosted trees over format and context features
+score the others, and a threshold calibrated for each kind selects what is
+added.
+
+The labels are independent of the rules: examples of known truth, personal data
+and secrets as well as look-alikes (order numbers, versions, digests), are
+planted into stretches of the corpus' own texts. The trees are fitted on the
+driver to a bounded number of them and become one CASE expression.
 """
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,127 +38,139 @@ RULES = {
 #: A text without this holds no span of the kind.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
-#: High-recall proposals: other alphabets, spans inside longer runs of digits, other prefixes.
-GENERATORS = {
-    "email": r"[^\s@<>()\[\],;:\"']{1,64}+@[^\s@<>()\[\],;:\"']{1,255}+",
-    "ip": r"(?<![0-9])[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}",
-    "card": r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){2}[\x20-]?[0-9]{2,7}(?![0-9])",
-    "phone": r"(?:\+|(?<![0-9])00)[1-9][0-9]{0,2}(?:[\x20().-]{0,2}[0-9]){7,14}(?![0-9])",
+#: Kinds of added spans, in the order of the output; secrets are never found by a rule.
+ADDED_KINDS = (*KINDS, "secret")
+#: High-recall proposals, (kind, pattern, what a text must match to be scanned): other
+#: alphabets and spellings, spans inside longer runs of digits, other prefixes, tokens.
+GENERATORS = (
+    ("email", r"[^\s@<>()\[\],;:\x22\x27]{1,64}+@[^\s@<>()\[\],;:\x22\x27]{1,255}+", "@"),
+    ("email", r"(?i)[\p{L}\p{N}._%+-]{1,64}+ ?[(\[{] ?at ?[)\]}] ?[\p{L}\p{N}-]{1,63}+(?:(?:\.| ?[(\[{] ?dot ?[)\]}] ?)[\p{L}\p{N}-]{1,63}+){1,4}+", r"(?i)[(\[{] ?at ?[)\]}]"),
+    ("ip", r"(?<![0-9.])[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}", r"[0-9]\.[0-9]"),
+    ("ip", r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{0,4}+(?::{1,2}+[0-9A-Fa-f]{1,4}+){2,7}+(?![0-9A-Za-z:])", r":[0-9A-Fa-f]{1,4}:"),
+    ("card", r"(?<![0-9])[0-9]{4}(?:[\x20.-]?[0-9]{4}){2}[\x20.-]?[0-9]{2,7}(?![0-9])", "[0-9]{4}"),
+    ("card", r"(?<![0-9])3[47][0-9]{2}[\x20.-]?[0-9]{6}[\x20.-]?[0-9]{5}(?![0-9])", "3[47][0-9]{2}"),
+    ("phone", r"(?:\+|(?<![0-9])00)[1-9][0-9]{0,2}(?:[\x20().-]{0,2}[0-9]){7,14}(?![0-9])", r"\+|00[1-9]"),
+    ("phone", r"(?<![0-9+(.-])(?:\([0-9]{2,5}\)|[0-9]{2,5})[\x20./-]{1,2}[0-9]{3,4}[\x20./-]?[0-9]{3,5}(?![0-9])", r"[0-9][)]?[\x20./-]{1,2}[0-9]{3}"),
+    ("secret", r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{16,256}+(?![A-Za-z0-9_/+-])", "[0-9]"),
+    ("secret", r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)[\x22\x27]?\s?[=:]\s?[\x22\x27]?[^\s\x22\x27,;]{6,128}+", r"[dtnyDTNY][\x22\x27]?\s?[=:]"),
+)
+#: A text without this has no candidate of any generator.
+ANY = r"[0-9@]|[(\[{] ?[aA][tT] ?[)\]}]|[dtnyDTNY][\x22\x27]?\s?[=:]"
+#: Words before a span that speak of personal data or of a secret, and words that speak of something else.
+CUES = {
+    "email": "(?i)(?:e-?mail|mail|contact|write|kontakt|correo|courriel|adresse)",
+    "ip": "(?i)(?:\\bip|address|host|server|adresse|login from)",
+    "card": "(?i)(?:card|visa|credit|paid|karte|tarjeta|carte)",
+    "phone": "(?i)(?:tel|phone|call|fax|mobile|kontakt|numero)",
+    "secret": "(?i)(?:password|passwd|pwd|secret|token|key|credential|auth|bearer)",
 }
-#: Words before a span that speak of personal data.
-CUES = "(?i)(?:e-?mail|mail|tel|phone|call|fax|mobile|contact|card|visa|ip|address|kontakt|telefon|tarjeta|carte|correo|adresse)"
+OTHER = "(?i)(?:order|invoice|version|release|build|commit|isbn|article|part|file|image|serial|batch|ratio|time|total|id|sha|md5|chapter)"
+KNOWN_SECRET = r"^(?:AKIA[A-Z0-9]{16}|ASIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk[-_][A-Za-z0-9_-]{16,}|xox[abp]-.{10,}|AIza[A-Za-z0-9_-]{20,}|glpat-[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{16,})"
+ASSIGNED = r"(?i)^(?:password|passwd|pwd|secret|token|api[_-]?key)[\x22\x27]?\s?[=:]"
 NEAR = 24
-FOUND = "array<struct<start:int,end:int,text:string>>"
+FOUND = "array<struct<start:int,`end`:int,text:string>>"
+ADDED = "array<struct<start:int,`end`:int,kind:int>>"
+CANDIDATES = "array<struct<start:int,`end`:int,kind:int,x:array<double>>>"
 CHUNK = 512
 
-#: Bounds of the training sample.
+#: Bounds of the training sample: stretches of texts, and planted examples.
 MAX_DOCS = 2_000
-MAX_CANDIDATES = 20_000
+MAX_CANDIDATES = 8_000
+STRETCH = 60
 PRECISION = 0.99
-FEATURES = ("is_email", "is_ip", "is_card", "is_phone", "n_chars", "n_digits", "n_marks", "valid", "prefix", "open_left", "open_right", "cue")
+FEATURES = (
+    "is_email", "is_ip", "is_card", "is_phone", "is_secret", "n_chars", "n_digits", "n_upper", "n_lower", "n_marks", "n_distinct",
+    "valid", "prefix", "open_left", "open_right", "cue", "other",
+)
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _quoted(pattern: str) -> str:
+    """A pattern as a raw SQL literal; quotes in patterns are written by their codes."""
+    if "'" in pattern:
+        raise ValueError("write a quote as \\x27")
+    return f"r'{pattern}'"
 
 
-def _last(column: Column) -> Column:
-    return F.get(column, F.size(column) - 1)
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def located(text: Column, pattern: str) -> Column:
+# Expressions over texts are put together as SQL: they are long, and each call to the JVM for a column costs a millisecond.
+def located(text: str, pattern: str) -> str:
     """array<struct<start, end, text>> of the matches from left to right, in code points.
 
     What ``split`` leaves between the matches gives their places. Running
     totals are taken in chunks, so that thousands of matches in one text do
     not make it quadratic.
     """
-    steps = F.filter(
-        F.zip_with(
-            F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-            lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("text")),
-        ),
-        lambda x: x["text"].isNotNull(),
-    )
-    zero = F.expr(f"named_struct('at', 0, 'out', CAST(array() AS {FOUND}))")
-
-    def add(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["text"])
-        found = F.struct(start.alias("start"), end.alias("end"), x["text"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
-
-    def chunked(s):
-        count = F.greatest(F.ceil(F.size(s) / CHUNK).cast("int") - 1, F.lit(0))
-        return F.transform(F.sequence(F.lit(0), count), lambda c: F.aggregate(F.slice(s, c * CHUNK + 1, CHUNK), zero, add))
-
-    def placed(parts):
-        bases = F.aggregate(
-            parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(_last(acc) + p["at"]))
-        )
-        shifted = F.zip_with(
-            parts, bases,
-            lambda p, base: F.transform(p["out"], lambda x: F.struct((x["start"] + base).alias("start"), (x["end"] + base).alias("end"), x["text"].alias("text"))),
-        )
-        return F.flatten(F.filter(shifted, lambda x: x.isNotNull()))
-
-    return let(let(steps, chunked), placed)
-
-
-def _digits(text: Column) -> Column:
-    return F.regexp_replace(text, "[^0-9]", "")
-
-
-def _luhn(digits: Column) -> Column:
-    def term(i):
-        d = F.substr(digits, F.length(digits) - i + 1, F.lit(1)).cast("int")
-        return F.when(i % 2 == 1, d).otherwise(F.when(d > 4, d * 2 - 9).otherwise(d * 2))
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda acc, i: acc + term(i)) % 10 == 0
-
-
-def valid(kind: str, text: Column) -> Column:
+    p = _quoted(pattern)
+    steps = f"filter(zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (gap, m) -> named_struct('gap', length(gap), 'text', m)), x -> x.text IS NOT NULL)"
+    found = "named_struct('start', acc.at + x.gap, 'end', acc.at + x.gap + length(x.text), 'text', x.text)"
+    total = f"""aggregate(slice(s, c * {CHUNK} + 1, {CHUNK}), named_struct('at', 0, 'out', CAST(array() AS {FOUND})),
+        (acc, x) -> named_struct('at', acc.at + x.gap + length(x.text), 'out', concat(acc.out, array({found}))))"""
+    chunks = f"transform(sequence(0, greatest(CAST(ceil(size(s) / {CHUNK}) AS INT) - 1, 0)), c -> {total})"
+    bases = "aggregate(parts, array(0), (acc, p) -> concat(acc, array(element_at(acc, -1) + p.at)))"
+    moved = "transform(p.out, x -> named_struct('start', x.start + base, 'end', x.`end` + base, 'text', x.text))"
+    placed = f"flatten(filter(zip_with(parts, {bases}, (p, base) -> {moved}), x -> x IS NOT NULL))"
+    return _let(_let(steps, "s", chunks), "parts", placed)
+
+
+def valid(kind: str, text: str) -> str:
     """Whether a match of the rule's pattern passes the rule."""
     if kind == "email":
-        return F.lit(True)
+        return "true"
     if kind == "ip":
-        part = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-        return text.rlike(rf"^{part}\.{part}\.{part}\.{part}$".replace("0*+", "0*"))
-    n = F.length(_digits(text))
+        part = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+        return f"{text} rlike " + _quoted(rf"^{part}\.{part}\.{part}\.{part}$")
+    digits = f"regexp_replace({text}, '[^0-9]', '')"
     if kind == "card":
-        return F.when((n >= 14) & (n <= 19), let(_digits(text), _luhn)).otherwise(F.lit(False))
-    return (n >= 10) & (n <= 15)
+        d = "CAST(substr(d, length(d) - i + 1, 1) AS INT)"
+        luhn = f"aggregate(sequence(1, length(d)), 0, (acc, i) -> acc + CASE WHEN i % 2 = 1 THEN {d} WHEN {d} > 4 THEN {d} * 2 - 9 ELSE {d} * 2 END) % 10 = 0"
+        return f"CASE WHEN length({digits}) BETWEEN 14 AND 19 THEN {_let(digits, 'd', luhn)} ELSE false END"
+    return f"length({digits}) BETWEEN 10 AND 15"
 
 
-def rule_spans(text: Column, kind: str) -> Column:
+def rule_spans(text: str, kind: str) -> str:
     """The spans that the rules accept, array<struct<start, end, text>>."""
-    found = F.filter(located(text, RULES[kind]), lambda x: valid(kind, x["text"]))
-    if NEEDS[kind]:
-        found = F.when(F.contains(text, F.lit(NEEDS[kind])), found)
-    else:
-        found = F.when(text.rlike("[0-9]"), found)
-    return F.coalesce(found, F.expr(f"CAST(array() AS {FOUND})"))
-
-
-def candidates(text: Column, kind: str) -> Column:
-    """The generator's spans with their features as doubles, in the order of FEATURES."""
-    found = F.when(F.contains(text, F.lit("@")) if kind == "email" else text.rlike("[0-9]{4}|[0-9][.]"), located(text, GENERATORS[kind]))
-
-    def describe(x):
-        span = x["text"]
-        before = F.substr(text, F.greatest(x["start"] - NEAR + 1, F.lit(1)), F.least(x["start"], F.lit(NEAR)))
-        after = F.substr(text, x["end"] + 1, F.lit(1))
-        passes = valid(kind, span) if kind != "email" else span.rlike(r"^[^@]+@[^@.]+(?:\.[^@.]+)*\.[A-Za-z]{2,}$")
-        values = [
-            *(F.lit(float(kind == k)) for k in KINDS),
-            F.length(span), F.length(_digits(span)), F.length(F.regexp_replace(span, r"[\p{L}\p{N}]", "")), passes,
-            span.rlike(r"^(?:\+|00)"), before.rlike(r"[\p{L}\p{N}]$"), after.rlike(r"^[\p{L}\p{N}]"), before.rlike(CUES),
-        ]
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.array(*(v.cast("double") for v in values)).alias("x"))
+    needed = f"contains({text}, '{NEEDS[kind]}')" if NEEDS[kind] else f"{text} rlike '[0-9]'"
+    return f"coalesce(CASE WHEN {needed} THEN filter({located(text, RULES[kind])}, x -> {valid(kind, 'x.text')}) END, CAST(array() AS {FOUND}))"
+
 
-    empty = F.expr("CAST(array() AS array<struct<start:int,end:int,x:array<double>>>)")
-    return F.coalesce(F.transform(found, describe), empty)
+def _passes(kind: str, span: str) -> str:
+    """Whether a candidate has the checkable form of its kind."""
+    if kind == "email":
+        return f"{span} rlike " + _quoted(r"(?i)^[^@]+(?:@| ?[(\[{] ?at ?[)\]}] ?)[^@]+(?:\.| ?[(\[{] ?dot ?[)\]}] ?)[\p{L}]{2,}$")
+    if kind == "ip":
+        return f"({valid('ip', span)} OR {span} rlike '^(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}$' OR (contains({span}, '::') AND length({span}) > 6))"
+    if kind == "secret":
+        return f"({span} rlike {_quoted(KNOWN_SECRET)} OR {span} rlike {_quoted(ASSIGNED)})"
+    return valid(kind, span)
+
+
+def candidates(text: str, generator: tuple[str, str, str], ruled: str) -> str:
+    """The generator's spans outside ``ruled`` as CANDIDATES, their features in the order of FEATURES."""
+    kind, pattern, needs = generator
+    fresh = f"x.start < x.`end` AND NOT exists({ruled}, r -> r.start < x.`end` AND x.start < r.`end`)"
+    counted = lambda other: f"length(regexp_replace(x.text, {_quoted(other)}, ''))"
+    before = f"substr({text}, greatest(x.start - {NEAR - 1}, 1), least(x.start, {NEAR}))"
+    like = lambda what, where: f"{what} rlike {_quoted(where)}"
+    values = [
+        *(str(kind == k) for k in ADDED_KINDS),
+        "length(x.text)", counted("[^0-9]"), counted("[^A-Z]"), counted("[^a-z]"), counted(r"[\p{L}\p{N}]"),
+        "size(array_distinct(split(x.text, '')))", _passes(kind, "x.text"), like("x.text", r"^(?:\+|\(?0)"),
+        like("b", r"[\p{L}\p{N}]$"), like(f"substr({text}, x.`end` + 1, 1)", r"^[\p{L}\p{N}]"), like("b", CUES[kind]), like("b", OTHER),
+    ]
+    x = _let(before, "b", f"array({', '.join(f'CAST({v} AS DOUBLE)' for v in values)})")
+    described = f"named_struct('start', x.start, 'end', x.`end`, 'kind', {ADDED_KINDS.index(kind)}, 'x', {x})"
+    return f"coalesce(CASE WHEN {like(text, needs)} THEN transform(filter({located(text, pattern)}, x -> {fresh}), x -> {described}) END, CAST(array() AS {CANDIDATES}))"
+
+
+def all_candidates(text: str) -> Column:
+    """Those of all generators, outside the spans of the rules, which stand under their reserved names."""
+    ruled = "concat(" + ", ".join(f"transform(`__{k}`, s -> named_struct('start', s.start, 'end', s.`end`))" for k in KINDS) + ")"
+    every = _let(ruled, "ruled", f"concat({', '.join(candidates(text, g, 'ruled') for g in GENERATORS)})")
+    return F.expr(f"coalesce(CASE WHEN {text} rlike {_quoted(ANY)} THEN {every} END, CAST(array() AS {CANDIDATES}))")
 
 
 @dataclass(frozen=True)
@@ -173,20 +188,18 @@ class Split:
 
 @dataclass(frozen=True)
 class Boosted:
-    """A sum of trees, in log odds, and the score from which a candidate is taken."""
+    """A sum of trees, in log odds, and the score from which a candidate of each kind is taken (None: never)."""
 
     base: float
     trees: tuple
-    threshold: float
+    thresholds: tuple
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         return self.base + sum((_predict(t, x) for t in self.trees), np.zeros(len(x)))
 
-    def column(self, x: Column) -> Column:
-        total = F.lit(self.base)
-        for tree in self.trees:
-            total = total + _expression(tree, x)
-        return total
+    def expression(self, x: str) -> str:
+        """The margin as SQL over an array of features."""
+        return " + ".join([f"{self.base!r}D", *(_expression(t, x) for t in self.trees)])
 
 
 def _predict(tree, x: np.ndarray) -> np.ndarray:
@@ -195,10 +208,10 @@ def _predict(tree, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, tree.feature] <= tree.at, _predict(tree.low, x), _predict(tree.high, x))
 
 
-def _expression(tree, x: Column) -> Column:
+def _expression(tree, x: str) -> str:
     if isinstance(tree, Leaf):
-        return F.lit(tree.value)
-    return F.when(F.get(x, F.lit(tree.feature)) <= tree.at, _expression(tree.low, x)).otherwise(_expression(tree.high, x))
+        return f"{tree.value!r}D"
+    return f"CASE WHEN get({x}, {tree.feature}) <= {tree.at!r}D THEN {_expression(tree.low, x)} ELSE {_expression(tree.high, x)} END"
 
 
 def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, least: float, shrink: float):
@@ -223,88 +236,159 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, least: float,
     return Split(f, at, _grow(x[low], g[low], h[low], depth - 1, least, shrink), _grow(x[~low], g[~low], h[~low], depth - 1, least, shrink))
 
 
-def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int = 20, depth: int = 3, precision: float = PRECISION) -> Boosted | None:
-    """Trees from the rows that aren't ``held``, a threshold from those that are.
+def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray, kind: np.ndarray, rounds: int = 30, depth: int = 4, precision: float = PRECISION) -> Boosted:
+    """Trees from the rows that aren't ``held``, for each kind a threshold from those that are.
 
-    The threshold is the least score at which held rows are positive in a share
-    of ``precision``. None if either part lacks positives or negatives.
+    A threshold is the least score at which held rows of the kind are positive
+    in a share of ``precision``; None if there is no such score.
     """
-    for part in (held, ~held):
-        if not y[part].any() or y[part].all():
-            return None
     tx, ty = x[~held], y[~held].astype(float)
-    mean = ty.mean()
+    mean = min(max(ty.mean() if len(ty) else 0.5, 1e-3), 1 - 1e-3)
     base, trees, margin = float(np.log(mean / (1 - mean))), [], np.zeros(len(ty))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-(base + margin)))
         trees.append(_grow(tx, p - ty, p * (1 - p), depth, 1.0, 0.3))
         margin += _predict(trees[-1], tx)
-    model = Boosted(base, tuple(trees), 0.0)
-    score, truth = model.margin(x[held]), y[held]
-    order = np.argsort(-score, kind="stable")
-    right = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
-    last = np.append(score[order][1:] < score[order][:-1], True)  # equal scores go together
-    good = np.flatnonzero((right >= precision) & last)
-    return Boosted(base, tuple(trees), float(score[order][good[-1]])) if len(good) else None
-
-
-def _overlaps(a: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda s: (s["start"] < a["end"]) & (a["start"] < s["end"]))
+    model = Boosted(base, tuple(trees), ())
+    thresholds = []
+    for k in range(len(ADDED_KINDS)):
+        of = held & (kind == k)
+        score, truth = model.margin(x[of]), y[of]
+        order = np.argsort(-score, kind="stable")
+        right = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
+        last = np.append(score[order][1:] < score[order][:-1], True)[: len(order)]  # equal scores go together
+        good = np.flatnonzero((right >= precision) & last)
+        if not len(good):
+            thresholds.append(None)
+            continue
+        # halfway to the next score below, so that rounding in another order of the sums takes the same rows
+        least, below = score[order][good[-1]], score[order][good[-1] + 1 :]
+        thresholds.append(float((least + below[0]) / 2 if len(below) else least - 1e-6))
+    return Boosted(base, tuple(trees), tuple(thresholds))
 
 
 def _tagged(spans: Column, kind: int) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def _scanned(docs: DataFrame, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select("*", *(rule_spans(text, k).alias(f"__{k}") for k in KINDS), *(candidates(text, k).alias(f"__{k}_c") for k in KINDS))
+def _text(column: str) -> str:
+    return f"coalesce(`{column.replace('`', '``')}`, '')"
+
+
+def _ruled(text: str) -> list[Column]:
+    return [F.expr(rule_spans(text, k)).alias(f"__{k}") for k in KINDS]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS, max_candidates: int = MAX_CANDIDATES) -> Boosted | None:
-    """Trees from the candidates of at most ``max_docs`` rows, drawn by a hash of the id, and at most ``max_candidates`` of them."""
-    ids = docs.select(F.col(id_col).alias("i"))
-    drawn = ids.orderBy(F.xxhash64(F.lit(3), F.col("i")), "i").limit(max_docs).distinct()
-    some = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(drawn), F.col("__id").eqNullSafe(F.col("i")), "left_semi")
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+DIGITS = "0123456789"
 
-    def labelled(kind: str) -> Column:
-        mark = lambda c: F.struct(_overlaps(c, F.col(f"__{kind}")).cast("int").alias("y"), c["start"].alias("s"), c["x"].alias("x"))
-        return F.transform(f"__{kind}_c", mark)
 
-    rows = _scanned(some, "__t").select("__id", F.explode(F.concat(*map(labelled, KINDS))).alias("c")).select("__id", "c.*")
-    rows = rows.withColumn("o", F.xxhash64(F.lit(5), F.col("__id"), F.col("s"), F.col("x")))
-    got = rows.orderBy("o", "__id", "s").limit(max_candidates).select("o", "y", "x").collect()
-    if not got:
-        return None
-    x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got], bool)
-    return fit(x, y, np.array([r["o"] % 4 == 0 for r in got]))
+def planted(rng: random.Random, kind: str) -> tuple[str, str, bool]:
+    """(words before, span, truth): one example of a kind, or a look-alike."""
+    some = lambda letters, low, high=None: "".join(rng.choice(letters) for _ in range(rng.randint(low, high or low)))
+    word = lambda: some(LETTERS, 3, 9)
+    mixed, hexes = LETTERS + LETTERS.upper() + DIGITS, DIGITS + "abcdef"
+    truth = rng.random() < 0.5
+
+    def numbered(n: int, right: bool) -> str:
+        digits = rng.choice("3456") + some(DIGITS, n - 2)
+        total = sum(int(c) * (2 - i % 2) - 9 * (int(c) > 4 and i % 2 == 0) for i, c in enumerate(reversed(digits)))
+        check = -total % 10
+        return digits + str(check if right else (check + rng.randint(1, 9)) % 10)
+
+    if kind == "email":
+        at, dot = rng.choice([(" (at) ", " (dot) "), ("(at)", "."), (" [at] ", " [dot] "), ("[at]", ".")])
+        good = [lambda: f"{word()}.{word()}{at}{word()}{dot}{rng.choice(['org', 'com', 'net', 'de', 'fr', 'es'])}", lambda: f"{word()}ü{word()}@{word()}ä{word()}.{rng.choice(['de', 'com', 'org'])}"]
+        bad = [lambda: f"{some(DIGITS, 1, 2)}@{some(DIGITS, 1, 2)}.{some(DIGITS, 2)}", lambda: f"{word()}@{word()}", lambda: f"{word()}@{some(DIGITS, 1, 3)}", lambda: f"{word()}[at]{some(DIGITS, 1, 2)}.{some(DIGITS, 1, 2)}"]
+        cues, others = ["mail", "e-mail:", "write to", "contact"], ["at", "ratio", "version", "total"]
+    elif kind == "ip":
+        group = lambda: some(hexes, 4)
+        good = [lambda: ":".join(group() for _ in range(8)), lambda: f"{rng.choice(['2001', 'fe80', '2a02'])}:{group()}::{group()}:{group()}"]
+        bad = [lambda: ":".join(f"{rng.randint(0, 59):02d}" for _ in range(3)), lambda: ":".join(some(hexes, 2) for _ in range(6)), lambda: f"{rng.randint(1, 9)}:{rng.randint(1, 9)}:{rng.randint(1, 9)}", lambda: f"{rng.randint(1, 20)}.{rng.randint(0, 30)}.{rng.randint(256, 999)}.{rng.randint(256, 999)}"]
+        cues, others = ["ip", "address", "host", "login from"], ["time", "ratio", "version", "build"]
+    elif kind == "card":
+        mark = rng.choice([".", " ", "-", ""])
+        cut = lambda d: mark.join(d[i : i + 4] for i in range(0, len(d), 4))
+        # the neighbouring digits keep the rule from a match
+        run = lambda d: f"{some(DIGITS, 1)} {d}" if mark != "." else d
+        good = [lambda: run(cut(numbered(16, True)))]
+        bad = [lambda: cut(numbered(16, False)), lambda: run(cut(numbered(16, False))), lambda: f"20{some(DIGITS, 12)}"]
+        cues, others = ["card", "visa", "paid with", "credit"], ["order", "invoice", "serial", "batch"]
+    elif kind == "phone":
+        good = [lambda: f"00{rng.randint(1, 99)} {rng.randint(10, 999)} {some(DIGITS, 6, 8)}", lambda: f"({rng.randint(200, 999)}) {some(DIGITS, 3)}-{some(DIGITS, 4)}", lambda: f"{rng.randint(200, 999)}-{some(DIGITS, 3)}-{some(DIGITS, 4)}", lambda: f"0{some(DIGITS, 2, 4)}/{some(DIGITS, 3)}{some(DIGITS, 3, 5)}"]
+        bad = [lambda: f"{rng.randint(10, 99)} {some(DIGITS, 3)} {some(DIGITS, 3)}", lambda: f"{rng.randint(1000, 9999)}-{some(DIGITS, 4)}{some(DIGITS, 3)}", lambda: f"{rng.randint(10, 99)}.{some(DIGITS, 3)}.{some(DIGITS, 3)}", lambda: f"19{some(DIGITS, 2)}-{some(DIGITS, 4)} {some(DIGITS, 3)}"]
+        cues, others = ["call", "phone", "tel.", "fax:"], ["total", "isbn", "article", "part"]
+    else:
+        good = [
+            lambda: "AKIA" + some(LETTERS.upper() + DIGITS, 16), lambda: "ghp_" + some(mixed, 36), lambda: "sk-" + some(mixed, 32, 48),
+            lambda: f"{rng.choice(['password', 'secret', 'token', 'api_key'])}{rng.choice(['=', ': '])}{some(mixed, 5, 20)}{some(DIGITS, 1, 3)}", lambda: some(mixed, 30, 40) + some(DIGITS, 1),
+        ]
+        bad = [
+            lambda: f"{word()}_{word()}_{some(DIGITS, 1, 4)}_{word()}", lambda: f"{word()}-{word()}-20{some(DIGITS, 2)}-{some(DIGITS, 2)}-{some(DIGITS, 2)}", lambda: f"IMG_20{some(DIGITS, 6)}_{some(DIGITS, 6)}",
+            lambda: f"{rng.choice(['password', 'secret', 'token'])}: {word()}{word()}", lambda: some(hexes, 40), lambda: f"{some(hexes, 8)}-{some(hexes, 4)}-{some(hexes, 4)}-{some(hexes, 12)}",
+            lambda: some(DIGITS, 16, 24), lambda: f"{word()}{word()}{word()}{some(DIGITS, 1, 2)}",
+        ]
+        cues, others = ["key", "token", "credential", "auth"], ["commit", "file", "image", "sha"]
+    span = rng.choice(good if truth else bad)()
+    drawn = rng.random()
+    before = rng.choice(cues if truth else others) if drawn < 0.4 else rng.choice(others if truth else cues) if drawn < 0.45 else ""
+    return before, span, truth
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS, max_candidates: int = MAX_CANDIDATES, seed: int = 3) -> Boosted:
+    """Trees from ``max_candidates`` planted examples in stretches of at most ``max_docs`` texts, drawn by a hash of the row.
+
+    A stretch has at most 2 x STRETCH code points, whatever the text's length.
+    Null and empty texts give empty stretches. No rows: examples stand alone.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    order = F.xxhash64(F.lit(seed), F.col(id_col), text)
+    middle = F.pmod(order, F.greatest(F.length(text) - 2 * STRETCH, F.lit(1)).cast("long")).cast("int")
+    drawn = docs.select(order.alias("o"), F.substr(text, middle + 1, F.lit(2 * STRETCH)).alias("t"))
+    around = [r["t"] for r in drawn.orderBy("o", "t").limit(max_docs).collect()] or [""]
+    rng, rows = random.Random(seed), []
+    for n in range(max_candidates):
+        kind = n % len(ADDED_KINDS)
+        before, span, truth = planted(rng, ADDED_KINDS[kind])
+        stretch = rng.choice(around)
+        left = f"{stretch[:STRETCH].rsplit(' ', 1)[0]} {before} ".replace("  ", " ")
+        rows.append((n, kind, truth, len(left), len(left) + len(span), f"{left}{span} {stretch[STRETCH:].partition(' ')[2]}"))
+    examples = docs.sparkSession.createDataFrame(rows, "n int, kind int, truth boolean, a int, b int, t string")
+    met = examples.select("*", *_ruled("t")).select("n", "kind", "truth", "a", "b", F.explode(all_candidates("t")).alias("c"))
+    met = met.where((F.col("c.start") < F.col("b")) & (F.col("a") < F.col("c.end")))
+    got = met.select("n", "kind", "truth", F.col("c.kind").alias("k"), F.col("c.x").alias("x")).toPandas()
+    got = got.assign(x=got["x"].map(tuple)).sort_values(["n", "k", "x"])
+    x = np.array(got["x"].to_list()).reshape(-1, len(FEATURES))
+    k = got["k"].to_numpy(np.int64)
+    # a candidate of another kind than the plant's is none of that kind
+    y = got["truth"].to_numpy(bool) & (k == got["kind"].to_numpy())
+    return fit(x, y, got["n"].to_numpy() % 4 == 0, k)
 
 
 def find_personal_data(docs: DataFrame, model: Boosted | None, text_col: str = "text") -> DataFrame:
     """``docs`` with __email, __ip, __card, __phone (spans of the rules) and __added.
 
     Spans are array<struct<start, end, text>>, in code points, end exclusive;
-    __added is array<struct<start, end, kind>>: the candidates that the model
-    takes and that overlap no span of the rules, in order. Without a model
-    nothing is added. Null and empty texts have no spans. All columns stay.
+    __added is array<struct<start, end, kind>>, kinds numbered as in
+    ADDED_KINDS: the candidates that the model takes, in order, outside the
+    spans of the rules and of each other (the first of a place stays). Without
+    a model nothing is added.
+
+    Null and empty texts have no spans. Repeated rows and ids each return a
+    row. No rows: no rows. All columns stay; input columns under the five names
+    above, and __candidates, are replaced.
     """
-    rows = _scanned(docs, text_col)
-    none = F.expr("CAST(array() AS array<struct<start:int,end:int,kind:int>>)")
+    docs = docs.drop(*(f"__{k}" for k in KINDS), "__added", "__candidates")
+    text = _text(text_col)
+    rows = docs.select("*", *_ruled(text))
     if model is None:
-        added = none
-    else:
-        ruled = F.concat(*(F.transform(f"__{k}", lambda s: F.struct(s["start"], s["end"])) for k in KINDS))
-        taken = [
-            _tagged(F.filter(f"__{k}_c", lambda c: (c["start"] < c["end"]) & (model.column(c["x"]) >= model.threshold)), n)
-            for n, k in enumerate(KINDS)
-        ]
-        fresh = let(ruled, lambda r: F.filter(F.concat(*taken), lambda c: ~_overlaps(c, r)))
-        # candidates may overlap each other: the first of a place stays
-        added = F.aggregate(
-            F.array_sort(fresh), none,
-            lambda acc, c: F.when((F.size(acc) > 0) & (_last(acc)["end"] > c["start"]), acc).otherwise(F.concat(acc, F.array(c))),
-        )
-    return rows.withColumn("__added", added).drop(*(f"__{k}_c" for k in KINDS))
+        return rows.withColumn("__added", F.expr(f"CAST(array() AS {ADDED})"))
+    rows = rows.withColumn("__candidates", all_candidates(text))
+    least = ", ".join("CAST(NULL AS DOUBLE)" if t is None else f"{t!r}D" for t in model.thresholds)
+    taken = f"transform(filter(__candidates, c -> {model.expression('c.x')} >= get(array({least}), c.kind)), c -> named_struct('start', c.start, 'end', c.`end`, 'kind', c.kind))"
+    apart = "CASE WHEN try_element_at(acc, -1).`end` > c.start THEN acc ELSE concat(acc, array(c)) END"
+    added = F.expr(f"aggregate(array_sort({taken}), CAST(array() AS {ADDED}), (acc, c) -> {apart})")
+    return rows.withColumn("__added", added).drop("__candidates")
 
 
 def all_spans(with_added: bool) -> Column:
@@ -313,7 +397,7 @@ def all_spans(with_added: bool) -> Column:
     if with_added:
         spans.append(F.col("__added"))
     ordered = F.array_sort(F.transform(F.concat(*spans), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    names = F.array(*(F.lit(k) for k in KINDS))
+    names = F.array(*(F.lit(k) for k in ADDED_KINDS))
     line = F.transform(ordered, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"]))
     return F.array_join(line, ",")
 
@@ -322,7 +406,7 @@ def redact(docs: DataFrame, model: Boosted | None, text_col: str = "text") -> Da
     """``docs`` with each span of ``text_col`` replaced by its kind in brackets; where spans overlap, the first."""
     rows = find_personal_data(docs, model, text_col)
     parts = [_tagged(F.col(f"__{k}"), n) for n, k in enumerate(KINDS)]
-    names = F.array(*(F.lit(f"[{k}]") for k in KINDS))
+    names = F.array(*(F.lit(f"[{k}]") for k in ADDED_KINDS))
     text = F.coalesce(F.col(text_col), F.lit(""))
     state = F.expr("named_struct('at', 0, 'out', CAST(array() AS array<string>))")
 

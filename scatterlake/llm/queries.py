@@ -42,6 +42,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS),
         F.sha2(pii.all_spans(with_added=False), 256).alias("base_sha256"),
         pii.all_spans(with_added=True).alias("spans"),
+        (sum((F.size(f"__{k}") for k in pii.KINDS), F.size("__added"))).cast("long").alias("n_spans"),
     )
 
 
