@@ -34,6 +34,10 @@ class HashNumbers:
     """64-bit hashes to numbers, open addressing over arrays. Zero is no hash."""
 
     def __init__(self, slots: int = SLOTS):
+        self.used = 0
+        self._make(slots)
+
+    def _make(self, slots: int) -> None:
         self.mask = np.uint64(slots - 1)
         self.hashes = np.zeros(slots, np.uint64)
         self.numbers = np.zeros(slots, np.int32)
@@ -51,7 +55,12 @@ class HashNumbers:
         return out
 
     def add(self, h: np.ndarray, numbers: np.ndarray) -> None:
-        """Distinct hashes, none of them known."""
+        """Distinct hashes, none of them known. The table doubles before it is half full."""
+        self.used += len(h)
+        if 2 * self.used > len(self.hashes):
+            held = np.flatnonzero(self.hashes)
+            h, numbers = np.concatenate([self.hashes[held], h]), np.concatenate([self.numbers[held], numbers])
+            self._make(1 << (4 * self.used).bit_length())
         slot = h & self.mask
         while len(h):
             free = np.flatnonzero(self.hashes[slot] == 0)
@@ -88,28 +97,56 @@ class WordTokenizer:
         self.length = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.int32)
         self.used = 0
-
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        """Encodes new words, joined by blanks, in one call."""
-        ids = np.array(self.by_word.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
+        self.text_start = np.zeros(1 << 16, np.int64)
+        self.text_length = np.zeros(1 << 16, np.int64)
+        self.text = np.zeros(1 << 18, np.uint8)
+        self.text_used = 0
+
+    def _learn(self, words: list[bytes]) -> np.ndarray:
+        """Encodes new words, joined by blanks, in one call; their numbers."""
+        ids = np.array(self.by_word.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.int32)
         last = np.flatnonzero(self.closes[ids])  # the last token of a word is marked as such
         if len(last) != len(words):
             raise ValueError("the tokenizer splits words that were taken as whole")
         lengths = np.diff(last, prepend=-1)
         at, n = self.words, len(words)
         while len(self.start) < at + n:
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+            self.start, self.length, self.text_start, self.text_length = (
+                np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.text_start, self.text_length)
+            )
+        sizes, data = np.array([len(w) for w in words], np.int64), np.frombuffer(b"".join(words), np.uint8)
+        while len(self.text) < self.text_used + len(data):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        self.text[self.text_used : self.text_used + len(data)] = data
+        self.text_length[at : at + n] = sizes
+        self.text_start[at : at + n] = self.text_used + np.cumsum(sizes) - sizes
+        self.text_used += len(data)
         while len(self.flat) < self.used + len(ids):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
         self.length[at : at + n] = lengths
         self.start[at : at + n] = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
-        self.known.add(hashes, np.arange(at, at + n, dtype=np.int32))
         self.words += n
+        return np.arange(at, at + n, dtype=np.int32)
+
+    def _other(self, buf: np.ndarray, begins: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """The places whose bytes aren't those of the word that the cache gave."""
+        sizes = ends - begins
+        wrong = self.text_length[numbers] != sizes
+        fine = np.flatnonzero(~wrong)
+        sizes = sizes[fine]
+        first = np.cumsum(sizes) - sizes
+        step = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+        differ = buf[np.repeat(begins[fine], sizes) + step] != self.text[np.repeat(self.text_start[numbers[fine]], sizes) + step]
+        if differ.any():
+            wrong[fine[np.unique(np.searchsorted(first, np.flatnonzero(differ), "right") - 1)]] = True
+        return np.flatnonzero(wrong)
 
     def _numbers(self, buf: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The cache number of each word of the buffer."""
+        """The cache number of each word of the buffer. Words are found by hash and compared by their bytes."""
+        data = buf.tobytes()
+        words = lambda where: [data[a:b] for a, b in zip(begins[where].tolist(), ends[where].tolist(), strict=True)]
         h = K.span_hashes(buf, begins, ends)
         h[h == 0] = 1
         numbers = self.known.find(h)
@@ -120,10 +157,14 @@ class WordTokenizer:
                 self._clear()
                 fresh, first = np.unique(h, return_index=True)
                 new = np.arange(len(h))
-            data = buf.tobytes()
-            where = new[first]
-            self._learn(fresh, [data[a:b].decode() for a, b in zip(begins[where].tolist(), ends[where].tolist(), strict=True)])
+            self.known.add(fresh, self._learn(words(new[first])))
             numbers = self.known.find(h)
+        other = self._other(buf, begins, ends, numbers)
+        if len(other):  # another word has the hash: these get numbers of their own, for this buffer alone
+            texts = words(other)
+            distinct = list(dict.fromkeys(texts))
+            number = dict(zip(distinct, self._learn(distinct).tolist(), strict=True))
+            numbers[other] = [number[t] for t in texts]
         return numbers
 
     def _encode_plain(self, texts: list[str]) -> list[np.ndarray]:

@@ -6,7 +6,8 @@ import public_tokenizers
 import pytest
 
 from scatterlake.llm import packing
-from scatterlake.llm.tokens import WordTokenizer
+from scatterlake.llm import kernels as K
+from scatterlake.llm.tokens import HashNumbers, WordTokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -22,6 +23,31 @@ def test_ids_are_the_tokenizers_own():
         assert [x.tolist() for x in mine.encode_all(texts * 2)] == want
 
 
+def test_words_of_one_hash_are_told_apart():
+    """Thue-Morse words collide under every polynomial hash modulo 2^64."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    data = np.frombuffer(f"{a} {b}".encode(), np.uint8)
+    h = K.span_hashes(data, np.array([0, len(a) + 1]), np.array([len(a), 2 * len(a) + 1]))
+    assert h[0] == h[1]
+    mine = WordTokenizer(PATH)
+    texts = [f"x {a} y", f"{b} z {a} {b}", b, a]
+    assert [x.tolist() for x in mine.encode_all(texts)] == [mine.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_table_of_words_grows():
+    table = HashNumbers(8)
+    h = np.arange(1, 1000, dtype=np.uint64) * np.uint64(8)
+    for i in range(0, len(h), 111):
+        table.add(h[i : i + 111], np.arange(i, i + 111, dtype=np.int32))
+    assert table.find(h).tolist() == list(range(999)) and table.find(np.array([3], np.uint64)).tolist() == [-1]
+    mine = WordTokenizer(PATH, max_words=50)
+    mine.known = HashNumbers(8)
+    text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(600))
+    assert mine.encode_all([text])[0].tolist() == mine.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def check(rows, length):
     held = defaultdict(list)
     for r in rows:
