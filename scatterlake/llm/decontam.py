@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scatterlake.llm import kernels as K
 
@@ -192,6 +193,7 @@ def contained_items(
     ids are kept; repeated rows and items each return their pairs.
     """
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__text"))
+    item_arrow = to_arrow_type(items.schema[item_id_col].dataType)
     id_type, item_type = (d.schema[c].dataType.simpleString() for d, c in ((docs, id_col), (items, item_id_col)))
     out = None
     for sent in item_blocks(items, item_id_col, item_text_col, words, threshold, block_bytes):
@@ -206,7 +208,7 @@ def contained_items(
                 ]
                 if got:
                     at, item, shared, size = zip(*got, strict=True)
-                    columns = [batch.column(0).take(pa.array(at)), pa.array(item), pa.array(shared), pa.array(size)]
+                    columns = [batch.column(0).take(pa.array(at)), pa.array(item, item_arrow), pa.array(shared, pa.int64()), pa.array(size, pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, ["__id", "__item", "__shared", "__size"])
 
         found = source.mapInArrow(find, f"__id {id_type}, __item {item_type}, __shared long, __size long")
