@@ -14,15 +14,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     Large: every larger neighbour of a node is hung under the smallest node of
     its neighbourhood. Small: every smaller neighbour, and the node itself.
     Minimum by partial aggregation, then an equi-join: no neighbour list is
-    ever collected, so a node with a third of all links is only a skewed join.
+    ever collected. The minima are written before the join, so that both its
+    sides come straight from an exchange and adaptive execution can split a
+    node with a third of all links.
     """
     if large:
         around = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        least = stage(least, "least")
         out = around.join(least, around["u"] == least["w"]).where(F.col("v") > F.col("u"))
         out = out.select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
+        least = stage(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m"), "least")
         joined = edges.join(least, edges["u"] == least["w"])
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select(F.col("w").alias("u"), F.col("m").alias("v"))
@@ -30,6 +33,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs under one root: none has two, and no root hangs under another."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up")).union(edges.select(F.col("v").alias("n"), F.lit(0).alias("up")))
+    open_ = ends.groupBy("n").agg(F.sum("up").alias("above"), F.min("up").alias("all_up")).where((F.col("above") > 1) | ((F.col("above") > 0) & (F.col("all_up") == 0)))
+    return open_.isEmpty()
+
+
 def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node that has a link; root is the smallest of its component.
 
@@ -38,13 +48,10 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     edges = stage(edges.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))).distinct(), "links")
-    seen = None
     for _ in range(max_rounds):
-        edges = stage(_star(_star(edges, True), False), "star")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
-        if state == seen:
+        if _settled(edges):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
-        seen = state
+        edges = stage(_star(stage(_star(edges, True), "star"), False), "star")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scatterlake.llm.common import parts_for, stage
+from scatterlake.llm.common import fresh_name, parts_for, stage
 from scatterlake.llm.components import components
 
 SEED = 42
@@ -90,6 +90,8 @@ class _Forest:
 
     def join(self, i: np.ndarray, j: np.ndarray) -> None:
         differ = self.root[i] != self.root[j]
+        if not differ.any():
+            return
         for a, b in zip(i[differ].tolist(), j[differ].tolist(), strict=True):
             x, y = self._find(a), self._find(b)
             if x != y:
@@ -205,7 +207,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = distinct.join(roots, distinct["__fp"] == roots["node"], "left").select(
         "__fp", "least", F.coalesce("root", "__fp").alias("root")
     )
-    least = labelled.groupBy("root").agg(F.min("least").alias("__component"))
+    # written, so that the join can split a class that a third of all fingerprints share
+    least = stage(labelled.groupBy("root").agg(F.min("least").alias("__component")), "class-names")
     classes = labelled.join(least, "root").select("__fp", F.col("root").alias("__class"), "__component")
     return fps.join(classes, "__fp").select("__id", "__text_hash", "__fp", "__class", "__component")
 
@@ -226,4 +229,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return kept
     # only rows that are equal in id and text can be left double
     number = Window.partitionBy(F.col(id_col), text_hash(text_col)).orderBy(F.lit(0))
-    return kept.withColumn("__n", F.row_number().over(number)).where(F.col("__n") == 1).drop("__n")
+    n = fresh_name(kept, "__n")
+    return kept.withColumn(n, F.row_number().over(number)).where(F.col(n) == 1).drop(n)

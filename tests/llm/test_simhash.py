@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from scatterlake.llm import simhash
-from scatterlake.llm.components import components
+from scatterlake.llm.common import stage
+from scatterlake.llm.components import _star, components
 
 
 def plain_fingerprint(text):
@@ -83,6 +85,27 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 130)}
 
 
+def test_a_hub_is_split(spark):
+    """A star of 100,000 links: the join of a star step is one that adaptive execution has split."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        links = spark.range(1, 100_001, 1, 8).select(F.lit(0).cast("long").alias("v"), F.col("id").alias("u"))
+        out = _star(stage(links.select("u", "v"), "hub"), True)
+        out.count()
+        plan = out._jdf.queryExecution()
+        out.collect()
+        assert "skew=true" in plan.executedPlan().toString() or "isSkewJoin=true" in plan.executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_near_duplicates_against_brute_force(spark):
     base = " ".join(f"w{i % 37}x{i % 11}" for i in range(300))
     rows = [
