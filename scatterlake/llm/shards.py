@@ -3,7 +3,12 @@
 Arrivals are appended as runs of small parquet shards. Runs of similar size are
 merged, without a shuffle, into files of a target size. Every change is one new
 manifest, written aside and renamed to the next version: readers see a version
-whole or not at all, and of two writers with the same version one fails.
+whole or not at all, and of two writers with the same version one fails, reads
+the other's version and tries again.
+
+The commit needs a file system whose rename is atomic and refuses to overwrite
+(HDFS, a local or network file system, object stores with a real directory
+tree). A plain object store gives neither; keep the manifests elsewhere there.
 """
 
 from __future__ import annotations
@@ -17,8 +22,12 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scatterlake.llm.common import fresh_name
+
 TARGET_BYTES = 128 << 20
 FAN_IN = 4
+#: How often a change is tried anew after another writer has committed.
+TRIES = 20
 
 
 class Conflict(RuntimeError):
@@ -116,17 +125,29 @@ class ShardTable:
     def append_arrivals(self, rows: DataFrame, arrival: Column) -> Manifest:
         """One run and one version for each value of ``arrival``, written in one pass and committed in order."""
         folder = f"runs/{uuid.uuid4().hex}"
-        rows.withColumn("__arrival", arrival.cast("int")).write.partitionBy("__arrival").option("compression", "zstd").parquet(f"{self.root}/{folder}")
+        column = fresh_name(rows, "__arrival")
+        rows.withColumn(column, arrival.cast("int")).write.partitionBy(column).option("compression", "zstd").parquet(f"{self.root}/{folder}")
         by_arrival = defaultdict(list)
         for file, size in self._files(folder):
             name = file.rsplit("/", 2)[1].partition("=")[2]
             by_arrival[int(name) if name.lstrip("-").isdigit() else -1].append((file, size))
-        manifest = self.manifest()
         schema = rows.schema.json()
-        for number in sorted(by_arrival):
-            run = Run(f"{folder}/{number}", tuple(by_arrival[number]))
-            manifest = self.commit(manifest, (*manifest.runs, run), schema)
-        return manifest if by_arrival else self.commit(manifest, manifest.runs, schema)
+        runs = [(Run(f"{folder}/{number}", tuple(by_arrival[number])),) for number in sorted(by_arrival)] or [()]
+        for more in runs:
+            manifest = self._change(lambda old, more=more: (*old.runs, *more), schema)
+        return manifest
+
+    def _change(self, runs_of, schema: str | None = None) -> Manifest | None:
+        """Commits ``runs_of(the last manifest)``, anew after a conflict; nothing if that is None."""
+        for _ in range(TRIES):
+            old = self.manifest()
+            if (runs := runs_of(old)) is None:
+                return None
+            try:
+                return self.commit(old, runs, schema or old.schema)
+            except Conflict:
+                continue
+        raise Conflict(f"{TRIES} tries met other writers")
 
     def tier(self, run: Run) -> int:
         """Runs of one tier differ in size by less than the fan-in."""
@@ -137,10 +158,11 @@ class ShardTable:
 
         A merge reads the shards of its runs and writes files of about the
         target size; partitions are coalesced, so no row is shuffled. A crash
-        before the commit leaves files that no manifest names.
+        before the commit leaves files that no manifest names; so does another
+        writer that has merged one of the runs in the meantime.
         """
-        manifest = self.manifest()
         while True:
+            manifest = self.manifest()
             tiers = defaultdict(list)
             for run in manifest.runs:
                 tiers[self.tier(run)].append(run)
@@ -153,7 +175,13 @@ class ShardTable:
             self._read(merged, manifest.schema).coalesce(files).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
             run = Run(folder, tuple(self._files(folder)))
             gone = {r.name for r in merged}
-            manifest = self.commit(manifest, (*(r for r in manifest.runs if r.name not in gone), run), manifest.schema)
+
+            def swapped(old: Manifest, gone=gone, run=run) -> tuple[Run, ...] | None:
+                if not gone <= {r.name for r in old.runs}:
+                    return None
+                return (*(r for r in old.runs if r.name not in gone), run)
+
+            self._change(swapped)
 
     def vacuum(self, keep: int = 1) -> int:
         """Deletes files and manifests that none of the last ``keep`` versions needs; how many files went."""

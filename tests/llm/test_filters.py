@@ -45,6 +45,8 @@ def test_containment_against_brute_force(spark):
     kept = decontam.without_items(d, b).collect()
     dirty = {(x, t) for x, t in docs if plain_contained([(x, t)], items)}
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted((x for x in docs if x not in dirty), key=repr)
+    narrow = b.where("item_id < 40").withColumn("item_id", b["item_id"].cast("int"))
+    assert sorted(tuple(r)[:2] for r in decontam.contained_items(d.where("doc_id < 60"), narrow).collect()) == sorted(r[:2] for r in plain_contained(docs[:60] + docs[64:65], items[:30]))
     assert decontam.contained_items(d.limit(0), b).count() == 0 and decontam.contained_items(d, b.limit(0)).count() == 0
 
 
@@ -85,6 +87,17 @@ def test_sharding_round_trip(spark):
     assert shards.shard(df.limit(0), scratch_path(spark, "test"), df["__part"]).read().count() == 0
 
 
+def test_sharding_keeps_every_column_and_tries_again_after_a_conflict(spark):
+    df = spark.createDataFrame([(i, i * 2, f"t{i}") for i in range(20)], "doc_id long, __arrival long, text string")
+    store = shards.shard(df, scratch_path(spark, "test"), df["doc_id"] % 3)
+    assert sorted(map(tuple, store.read().collect())) == [(i, i * 2, f"t{i}") for i in range(20)]
+    whole, stale = store.manifest, [store.manifest()]
+    store.append(df.limit(2))
+    store.manifest = lambda version=None: stale.pop() if stale else whole(version)  # the first look is out of date
+    store.append(df.limit(3))
+    assert store.read().count() == 25
+
+
 def test_pipeline_keeps_clean_documents_and_columns(spark, tmp_path):
     rng = random.Random(9)
     docs, labels, items = [], [], [(i, words(rng, 30)) for i in range(5)]
