@@ -1,9 +1,11 @@
 """Exact top-k inner-product search by a Voronoi join.
 
 Vectors are grouped by their nearest pivot. Summaries of the groups (counts,
-radii, the distances of the members nearest to the pivot) bound each query's
-scores from below and above; a query is sent only to the groups that can hold
-one of its k best, and groups are solved locally in blocks of bounded size.
+radii, angles, norms, the distances of the members nearest to the pivot) bound
+each query's scores from below and above; a query is sent only to the groups
+that can hold one of its k best, and groups are solved locally in blocks of
+bounded size. Vectors that lie in clusters are pruned; vectors without any
+structure can't be, by no such bound, and then every query meets every row.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 from scatterlake.llm.common import parts_for, stage
 
 SCALE = 1024
-MAX_PIVOTS = 256
+#: One pivot for each two square roots of the rows, no more than are cheaply sent to all (2,048 of 64 components: 1 MB).
+MAX_PIVOTS = 2048
 #: Vectors in one block of a group, and (query, block) rows in one task.
 BLOCK = 4096
 SAFE = float(1 << 53)
@@ -58,7 +61,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
 def _nearest(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,22 +72,30 @@ def _nearest(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.nd
     return cell, np.linalg.norm(v - p[cell], axis=1)
 
 
-def reachable(query: np.ndarray, pivots: np.ndarray, cells: dict[str, np.ndarray], k: int, own: int = 1) -> np.ndarray:
-    """The groups that may hold one of the ``k`` best of ``query`` (``own`` members at most have its id).
+def reachable(queries: np.ndarray, pivots: np.ndarray, cells: dict[str, np.ndarray], k: int) -> np.ndarray:
+    """(queries, groups): whether a group may hold one of the ``k`` best rows of a query.
 
-    For a member x of group c, |q.x - q.p_c| <= |q| |x - p_c|. The members
-    nearest to their pivots give k + own lower bounds, hence a score that the
-    k best others reach (none, if too few are known); a group whose upper bound falls short of it isn't visited.
+    For a member x of group c, |q.x - q.p_c| <= |q| |x - p_c|, and q.x is at most
+    |q| |x| times the cosine of the least angle that the group's cone leaves.
+    The members nearest to their pivots give k lower bounds, hence a score that
+    the k best reach (none, if too few are known); a group whose upper bound
+    falls short of it isn't visited. ``k`` counts the query's own row, if it has one.
     """
-    q = query.astype(float)
-    norm = np.linalg.norm(q)
-    middle = pivots[cells["cell"]].astype(float) @ q
-    lower = (middle[:, None] - norm * cells["near"]).ravel()  # inf distances: no member
-    lower = lower[np.isfinite(lower)]
-    spare = len(lower) - k - own
-    least = np.partition(lower, spare)[spare] if spare >= 0 else -np.inf
-    slack = 1e-9 * (1 + np.abs(middle) + norm * cells["radius"])  # rounding never loses a group
-    return np.flatnonzero(middle + norm * cells["radius"] + slack >= least)
+    q = queries.astype(float)
+    norm = np.linalg.norm(q, axis=1)[:, None]
+    own = pivots[cells["cell"]].astype(float)
+    middle = q @ own.T
+    lower = (middle[:, :, None] - norm[:, :, None] * cells["near"]).reshape(len(q), -1)  # inf distances: no member
+    lower = np.where(np.isfinite(lower), lower, -np.inf)
+    spare = lower.shape[1] - k
+    least = np.partition(lower, spare, axis=1)[:, spare][:, None] if spare >= 0 else np.full((len(q), 1), -np.inf)
+    length = np.linalg.norm(own, axis=1)
+    scale = norm * length
+    cosine = np.clip(np.divide(middle, scale, out=np.ones_like(middle), where=scale > 0), -1, 1)
+    gap = np.cos(np.maximum(np.arccos(cosine) - np.where(length > 0, cells["angle"], np.pi) - 1e-7, 0))
+    cone = norm * gap * np.where(gap > 0, cells["longest"], cells["shortest"])
+    slack = 1e-9 * (1 + np.abs(middle) + norm * (cells["radius"] + cells["longest"]))  # rounding never loses a group
+    return np.minimum(middle + norm * cells["radius"], cone) + slack >= least
 
 
 def top_k(
@@ -100,15 +111,16 @@ def top_k(
     """(query_id, rank, vec_id, score): the k best rows of ``vectors`` for each row of ``queries``.
 
     Scores are integer inner products of floor(scale * component). A query's
-    own id is no candidate of it; ties go to the smaller id. Rows whose vector
-    is null, or has a null, NaN or infinite component, take no part; vectors
-    meet those of their own length only. A null id takes no part. A repeated
-    id is a candidate once for each row, and, as a query, answered once for
-    each row. Fewer than k candidates: all of them.
+    own row (one of ``vectors`` with its id and its vector) is no candidate of
+    it; ties go to the smaller id. Rows whose vector is null, or has a null, NaN
+    or infinite component, take no part; vectors meet those of their own length
+    only, empty ones at score 0. A null id takes no part. A repeated id is a
+    candidate once for each row, of the other rows of that id as well, and, as
+    a query, answered once for each row. Fewer than k candidates: all of them.
     """
     spark = vectors.sparkSession
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v")).where(
-        F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
+        F.col("id").isNotNull() & F.col("v").isNotNull()
     )
     data = stage(pick(vectors).withColumn("dim", F.size("v")), "vectors")
     asked = pick(queries).withColumn("dim", F.size("v")).withColumn("q", F.monotonically_increasing_id())
@@ -134,67 +146,57 @@ def _top_k_of_dim(spark, data, asked, dim, n, k, max_pivots, block):
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cell, far = _nearest(_matrix(batch.column(1), dim), sent.value)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32()), pa.array(far)], ["id", "v", "cell", "far"])
+                v = _matrix(batch.column(1), dim).astype(float)
+                cell, far = _nearest(v, sent.value)
+                p = sent.value[cell].astype(float)
+                norm = np.linalg.norm(v, axis=1)
+                scale = norm * np.linalg.norm(p, axis=1)
+                angle = np.arccos(np.clip(np.divide((v * p).sum(1), scale, out=np.ones(len(v)), where=scale > 0), -1, 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32()), pa.array(far), pa.array(norm), pa.array(angle)], ["id", "v", "cell", "far", "norm", "angle"])
 
-    grouped = stage(data.select("id", "v").mapInArrow(assign, "id long, v array<bigint>, cell int, far double"), "cells")
+    grouped = stage(data.select("id", "v").mapInArrow(assign, "id long, v array<bigint>, cell int, far double, norm double, angle double"), "cells")
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near, radius, size = defaultdict(lambda: np.zeros(0)), defaultdict(float), defaultdict(int)
+        near = defaultdict(lambda: np.zeros(0))
         for batch in batches:
             cell, far = (batch.column(i).to_numpy() for i in range(2))
             for c in np.unique(cell).tolist():
-                own = far[cell == c]
-                near[c] = np.sort(np.concatenate([near[c], own]))[: k + 1]
-                radius[c] = max(radius[c], float(own.max()))
-                size[c] += len(own)
-        cells = sorted(size)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cells, pa.int32()), pa.array([near[c].tolist() for c in cells], pa.list_(pa.float64())),
-             pa.array([radius[c] for c in cells], pa.float64()), pa.array([size[c] for c in cells], pa.int64())],
-            ["cell", "near", "radius", "size"],
-        )
-
-    partial = grouped.select("cell", "far").mapInArrow(summarise, "cell int, near array<double>, radius double, size long")
-    # one row for each pivot: the k + 1 least distances, the radius, the size
-    summary = (
-        partial.groupBy("cell")
-        .agg(
-            F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"),
-            F.max("radius").alias("radius"),
-            F.sum("size").alias("size"),
-        )
-        .orderBy("cell")
-        .toPandas()
+                near[c] = np.sort(np.concatenate([near[c], far[cell == c]]))[: k + 1]
+        cells = sorted(near)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array([near[c].tolist() for c in cells], pa.list_(pa.float64()))], ["cell", "near"])
+
+    partial = grouped.select("cell", "far").mapInArrow(summarise, "cell int, near array<double>")
+    ranges = grouped.groupBy("cell").agg(
+        F.max("far").alias("radius"), F.max("angle").alias("angle"), F.max("norm").alias("longest"), F.min("norm").alias("shortest"), F.count(F.lit(1)).alias("size")
     )
+    # one row for each pivot: the k + 1 least distances, the ranges, the size
+    nearest = partial.groupBy("cell").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
+    summary = nearest.join(ranges, "cell").orderBy("cell").toPandas()
     near = np.full((len(summary), k + 1), np.inf)
     for i, x in enumerate(summary["near"]):
         near[i, : len(x)] = x
-    cells = {"cell": summary["cell"].to_numpy(), "near": near, "radius": summary["radius"].to_numpy(), "blocks": -(-summary["size"].to_numpy() // block)}
+    cells = {c: summary[c].to_numpy() for c in ("cell", "radius", "angle", "longest", "shortest")}
+    cells |= {"near": near, "blocks": -(-summary["size"].to_numpy() // block)}
     sent_cells = spark.sparkContext.broadcast(cells)
-    repeated = data.groupBy("id").agg(F.count(F.lit(1)).alias("own")).where(F.col("own") > 1)
-    asked = asked.withColumn("own", F.lit(1).cast("long")) if repeated.isEmpty() else asked.join(repeated, "id", "left").fillna(1, ["own"])
-    most = int(cells["blocks"].max())
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent_cells.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            row, cell, part = [], [], []
-            for i, (q, own) in enumerate(zip(_matrix(batch.column(2), dim), batch.column(3).to_pylist(), strict=True)):
-                for c in reachable(q, sent.value, known, k, own).tolist():
-                    for b in range(int(known["blocks"][c])):  # large groups lie in several blocks
-                        row.append(i)
-                        cell.append(int(known["cell"][c]))
-                        part.append(b)
+            vectors = _matrix(batch.column(2), dim)
+            met = [np.argwhere(reachable(vectors[i : i + 64], sent.value, known, k + 1)) + (i, 0) for i in range(0, len(vectors), 64)]
+            query, group = np.concatenate(met).T
+            many = known["blocks"][group]  # large groups lie in several blocks
+            row, cell = np.repeat(query, many), np.repeat(known["cell"][group], many)
+            part = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(cell, pa.int32()), pa.array(part, pa.int32())],
                 ["q", "id", "v", "cell", "block"],
             )
 
-    routed = asked.select("q", "id", "v", "own").mapInArrow(route, "q long, id long, v array<bigint>, cell int, block int")
+    routed = asked.select("q", "id", "v").mapInArrow(route, "q long, id long, v array<bigint>, cell int, block int")
     blocks = spark.createDataFrame(
         pd.DataFrame({"c": cells["cell"], "n": cells["blocks"]}), "c int, n long"
     )  # one row for each pivot
@@ -208,26 +210,30 @@ def _top_k_of_dim(spark, data, asked, dim, n, k, max_pivots, block):
             ids, x = right["id"].to_numpy(), np.stack(right["v"].to_list())
             for at in range(0, len(left), 256):
                 some = left.iloc[at : at + 256]
-                scores = dot(np.stack(some["v"].to_list()), x)
-                for q, own, s in zip(some["q"], some["id"], scores, strict=True):
-                    other = np.flatnonzero(ids != own)
-                    keep = other[best(s[other], ids[other], k)]
-                    out.append(np.column_stack([np.full(len(keep), q), np.full(len(keep), own), np.full(len(keep), key[0]), ids[keep], s[keep]]))
-        rows = np.concatenate(out) if out else np.zeros((0, 5), np.int64)
-        return pd.DataFrame(rows, columns=["q", "query_id", "cell", "vec_id", "score"])
+                asked_v = np.stack(some["v"].to_list())
+                for q, own, v, s in zip(some["q"], some["id"], asked_v, dot(asked_v, x), strict=True):
+                    keep = best(s, ids, k + 1)
+                    same = np.zeros(len(keep), np.int64)
+                    alike = np.flatnonzero(ids[keep] == own)
+                    same[alike] = (x[keep[alike]] == v).all(axis=1)
+                    out.append(np.column_stack([np.full(len(keep), q), np.full(len(keep), own), np.full(len(keep), key[0]), ids[keep], s[keep], same]))
+        rows = np.concatenate(out) if out else np.zeros((0, 6), np.int64)
+        return pd.DataFrame(rows, columns=["q", "query_id", "cell", "vec_id", "score", "own"])
 
     spread = parts_for(n, block, int(spark.conf.get("spark.sql.shuffle.partitions")))
     local = (
         routed.repartition(spread, "cell", "block")
         .groupBy("cell", "block")
         .cogroup(members.repartition(spread, "cell", "block").groupBy("cell", "block"))
-        .applyInPandas(solve, "q long, query_id long, cell int, vec_id long, score long")
+        .applyInPandas(solve, "q long, query_id long, cell int, vec_id long, score long, own int")
     )
-    # k rows of each block at most, merged by group and then by query, so that
-    # no list grows with the number of blocks
-    entry = F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i"))
-    of_cell = local.groupBy("q", "query_id", "cell").agg(F.slice(F.sort_array(F.collect_list(entry)), 1, k).alias("best"))
-    merged = of_cell.groupBy("q", "query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    # k + 1 rows of each block at most, merged by group and then by query, so that
+    # no list grows with the number of blocks; of the last k + 1 the query's own row goes
+    entry = F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i"), (F.col("own") == 1).alias("own"))
+    of_cell = local.groupBy("q", "query_id", "cell").agg(F.slice(F.sort_array(F.collect_list(entry)), 1, k + 1).alias("best"))
+    merged = of_cell.groupBy("q", "query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best"))
+    others = "filter(best, (x, n) -> n + 1 <> array_position(transform(best, y -> y.own), true))"
+    merged = merged.select("query_id", F.slice(F.expr(others), 1, k).alias("best"))
     return merged.select("query_id", F.posexplode("best").alias("p", "b")).select(
         "query_id", (F.col("p") + 1).alias("rank"), F.col("b.i").alias("vec_id"), (-F.col("b.s")).alias("score")
     )

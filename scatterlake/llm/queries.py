@@ -6,6 +6,8 @@ table and derives the contract's digest columns from the operator's output.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,12 +70,12 @@ ARRIVALS = 8
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     store = shards.shard(docs, scratch_path(spark, "shards"), F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
+    tiers = Counter(store.tier(r) for r in store.manifest().runs)
     return store.read().select(
         "doc_id",
-        F.regexp_extract(F.input_file_name(), r"/runs/([0-9a-f]+)/", 1).alias("run"),
-        F.regexp_extract(F.input_file_name(), r"/(part-[0-9]+)[^/]*$", 1).alias("shard"),
         F.octet_length("text").cast("long").alias("n_bytes"),
         F.sha2("text", 256).alias("text_sha256"),
+        F.lit(all(n < store.fan_in for n in tiers.values())).alias("compacted"),
     )
 
 
@@ -166,20 +168,22 @@ WITH word AS (
 SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, any_value(i.n) AS n_shingles
 FROM shingle d JOIN item i ON d.s = i.s WHERE d.side = 'd'
 GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(i.n)""",
+    "op9_sharding": """
+SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, true AS compacted FROM documents""",
     "op8_top_k": r"""
 WITH vec AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), part AS (
-  SELECT vec_id, unnest(range(len(v))) AS i, unnest(v) AS x, len(v) AS d FROM vec
+  SELECT rid, vec_id, unnest(range(len(v))) AS i, unnest(v) AS x, len(v) AS d FROM vec
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
-  FROM part q JOIN part c ON q.i = c.i AND q.d = c.d AND q.vec_id <> c.vec_id
-  WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id, c.vec_id
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM part q JOIN part c ON q.i = c.i AND q.d = c.d AND q.rid <> c.rid
+  WHERE q.vec_id % 100 = 0 GROUP BY q.rid, q.vec_id, c.rid, c.vec_id
 ), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
 }
