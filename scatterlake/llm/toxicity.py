@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from scatterlake.llm import kernels as K
+from scatterlake.llm.common import stage
 
 THRESHOLD = 0.3
-#: The bound of the training sample.
+#: The bounds of the training sample: labelled ids, and features of their texts together (four bytes each).
 MAX_ROWS = 12_000
+MAX_FEATURES = 16_000_000
 BITS = 20
 
 
@@ -96,15 +98,20 @@ def train(
     label_col: str = "toxic",
     settings: Settings = Settings(),
     max_rows: int = MAX_ROWS,
+    max_features: int = MAX_FEATURES,
 ) -> Model:
     """A model from the texts of at most ``max_rows`` labelled ids.
 
+    Whole texts teach. The ids are taken in their order until their texts have
+    ``max_features`` features together, so that very long texts can't fill the
+    driver; no id is taken in part.
+
     Ids of ``labels`` that are not held out and whose label is 0 or 1 are drawn
     and ordered by a hash of the id: a top-k over all of them, whatever their
     partitions. Only the drawn ids, a bounded number, are sent to the texts.
     An id with several labels or texts teaches each of them; null ids, other
-    labels and texts without a word teach nothing. Without any row the model
-    scores one half everywhere.
+    labels and texts without a word teach nothing, repeated rows teach again.
+    Without any row, as with empty tables, the model scores one half everywhere.
     """
     known = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y"))
     known = known.where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("i")))
@@ -114,14 +121,23 @@ def train(
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
+            packed = [b""] * batch.num_rows
             for rows_, feats in batch_features(batch.column(3), settings):
-                for r in np.unique(rows_):
-                    sets[r].append(np.unique(feats[rows_ == r]))
-            packed = [np.unique(np.concatenate(x)).astype("<i4").tobytes() if x else b"" for x in sets]
+                # a text lies in one piece, so its features come together
+                pairs = np.unique((rows_ << settings.bits) | feats)
+                of = pairs >> settings.bits
+                cuts = np.flatnonzero(np.diff(of, prepend=-1))
+                for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(of)).tolist(), strict=True):
+                    packed[of[a]] = (pairs[a:b] & ((1 << settings.bits) - 1)).astype("<i4").tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(packed, pa.binary())], ["o", "i", "y", "x"])
 
-    got = sample.mapInArrow(extract, "o long, i long, y int, x binary").toArrow().combine_chunks()
+    found = stage(sample.mapInArrow(extract, "o long, i long, y int, x binary"), "toxicity-sample")
+    # one row for each drawn hash, max_rows at most
+    sizes = found.groupBy("o").agg(F.sum(F.octet_length("x") / 4).alias("n")).orderBy("o").collect()
+    total = np.cumsum([r["n"] for r in sizes])
+    fits = int(np.searchsorted(total, max_features, "right"))
+    got = found.where(F.col("o") <= sizes[fits - 1]["o"]) if fits else found.limit(0)
+    got = got.toArrow().combine_chunks()
     last = 1 << settings.bits
     ftrl = Ftrl(settings)
     if got.num_rows:
@@ -154,9 +170,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     """``docs`` with the probability of the label 1 in ``out_col``.
 
     Whole texts are read. A feature counts once per text. Null and empty texts
-    get the score of the intercept. All columns stay.
+    get the score of the intercept; repeated rows each get theirs. No rows: no
+    rows. All columns stay; an input column named ``out_col`` is replaced.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop(out_col)
     sent = spark.sparkContext.broadcast(model)  # at most 2^bits weights
     schema = docs.schema
 

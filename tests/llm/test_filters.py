@@ -69,6 +69,9 @@ def test_toxicity_learns_words_and_never_held_out_labels(spark):
     right = [(out[(i, t)] >= toxicity.THRESHOLD) == (i % 3 == 0) for i, t, _ in rows[:900]]
     assert sum(right) >= 890
     assert out[(2002, "awful " * 30_000)] == pytest.approx(out[(2001, "awful")], abs=0.5) and out[(2000, None)] == out[(2001, "")]
+    few = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int, text int"), max_features=2000)
+    assert 0 < len(few.features) < len(model.features)
+    assert toxicity.score(docs, model, out_col="__label").columns == ["doc_id", "text", "__label"]
     empty = toxicity.train(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))
     assert {round(r["__score"], 6) for r in toxicity.score(docs.limit(5), empty).collect()} == {0.5}
 

@@ -79,9 +79,10 @@ def test_bucket_links_are_those_of_all_pairs(clusters, wide):
     assert classes(simhash.bucket_links(keys, rows, wide=wide)) == want
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_components_of_a_chain_and_a_star(spark, few):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 130)] + [(7, 7), (None, 3)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b", few=few).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 130)}
 
 
@@ -123,3 +124,22 @@ def test_near_duplicates_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_components_of_random_links(spark, few):
+    rng = np.random.default_rng(12)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))]
+    parent = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        low, high = sorted((find(a), find(b)))
+        parent[high] = low
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b", few=few).collect()}
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    assert got == {x: find(x) for x in linked}
