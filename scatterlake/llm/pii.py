@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scatterlake.llm.common import thinned
+
 KINDS = ("email", "ip", "card", "phone")
 
 #: The rules' patterns. They are written so that no run of
@@ -344,7 +346,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_d
     text = F.coalesce(F.col(text_col), F.lit(""))
     order = F.xxhash64(F.lit(seed), F.col(id_col), text)
     middle = F.pmod(order, F.greatest(F.length(text) - 2 * STRETCH, F.lit(1)).cast("long")).cast("int")
-    drawn = docs.select(order.alias("o"), F.substr(text, middle + 1, F.lit(2 * STRETCH)).alias("t"))
+    drawn = thinned(docs.withColumn("__order", F.xxhash64(F.lit(seed), F.col(id_col))), "__order", max_docs)
+    drawn = drawn.select(order.alias("o"), F.substr(text, middle + 1, F.lit(2 * STRETCH)).alias("t"))
     around = [r["t"] for r in drawn.orderBy("o", "t").limit(max_docs).collect()] or [""]
     rng, rows = random.Random(seed), []
     for n in range(max_candidates):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from scatterlake.llm import kernels as K
-from scatterlake.llm.common import stage
+from scatterlake.llm.common import stage, thinned
 
 THRESHOLD = 0.3
 #: The bounds of the training sample: labelled ids, and features of their texts together (four bytes each).
@@ -115,7 +115,7 @@ def train(
     """
     known = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y"))
     known = known.where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("i")))
-    drawn = known.withColumn("o", F.xxhash64(F.lit(7), F.col("i"))).orderBy("o", "i", "y").limit(max_rows).distinct()
+    drawn = thinned(known.withColumn("o", F.xxhash64(F.lit(7), F.col("i"))), "o", max_rows).orderBy("o", "i", "y").limit(max_rows).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("binary").alias("__t"))
     sample = texts.join(F.broadcast(drawn), F.col("__id") == F.col("i")).select("o", "i", "y", "__t")
 
