@@ -1,9 +1,10 @@
 """Substring dedup on words: recurring passages, located by Aho-Corasick automata.
 
-Recurring passages are confirmed word by word in the exchange of ``repeats``.
-Each block then compiles the passages that it may hold into automata of bounded
-size, over a few letters for each word, and streams all its documents through
-them; every hit is checked against the words before it counts.
+Recurring passages are confirmed word by word in the exchange of ``repeats``,
+whose verdicts carry them to the blocks of documents. A block compiles its
+passages into automata of bounded size, over a few letters for each word, and
+streams all its documents through them: nothing else tells it where a passage
+stands. Every hit is checked against the words before it counts.
 """
 
 from __future__ import annotations
@@ -115,28 +116,23 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null, empty and blank texts have no words. Rows with the same id are one
     document: of equal places neither loses a word, of different ones the later
     does. Null ids come after all others and are equal. No rows: no rows.
+    ``window`` is at most 69. Other columns of ``docs`` are not read.
     """
     alphabet = R.Words(window, max(1, min(6, window // 2)))
 
     def judged(*given):
         return judge(*given, alphabet=alphabet)
 
-    def apply(block: R.Block, doc: np.ndarray, start: np.ndarray, mask: np.ndarray) -> Iterator[pa.RecordBatch]:
-        orders = block.orders()
-        own = orders[block.row]
-        known_doc, known_start = doc[block.segment], start[block.segment]
-        later = (own > known_doc) | ((own == known_doc) & (block.first > known_start))
-        wanted = np.unique(block.segment[later | (mask[block.segment] != 0)])
-        row, first, number = occurrences(block.texts, [block.segments[i] for i in wanted.tolist()])
-        segment = wanted[number]
-        count = np.array([s.count(b" ") for s in block.segments], np.int64)[segment] + 2 - window if len(segment) else segment
-        hits = R.Block(block.ids, block.texts, row, first, count, segment, block.segments, block.bucket, block.lead)
-        own, known_doc, known_start = orders[row], doc[segment], start[segment]
+    def apply(ids: list, texts: list[bytes], passages: list[bytes], doc: np.ndarray, start: np.ndarray, mask: np.ndarray) -> Iterator[pa.RecordBatch]:
+        orders = np.array([R.NO_ID if i is None else i for i in ids], np.int64)
+        row, first, number = occurrences(texts, passages)
+        count = np.array([p.count(b" ") for p in passages], np.int64)[number] + 2 - window
+        own, known_doc, known_start = orders[row], doc[number], start[number]
         later = (own > known_doc) | ((own == known_doc) & (first > known_start))
-        same = (own == known_doc) & (first == known_start) & (mask[segment] != 0)
-        words = [t.split() for t in block.texts]
+        same = (own == known_doc) & (first == known_start) & (mask[number] != 0)
+        words = [t.split() for t in texts]
         sizes = np.array([len(w) for w in words], np.int64)
-        of, a, b = merge_by_row(*gone_intervals(hits, later, same, mask, window), sizes)
+        of, a, b = merge_by_row(*gone_intervals(row, first, count, later, same, mask[number], window), sizes)
         cuts = np.searchsorted(of, np.arange(len(sizes) + 1))
         kept, removed = [], np.zeros(len(sizes), np.int64)
         np.add.at(removed, of, b - a)
@@ -146,9 +142,9 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             kept.append(b" ".join(w).decode())
         spans = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["start", "end"]))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(block.ids, pa.int64()), pa.array(kept, pa.string()), pa.array(sizes), pa.array(removed), spans],
+            [pa.array(ids, pa.int64()), pa.array(kept, pa.string()), pa.array(sizes), pa.array(removed), spans],
             ["__id", "__kept", "__n_words", "__n_removed", "__spans"],
         )
 
     schema = "__id long, __kept string, __n_words long, __n_removed long, __spans array<struct<start: long, end: long>>"
-    return R.exchange(docs, id_col, text_col, alphabet, judged, apply, schema, block_bytes, hot_blocks)
+    return R.exchange(docs, id_col, text_col, alphabet, judged, apply, schema, block_bytes, hot_blocks, carry=True)

@@ -9,7 +9,8 @@ at equal places. Four steps, none of which ships a window by itself:
    and report each distinct segment with its first occurrence;
 3. shards of segments judge, for each segment, which of its windows occur
    earlier;
-4. blocks apply the verdicts.
+4. blocks apply the verdicts: to the runs that they cut again, or, if the
+   verdicts carry the passages, to the places where these are found anew.
 
 Rows move as compressed blobs, one for each pair of block and shard. Copies of a
 passage cost each block one entry, however many they are. A minimizer that very
@@ -391,8 +392,8 @@ def in_order(block: Block) -> Iterator[tuple[int, list[int]]]:
         yield int(buckets[a]), order[a:b]
 
 
-def first_places(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(order, start) of each segment's first occurrence in the block."""
+def first_places(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, start) of each segment's first occurrence in the block, and whether it has others there."""
     n = len(block.segments)
     order = block.orders()[block.row] if len(block.row) else np.zeros(0, np.int64)
     at = np.lexsort((block.first, order, block.segment))
@@ -400,7 +401,7 @@ def first_places(block: Block) -> tuple[np.ndarray, np.ndarray]:
     doc, start = np.zeros(n, np.int64), np.zeros(n, np.int64)
     doc[block.segment[at][lead]] = order[at][lead]
     start[block.segment[at][lead]] = block.first[at][lead]
-    return doc, start
+    return doc, start, np.bincount(block.segment, minlength=n) > 1
 
 
 def report_segments(blobs: DataFrame, alphabet: Alphabet, plan: Plan) -> DataFrame:
@@ -409,12 +410,12 @@ def report_segments(blobs: DataFrame, alphabet: Alphabet, plan: Plan) -> DataFra
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in groups(batches, 0):
             block, _ = read_block(rows, alphabet, plan)
-            doc, start = first_places(block)
+            doc, start, again = first_places(block)
             buckets, payload = [], []
             for bucket, which in in_order(block):
                 buckets.append(bucket)
                 segments = [block.segments[i] for i in which]
-                payload.append(squeeze(pickle.dumps((segments, block.lead[which].astype(np.int16), doc[which], start[which]), 5)))
+                payload.append(squeeze(pickle.dumps((segments, block.lead[which].astype(np.int16), doc[which], start[which], again[which]), 5)))
                 if len(payload) >= 64:
                     yield blob_batch([number] * len(payload), 0, buckets, payload)
                     buckets, payload = [], []
@@ -427,9 +428,19 @@ def report_segments(blobs: DataFrame, alphabet: Alphabet, plan: Plan) -> DataFra
 Judge = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def verdicts(segments: DataFrame, judge: Judge, plan: Plan) -> DataFrame:
+def seen_names(texts: list[bytes]) -> np.ndarray:
+    """The number of each text among the distinct ones, in the order in which they come."""
+    number: dict[bytes, int] = {}
+    return np.array([number.setdefault(t, len(number)) for t in texts], np.int64)
+
+
+def verdicts(segments: DataFrame, judge: Judge, plan: Plan, carry: bool, names: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
     """Blobs (block, VERDICTS, bucket, (order, start, mask)) aligned with the block's report.
 
+    With ``carry`` they hold (passages, order, start, mask) instead, and only
+    those of the block's passages that it must lose somewhere.
+
+    ``names`` tells equal segments of different blocks, as numbers from 0.
     ``judge`` gets distinct segments, their minimizer places and their first
     occurrences, and returns a mask of the windows that occur earlier elsewhere.
     Segments placed ALONE are single windows that no other segment holds.
@@ -437,25 +448,32 @@ def verdicts(segments: DataFrame, judge: Judge, plan: Plan) -> DataFrame:
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in groups(batches, 2):
-            number: dict[bytes, int] = {}
-            reports, leads = [], []
+            every, leads, reports = [], [], []
             for block, _, _, payload in rows:
-                segments_, lead, doc, start = pickle.loads(unsqueeze(payload))
-                at = np.empty(len(segments_), np.int64)
-                for j, text in enumerate(segments_):
-                    n = number.get(text)
-                    if n is None:
-                        n = number[text] = len(number)
-                        leads.append(int(lead[j]))
-                    at[j] = n
-                reports.append((block, at, doc, start))
-            at, doc, start = (np.concatenate([r[i] for r in reports]) for i in (1, 2, 3))
+                segments_, lead, doc, start, again = pickle.loads(unsqueeze(payload))
+                every += segments_
+                leads.append(lead)
+                reports.append((block, slice(len(every) - len(segments_), len(every)), doc, start, again))
+            at = names(every)
+            reports = [(block, at[of], *more) for block, of, *more in reports]
+            doc, start = (np.concatenate([r[i] for r in reports]) for i in (2, 3))
             order = np.lexsort((start, doc, at))
             first = order[np.flatnonzero(np.diff(at[order], prepend=-1))]
             doc, start = doc[first], start[first]
-            mask = judge(list(number), np.array(leads, np.int64), doc, start)
-            payload = [squeeze(np.concatenate([doc[a], start[a], mask[a].view(np.int64)]).tobytes()) for _, a, _, _ in reports]
-            yield blob_batch([r[0] for r in reports], VERDICTS, bucket, payload)
+            texts = [every[i] for i in first.tolist()]
+            mask = judge(texts, np.concatenate(leads)[first].astype(np.int64), doc, start)
+            if not carry:
+                payload = [squeeze(np.concatenate([doc[a], start[a], mask[a].view(np.int64)]).tobytes()) for _, a, *_ in reports]
+                yield blob_batch([r[0] for r in reports], VERDICTS, bucket, payload)
+                continue
+            blocks, payload = [], []
+            for block, a, own_doc, own_start, again in reports:
+                lost = a[again | (mask[a] != 0) | (own_doc != doc[a]) | (own_start != start[a])]
+                if len(lost):
+                    blocks.append(block)
+                    payload.append(squeeze(pickle.dumps(([texts[i] for i in lost.tolist()], doc[lost], start[lost], mask[lost]), 5)))
+            if payload:
+                yield blob_batch(blocks, VERDICTS, bucket, payload)
 
     return segments.repartitionById(plan.buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(decide, BLOB)
 
@@ -473,6 +491,23 @@ def apply_verdicts(block: Block, given: dict[int, bytes]) -> tuple[np.ndarray, n
     return doc, start, mask
 
 
+def read_passages(rows: Iterator[tuple]) -> tuple[list, list[bytes], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, texts, passages, order, start, mask) of a block whose verdicts carry the passages."""
+    ids, texts, passages, parts = [], [], [], []
+    for _, kind, _, payload in rows:
+        if kind == VERDICTS:
+            some, *values = pickle.loads(unsqueeze(payload))
+            passages += some
+            parts.append(values)
+        else:
+            some_ids, some_texts = pickle.loads(unsqueeze(payload))
+            ids += some_ids
+            texts += some_texts
+    none = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+    doc, start, mask = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else none
+    return ids, texts, passages, doc, start, mask
+
+
 def union_of(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Half-open intervals merged where they touch or overlap."""
     if not len(first):
@@ -483,18 +518,26 @@ def union_of(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first[new], last[np.append(np.flatnonzero(new)[1:] - 1, len(last) - 1)]
 
 
-def exchange(docs: DataFrame, id_col: str, text_col: str, alphabet: Alphabet, judge: Judge, apply, schema: str, block_bytes: int = BLOCK_BYTES, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
-    """``apply(block, order, start, mask)``, batches of ``schema``, over all blocks."""
+def exchange(docs: DataFrame, id_col: str, text_col: str, alphabet: Alphabet, judge: Judge, apply, schema: str, block_bytes: int = BLOCK_BYTES, hot_blocks: int = HOT_BLOCKS, carry: bool = False, names=seen_names) -> DataFrame:
+    """Batches of ``schema`` over all blocks: ``apply(block, order, start, mask)``,
+    or, with ``carry``, ``apply(ids, texts, passages, order, start, mask)``."""
     from scatterlake.llm.common import stage
 
+    # a mask has 64 bits, one for each window of a segment
+    if not alphabet.k <= alphabet.window <= alphabet.k + 63:
+        raise ValueError(f"windows of {alphabet.window} symbols don't fit a mask: at most {alphabet.k + 63}")
     plan = Plan.of(docs, text_col, block_bytes, hot_blocks)
     rows = keyed_docs(docs, id_col, text_col, plan)
     keys = stage(surviving_keys(rows, alphabet, plan), "repeat-keys")
-    given = stage(verdicts(report_segments(keys.union(doc_blobs(rows)), alphabet, plan), judge, plan), "repeat-verdicts")
+    given = stage(verdicts(report_segments(keys.union(doc_blobs(rows)), alphabet, plan), judge, plan, carry, names), "repeat-verdicts")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows_ in groups(batches, 0):
+            if carry:
+                yield from apply(*read_passages(rows_))
+                continue
             block, got = read_block(rows_, alphabet, plan)
             yield from apply(block, *apply_verdicts(block, got))
 
-    return by_block(keys.union(given).union(doc_blobs(rows)), plan).mapInArrow(finish, schema)
+    blobs = given if carry else keys.union(given)
+    return by_block(blobs.union(doc_blobs(rows)), plan).mapInArrow(finish, schema)

@@ -1,4 +1,9 @@
-"""Suffix-array dedup: bytes under strings that start in an earlier document go."""
+"""Suffix-array dedup: bytes under strings that start in an earlier document go.
+
+Which segments of different blocks are equal, and which windows of different
+segments, is read from sorted order: multikey quicksort, then blind tries. A
+block tells copies within itself by their text before it reports them once.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from scatterlake.llm import repeats as R
-from scatterlake.llm.suffixes import sort_suffixes
+from scatterlake.llm.suffixes import sort_suffixes, sorted_names
 
 ALPHABET = R.Bytes()
 
@@ -42,17 +47,17 @@ def judge(segments: list[bytes], lead: np.ndarray, doc: np.ndarray, start: np.nd
     return mask
 
 
-def gone_intervals(block: R.Block, later: np.ndarray, masked: np.ndarray, mask: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, from, to) of the symbols under the runs in ``later``, and under the masked windows of those in ``masked``."""
-    rows, first, last = [block.row[later]], [block.first[later]], [block.first[later] + block.count[later] + (window - 1)]
+def gone_intervals(row: np.ndarray, start: np.ndarray, count: np.ndarray, later: np.ndarray, masked: np.ndarray, mask: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, from, to) of the symbols under the runs in ``later``, and under the windows in the ``mask`` of those in ``masked``."""
+    rows, first, last = [row[later]], [start[later]], [start[later] + count[later] + (window - 1)]
     at = np.flatnonzero(masked)
-    bits = mask[block.segment[at]]
+    bits = mask[at]
     for o in range(64):
         hit = at[(bits >> np.uint64(o)) & np.uint64(1) == 1]
         if len(hit):
-            rows.append(block.row[hit])
-            first.append(block.first[hit] + o)
-            last.append(block.first[hit] + o + window)
+            rows.append(row[hit])
+            first.append(start[hit] + o)
+            last.append(start[hit] + o + window)
     return np.concatenate(rows), np.concatenate(first), np.concatenate(last)
 
 
@@ -74,7 +79,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null text: empty. Rows with the same id are one document's in that neither
     loses bytes to the other. Null ids come after all others and are equal.
-    Texts shorter than ``window`` stay whole. No rows: no rows.
+    Texts shorter than ``window`` stay whole. No rows: no rows. ``window`` is
+    at most 81. Other columns of ``docs`` are not read.
     """
     alphabet = R.Bytes(window, min(18, window))
 
@@ -85,7 +91,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         own = block.orders()[block.row]
         later = own > doc[block.segment]
         sizes = np.array([len(t) for t in block.texts], np.int64)
-        of, a, b = merge_by_row(*gone_intervals(block, later, ~later & (mask[block.segment] != 0), mask, window), sizes)
+        of, a, b = merge_by_row(*gone_intervals(block.row, block.first, block.count, later, ~later & (mask[block.segment] != 0), mask[block.segment], window), sizes)
         cuts = np.searchsorted(of, np.arange(len(sizes) + 1))
         kept = []
         for i, text in enumerate(block.texts):
@@ -103,4 +109,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         )
 
     schema = "__id long, __kept binary, __n_bytes long, __spans array<struct<start: long, end: long>>"
-    return R.exchange(docs, id_col, text_col, alphabet, judged, apply, schema, block_bytes, hot_blocks)
+    return R.exchange(docs, id_col, text_col, alphabet, judged, apply, schema, block_bytes, hot_blocks, names=sorted_names)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from scatterlake.llm import kernels as K
 from scatterlake.llm import passages, substrings
-from scatterlake.llm.suffixes import blind_order, sort_suffixes
+from scatterlake.llm.suffixes import blind_order, multikey_quicksort, sort_suffixes, sorted_names
 
 
 def plain_bytes(rows, window):
@@ -95,6 +95,26 @@ def test_long_texts_are_cut_without_losing_windows(spark):
     assert hashlib.sha256(bytes(got[1]["__kept"])).digest() == hashlib.sha256(shared.encode()).digest()
 
 
+def test_places_come_from_the_automata(spark):
+    """Passages alone, told to a block, are found wherever they stand in it."""
+    texts = [b"a b c d e", b"x a b c y a b c", b"", b"c a  b\tc"]
+    row, first, number = passages.occurrences(texts, [b"a b c", b"c y a"], shard_words=2)
+    assert sorted(zip(row.tolist(), first.tolist(), number.tolist(), strict=True)) == [(0, 0, 0), (1, 1, 0), (1, 3, 1), (1, 5, 0), (3, 1, 0)]
+    assert all(len(x) == 0 for x in passages.occurrences(texts, []))
+
+
+@pytest.mark.parametrize(("remove", "window"), [(substrings.remove_repeats, 82), (passages.remove_passages, 70)])
+def test_windows_beyond_a_mask_are_refused(spark, remove, window):
+    with pytest.raises(ValueError, match="mask"):
+        remove(frame(spark, corpus(1)[:2]), window=window)
+
+
+def test_the_widest_windows(spark):
+    rows = corpus(7)
+    got = substrings.remove_repeats(frame(spark, rows), window=81, block_bytes=2000).collect()
+    assert sorted(((r["__id"], bytes(r["__kept"]), r["__n_bytes"], len(r["__spans"])) for r in got), key=repr) == plain_bytes(rows, 81)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.remove_repeats(none).count() == 0
@@ -108,6 +128,25 @@ def test_blind_trie_orders_as_sorted(texts):
     assert sorted(rank, key=rank.get) == sorted(set(texts))
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.binary(max_size=30) | st.text(alphabet="ab", max_size=40).map(str.encode), max_size=60))
+def test_sorted_names_are_those_of_equality(texts):
+    names = sorted_names(texts).tolist()
+    by_name = dict(zip(names, texts, strict=True))
+    assert [by_name[n] for n in names] == texts and sorted(set(names)) == list(range(len(set(texts))))
+    assert [by_name[n] for n in sorted(by_name)] == sorted(set(texts), key=lambda t: (len(t), t))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2**64 - 1) | st.integers(0, 2)), max_size=80))
+def test_multikey_quicksort(rows):
+    columns = [np.array([r[i] for r in rows], np.uint64) for i in (0, 1)]
+    order, group = multikey_quicksort(columns)
+    got = [rows[i] for i in order.tolist()]
+    assert got == sorted(rows)
+    assert group.tolist() == [sorted(set(rows)).index(r) for r in got]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text(alphabet="ab", min_size=40, max_size=200), st.sampled_from([5, 20, 30]))
 def test_suffix_order(text, depth):
