@@ -263,9 +263,11 @@ def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray, kind: np.ndarray, rounds
         if not len(good):
             thresholds.append(None)
             continue
-        # halfway to the next score below, so that rounding in another order of the sums takes the same rows
         least, below = score[order][good[-1]], score[order][good[-1] + 1 :]
-        thresholds.append(float((least + below[0]) / 2 if len(below) else least - 1e-6))
+        if not len(below):
+            thresholds.append(float(least - 1e-6))
+        else:  # between the two scores: even odds if they lie there, so that a wide gap isn't given away, else the middle
+            thresholds.append(0.0 if below[0] < 0 < least else float((least + below[0]) / 2))
     return Boosted(base, tuple(trees), tuple(thresholds))
 
 
