@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Whether a query's shuffle files are deleted as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dir: list[str] = []
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -63,11 +66,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation, and
-    the work above is done once however often the result is used.
+    the work above is done once however often the result is used. The shuffle
+    files of the write go with it: nothing reads them once the table stands.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
