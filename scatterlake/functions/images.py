@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 WINDOWS = ("ram-lak", "shepp-logan", "cosine", "hamming", "hann")
@@ -33,6 +35,53 @@ def filtered_back_projection(sinogram: np.ndarray, degrees: np.ndarray, window:
     return out * np.pi / 2 / angles
 
 
+@lru_cache(64)
+def _rays(n: int, degrees: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each voxel of an n x n slice: the lower sample of its ray, the weight of the upper one, and whether it is met."""
+    y, x = np.mgrid[:n, :n].reshape(2, -1) - (n - 1) / 2
+    t = x * np.cos(np.radians(degrees)) + y * np.sin(np.radians(degrees)) + (n - 1) / 2
+    low = np.clip(np.floor(t).astype(int), 0, n - 2)
+    return low, t - low, (t >= 0) & (t <= n - 1)
+
+
+def smear(image: np.ndarray, degrees: float) -> np.ndarray:
+    """(slices, n * n): one projection of (slices, n) samples, its rows ramp-filtered, spread along its rays."""
+    n = image.shape[1]
+    response = ramp(n, "hann")
+    rows = np.fft.ifft(np.fft.fft(image, len(response), axis=1) * response, axis=1).real[:, :n]
+    low, w, met = _rays(n, degrees)
+    return (rows[:, low] * (1 - w) + rows[:, low + 1] * w) * met
+
+
+def reproject(volume: np.ndarray, degrees: float) -> np.ndarray:
+    """(slices, n): the sums of (slices, n * n) voxels along rays, adjoint to the spreading."""
+    n = int(np.sqrt(volume.shape[1]))
+    low, w, met = _rays(n, degrees)
+    return np.array([np.bincount(low, v * met * (1 - w), n) + np.bincount(low + 1, v * met * w, n) for v in volume])
+
+
+def moved(image: np.ndarray, dy: float, dx: float) -> np.ndarray:
+    """The image shifted by (dy, dx), wrapping, through its transform."""
+    fy, fx = (np.fft.fftfreq(n) for n in image.shape)
+    turn = np.exp(-2j * np.pi * (fy[:, None] * dy + fx[None, :] * dx))
+    return np.fft.ifft2(np.fft.fft2(image) * turn).real
+
+
+def high_pass(image: np.ndarray, width: float = 0.05) -> np.ndarray:
+    """The image without frequencies far below ``width`` cycles a pixel."""
+    f2 = sum(g * g for g in np.meshgrid(*(np.fft.fftfreq(n) for n in image.shape), indexing="ij"))
+    return np.fft.ifft2(np.fft.fft2(image) * (1 - np.exp(-f2 / (2 * width * width)))).real
+
+
+def gradient_shift(model: np.ndarray, image: np.ndarray) -> tuple[float, float]:
+    """(dy, dx) by which ``image`` lies from ``model`` to first order: least squares on the model's gradient; 0 where it is flat."""
+    out = []
+    for g in np.gradient(model):
+        power = float((g * g).sum())
+        out.append(-float((g * (image - model)).sum()) / power if power > 0 else 0.0)
+    return out[0], out[1]
+
+
 def shift_between(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     """(dy, dx) by which ``b`` lies from ``a``: the peak of the cross-correlation, refined by its centre of mass."""
     c = np.abs(np.fft.ifft2(np.conj(np.fft.fft2(a - a.mean())) * np.fft.fft2(b - b.mean())))
