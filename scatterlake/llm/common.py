@@ -90,6 +90,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def discard_path(df: DataFrame) -> None:
+    """Deletes a staged table that nothing reads any more."""
+    names = {part for file in df.inputFiles() for part in file.split("/")}
+    release([path for path in staged_paths() if path.rsplit("/", 1)[1] in names])
+
+
 def staged_paths() -> list[str]:
     """Paths made by this module that haven't been deleted, oldest first."""
     return [path for _, path in _staged]

@@ -11,8 +11,8 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scatterlake.llm import decontam, knn, lines, packing, passages, pii, shards, simhash, substrings, toxicity
-from scatterlake.llm.common import scratch_path, table
+from scatterlake.llm import codes, decontam, exact, knn, lines, packing, passages, pii, shards, simhash, spelling, substrings, toxicity
+from scatterlake.llm.common import scratch_path, stage, table
 
 
 def _tokenizer_path() -> str:
@@ -121,6 +121,79 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+    rows = codes.group_total(stage(rows, "codes"), "label", "__error", "label_error")
+    return rows.select(
+        "vec_id",
+        F.col("__code").alias("code"),
+        F.col("__error").alias("error"),
+        "label_error",
+        F.lit(model.digest() if model else "").alias("codebooks_sha256"),
+    )
+
+
+#: The divisor of hashes by which the spelling query plants slips in the words that it reads.
+SLIPS = 31
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_every=SLIPS)
+    return spelling.variant_groups(words).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact.exact_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        F.col("__id").alias("doc_id"),
+        F.col("__keep").alias("keep_id"),
+        F.col("__size").alias("group_size"),
+        F.col("__kept").alias("kept"),
+        F.col("__sha").alias("text_sha256"),
+    )
+
+
+def _codes_sql(rounds: int = codes.ROUNDS, parts: int = codes.PARTS, entries: int = codes.ENTRIES) -> str:
+    """The rounds of op11 as a chain of common tables: components in rows, one assignment and one mean for each round."""
+
+    def assigned(n: int) -> str:
+        return f"""a{n} AS MATERIALIZED (
+  SELECT rid, part, min(ROW(d, entry)) AS hit FROM (
+    SELECT x.rid, x.part, b.entry, sum((x.x - b.x) * (x.x - b.x)) AS d
+    FROM comp x JOIN b{n} b ON x.part = b.part AND x.pos = b.pos GROUP BY x.rid, x.part, b.entry
+  ) GROUP BY rid, part
+)"""
+
+    def refined(n: int) -> str:
+        return f"""b{n + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.pos, coalesce(m.x, b.x) AS x FROM b{n} b LEFT JOIN (
+    SELECT a.part, a.hit[2] AS entry, c.pos, CAST(floor(sum(c.x)::DOUBLE / count(*)) AS BIGINT) AS x
+    FROM a{n} a JOIN comp c ON a.rid = c.rid AND a.part = c.part GROUP BY a.part, a.hit[2], c.pos
+  ) m ON b.part = m.part AND b.entry = m.entry AND b.pos = m.pos
+)"""
+
+    chain = ",\n".join(f"{assigned(n)},\n{refined(n)}" for n in range(rounds))
+    return f"""
+WITH good AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), vec AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS rid, vec_id, label, v FROM good
+), comp AS MATERIALIZED (
+  SELECT rid, i // w AS part, i % w AS pos, x FROM (
+    SELECT rid, unnest(range(len(v))) AS i, unnest(v) AS x, len(v) // {parts} AS w FROM vec)
+), b0 AS MATERIALIZED (
+  SELECT part, rid AS entry, pos, x FROM comp WHERE rid < {entries}
+), {chain},
+{assigned(rounds)}, coded AS (
+  SELECT rid, string_agg(printf('%02x', hit[2]), '' ORDER BY part) AS code, CAST(sum(hit[1]) AS BIGINT) AS error FROM a{rounds} GROUP BY rid
+)
+SELECT v.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY v.label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM b{rounds}) AS codebooks_sha256
+FROM vec v JOIN coded c ON v.rid = c.rid"""
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -132,9 +205,23 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLE = {
+    "op11_vector_codes": _codes_sql(),
+    "op13_exact_dedup": r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, length(coalesce(text, '')) AS n,
+         translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS norm
+  FROM documents
+), ranked AS (
+  SELECT doc_id, norm, first_value(doc_id) OVER w AS keep_id, row_number() OVER w = 1 AS kept FROM doc
+  WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST, rid)
+)
+SELECT doc_id, keep_id, count(*) OVER (PARTITION BY norm) AS group_size, kept, sha256(norm) AS text_sha256 FROM ranked""",
     "op4_line_dedup": r"""
 WITH line AS (
   SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS line
