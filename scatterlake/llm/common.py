@@ -6,6 +6,9 @@ import atexit
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own_dir: list[str] = []
 _staged: list[tuple[SparkSession, str]] = []
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,11 +45,13 @@ def thinned(df: DataFrame, order: str, wanted: int) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where a session names none (tests, a laptop) a local one is made.
+    Only a local master that names none (tests, a laptop) gets a local one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="scatterlake-"))
     return _own_dir[0]
@@ -87,9 +93,30 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, deleted by ``release`` like a staged table."""
     path = f"{shared_dir(spark)}/scatterlake/{label}-{uuid.uuid4().hex}"
     _staged.append((spark, path))
+    for scope in _scopes.get():
+        scope.append(path)
     return path
 
 
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """Gathers the paths of what is staged within, by this thread only."""
+    made: list[str] = []
+    token = _scopes.set((*_scopes.get(), made))
+    try:
+        yield made
+    finally:
+        _scopes.reset(token)
+
+
+def keep_only(made: list[str], *tables: DataFrame) -> None:
+    """Deletes what a scope has staged, but what ``tables`` read."""
+    names = {part for t in tables for file in t.inputFiles() for part in file.split("/")}
+    gone = [path for path in made if path.rsplit("/", 1)[1] not in names]
+    release(gone)
+    made[:] = [path for path in made if path not in gone]
+
+
 def discard_path(df: DataFrame) -> None:
     """Deletes a staged table that nothing reads any more."""
     names = {part for file in df.inputFiles() for part in file.split("/")}

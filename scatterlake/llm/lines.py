@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scatterlake.llm.common import stage
+from scatterlake.llm.common import fresh_name, stage
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -100,13 +100,12 @@ def drop_common_lines(
     min_chars: int = MIN_CHARS,
     min_docs: int = MIN_DOCS,
 ) -> DataFrame:
-    """``docs`` with common lines cut from ``text_col``; adds __n_lines and __n_dropped.
+    """``docs`` with common lines cut from ``text_col``; adds __n_lines and __n_dropped, last (with underscores after them where ``docs`` has such names).
 
     Lines are split at \\n. A line's key is the line stripped of ASCII blanks at
     both ends, A-Z lower-cased. Keys of ``min_chars`` code points or more found
     in ``min_docs`` rows or more lose all their lines, except in the row with
-    the largest id that holds it. All columns of ``docs`` stay, under any names
-    that do not start with two underscores.
+    the largest id that holds it. All columns of ``docs`` stay.
 
     Null or empty text: one empty line, returned as the empty string. Rows with
     the same id are documents of their own and, as ties for the largest id, all
@@ -114,11 +113,12 @@ def drop_common_lines(
     have null ids, all keep it. No rows: no rows.
     """
     drops = dropped_positions(docs, id_col, text_col, min_chars, min_docs)
-    d = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    text_hash = fresh_name(docs, "__text_hash")
+    d = docs.withColumn(text_hash, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     # the decisions are the small side: hashed, so that no text is sorted
     joined = d.alias("d").join(
         drops.hint("shuffle_hash").alias("x"),
-        F.col(f"d.{id_col}").eqNullSafe(F.col("x.__id")) & (F.col("d.__text_hash") == F.col("x.__text_hash")),
+        F.col(f"d.{id_col}").eqNullSafe(F.col("x.__id")) & (F.col(f"d.{text_hash}") == F.col("x.__text_hash")),
         "left",
     )
     lines = _lines(F.col(f"d.{text_col}"))
@@ -129,6 +129,6 @@ def drop_common_lines(
             (F.when(F.col("x.__drops").isNull(), F.coalesce(F.col(f"d.{c}"), F.lit(""))).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(f"d.`{c}`").alias(c))
             for c in docs.columns
         ],
-        F.size(lines).cast("long").alias("__n_lines"),
-        F.coalesce(F.size("x.__drops"), F.lit(0)).cast("long").alias("__n_dropped"),
+        F.size(lines).cast("long").alias(fresh_name(docs, "__n_lines")),
+        F.coalesce(F.size("x.__drops"), F.lit(0)).cast("long").alias(fresh_name(docs, "__n_dropped")),
     )

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scatterlake.llm.common import fresh_name, parts_for, stage
+from scatterlake.llm.common import fresh_name, keep_only, parts_for, scope, stage
 from scatterlake.llm.components import components
 
 SEED = 42
@@ -219,7 +219,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows with the same id the one with the smaller text hash stays, of
     equal rows one. All columns of the row stay as they are.
     """
-    classes = stage(classes_of(docs, id_col, text_col, words), "classes")
+    with scope() as made:
+        classes = stage(classes_of(docs, id_col, text_col, words), "classes")
+        keep_only(made, classes)
     first = classes.groupBy("__class").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__text_hash")).alias("k"))
     chosen = first.select(F.col("k.__id").alias("__kid"), F.col("k.__text_hash").alias("__khash"))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__kid")) & (text_hash(text_col) == F.col("__khash"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from scatterlake.llm import kernels as K
-from scatterlake.llm.common import stage, thinned
+from scatterlake.llm.common import discard_path, stage, thinned
 
 THRESHOLD = 0.3
 #: The bounds of the training sample: labelled ids, and features of their texts together (four bytes each).
@@ -89,6 +89,10 @@ class Model:
     intercept: float
     settings: Settings
 
+    @property
+    def trained(self) -> bool:
+        return bool(len(self.features)) or self.intercept != 0
+
 
 def train(
     docs: DataFrame,
@@ -138,6 +142,7 @@ def train(
     fits = int(np.searchsorted(total, max_features, "right"))
     got = found.where(F.col("o") <= sizes[fits - 1]["o"]) if fits else found.limit(0)
     got = got.toArrow().combine_chunks()
+    discard_path(found)
     last = 1 << settings.bits
     ftrl = Ftrl(settings)
     if got.num_rows:

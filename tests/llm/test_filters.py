@@ -101,6 +101,81 @@ def test_sharding_keeps_every_column_and_tries_again_after_a_conflict(spark):
     assert store.read().count() == 25
 
 
+def test_a_vacuum_leaves_the_files_of_a_writer_at_work(spark):
+    df = spark.range(100).selectExpr("id AS doc_id")
+    root = scratch_path(spark, "test")
+    store, other = shards.ShardTable(spark, root), shards.ShardTable(spark, root)
+    store.append(df.limit(5))
+    commit = store.commit
+
+    def interrupted(*args):
+        assert other.vacuum() == 0  # between the write and the commit
+        return commit(*args)
+
+    store.commit = interrupted
+    store.append(df)
+    assert other.read().count() == 105
+    for _ in range(4):
+        other.append(df)
+    store.compact()  # merges, with a vacuum before its commit
+    assert other.read().count() == 505
+    assert other.vacuum() > 0 and other.vacuum() == 0
+    assert store.read().count() == 505
+    assert not list(store._fs.listStatus(store._path(f"{root}/writers")))
+
+
+def test_a_lost_writer_is_cleaned_up_after_its_lease(spark):
+    df = spark.range(10).selectExpr("id AS doc_id")
+    root = scratch_path(spark, "test")
+    store, late = shards.ShardTable(spark, root), shards.ShardTable(spark, root, lease_s=-1)
+
+    def lost(*_):
+        raise KeyboardInterrupt
+
+    store.append(df)
+    store.commit = lost
+    with pytest.raises(KeyboardInterrupt):
+        store.append(df)
+    assert late.vacuum() == 0  # it took its files with it
+    slow = shards.ShardTable(spark, root)
+    still = slow._still_writing
+
+    def overtaken(folder):
+        late.vacuum()
+        still(folder)
+
+    slow._still_writing = overtaken
+    with pytest.raises(shards.Expired):
+        slow.append(df)
+    assert shards.ShardTable(spark, root).read().count() == 10
+
+
+def test_appends_with_other_columns_lose_none(spark):
+    store = shards.ShardTable(spark, scratch_path(spark, "test"))
+    wide = spark.createDataFrame([(i, f"b{i}") for i in range(6)], "id long, b string")
+    narrow = spark.createDataFrame([(10 + i,) for i in range(3)], "id long")
+    store.append(wide)
+    for _ in range(3):
+        store.append(narrow)
+    store.append(spark.createDataFrame([(99, 1.5)], "ID long, c double"))
+    store.compact()
+    store.vacuum()
+    got = sorted(map(tuple, store.read().select("id", "b", "c").collect()), key=repr)
+    want = [(i, f"b{i}", None) for i in range(6)] + 3 * [(10 + i, None, None) for i in range(3)] + [(99, None, 1.5)]
+    assert got == sorted(want, key=repr)
+    with pytest.raises(ValueError, match="column b"):
+        store.append(spark.createDataFrame([(1, 2)], "id long, b long"))
+    assert store.read().count() == len(want)
+
+
+def test_arrivals_come_in_order_with_nulls_apart(spark):
+    df = spark.createDataFrame([(1, -1), (2, None), (3, 0), (4, 10), (5, 9)], "id long, a int")
+    store = shards.ShardTable(spark, scratch_path(spark, "test"))
+    manifest = store.append_arrivals(df, df["a"])
+    assert [store._read([r], manifest.schema).first()["id"] for r in manifest.runs] == [2, 1, 3, 5, 4]
+    assert len(store.versions()) == 1
+
+
 def test_pipeline_keeps_clean_documents_and_columns(spark, tmp_path):
     rng = random.Random(9)
     docs, labels, items = [], [], [(i, words(rng, 30)) for i in range(5)]
@@ -135,3 +210,23 @@ def test_pipeline_keeps_clean_documents_and_columns(spark, tmp_path):
     lines = {r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/out1").where(f"text LIKE '%{shared}%'").select("doc_id").collect()}
     assert lines == {7}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == sizes[4]
+    # lazy results of two runs and of single stages live side by side
+    first, second = corpus_pipeline.run(spark, str(tmp_path)), corpus_pipeline.run(spark, str(tmp_path))
+    kept = spark.read.parquet(f"{tmp_path}/out3")
+    a, b = corpus_pipeline.pack(spark, kept, str(tmp_path)), corpus_pipeline.pack(spark, kept, str(tmp_path))
+    near = corpus_pipeline.drop_near_duplicates(spark, kept, str(tmp_path))
+    for rows in (first, second, a, b, near):
+        assert {r["doc_id"] for r in rows.select("doc_id").collect()} == sizes[4]
+
+
+def test_pipeline_over_empty_tables_and_clashing_columns(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, __n_lines int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    line = "a line that is long enough to be judged by its key " * 2
+    docs = spark.createDataFrame([(i, f"{line}\nown words {i}", 7, 8) for i in range(6)], "doc_id long, text string, __n_lines int, __text_hash int")
+    for _, fn in corpus_pipeline.STAGES[:4]:
+        docs = fn(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "__n_lines", "__text_hash"]
+    assert sorted((r[0], r[1].count(line), r[2], r[3]) for r in docs.collect()) == [(i, int(i == 5), 7, 8) for i in range(6)]
