@@ -47,9 +47,12 @@ _own_dir: list[str] = []
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share, ``spark.checkpoint.dir``; a local one only if that is unset."""
+    """A new path in the folder that all executors share, ``spark.checkpoint.dir``; a local one only where a local master leaves that unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="scatterlake-"))
         root = _own_dir[0]
