@@ -38,13 +38,15 @@ class Problem:
     pixels: int
 
     @staticmethod
-    def of(grid: DataFrame, projections: DataFrame, segments: DataFrame, images: DataFrame, n: int, n_projections: int, n_segments: int) -> Problem:
-        points = P.hit_points(grid.select(*KEY), projections, n, n, n)
-        inside = (F.floor("xp") > 0) & (F.floor("xp") < n) & (F.floor("yp") > 0) & (F.floor("yp") < n)
+    def of(grid: DataFrame, projections: DataFrame, segments: DataFrame, images: DataFrame, n: int, n_projections: int, n_segments: int, shape: tuple[int, int, int] | None = None, size: tuple[int, int] | None = None) -> Problem:
+        """A cube of ``n`` seen in images of n x n, or a volume of ``shape`` (iy, ix, iz) in images of ``size`` (y, x)."""
+        ny, nx = size or (n, n)
+        points = P.hit_points(grid.select(*KEY), projections, shape or n, ny, nx)
+        inside = (F.floor("xp") > 0) & (F.floor("xp") < nx) & (F.floor("yp") > 0) & (F.floor("yp") < ny)
         taps = points.where(inside).select(*KEY, "p", F.explode(P._taps()).alias("t")).select(*KEY, "p", "t.*").where(F.col("w") > 0)
         q = G.directions(projections, segments).groupBy("p").pivot("seg", list(range(n_segments)))
         wide = q.agg(F.first("qx").alias("qx"), F.first("qy").alias("qy"), F.first("qz").alias("qz"))
-        return Problem(stage(taps, "taps"), stage(wide, "directions"), images, n_segments, n_projections * n * n)
+        return Problem(stage(taps, "taps"), stage(wide, "directions"), images, n_segments, n_projections * ny * nx)
 
     def names(self, prefix: str) -> list[str]:
         return [f"{prefix}{k}" for k in range(self.segments)]

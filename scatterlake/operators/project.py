@@ -21,14 +21,15 @@ def checked_broadcast(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def hit_points(voxels: DataFrame, projections: DataFrame, n: int, ny: int, nx: int) -> DataFrame:
+def hit_points(voxels: DataFrame, projections: DataFrame, shape: int | tuple[int, int, int], ny: int, nx: int) -> DataFrame:
     """Every voxel with every projection, and its image coordinates xp, yp from 1.
 
-    Image columns run from 1 - ceil(nx / 2) + dx, rows likewise.
+    ``shape`` is the volume's size along iy, ix, iz, or one size for all. Image columns run from 1 - ceil(nx / 2) + dx, rows likewise.
     """
     geometry = projections.select("p", "dx", "dy", *rotation_columns())
     rows = voxels.crossJoin(checked_broadcast(geometry))
-    x, y, z = centred("ix", n), centred("iy", n), centred("iz", n)
+    sizes = (shape,) * 3 if isinstance(shape, int) else shape
+    y, x, z = (centred(c, n) for c, n in zip(("iy", "ix", "iz"), sizes, strict=True))
     at = [F.col(f"r{k}1") * x + F.col(f"r{k}2") * y + F.col(f"r{k}3") * z for k in (1, 2)]
     low_x, low_y = 1 - (nx + 1) // 2, 1 - (ny + 1) // 2
     return rows.select(*voxels.columns, "p", (at[0] - low_x - F.col("dx") + 1).alias("xp"), (at[1] - low_y - F.col("dy") + 1).alias("yp"))

@@ -13,7 +13,7 @@ from scatterlake.plans.derive import CURVE, curves
 from scatterlake.plans.grid import rounded
 from scatterlake.plans.pattern import PAT, PROFILE, profiles
 from scatterlake.plans.registry import query
-from scatterlake.session import work_path
+from scatterlake.session import table, work_path
 from scatterlake.sources.standins import FRAME_SQL, frames
 
 FR = f"WITH frame AS ({FRAME_SQL})"
@@ -40,13 +40,17 @@ def intensity_calib(spark, sf_dir):
     return m.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("g") * F.col("x") / v) / F.sum(F.col("x") ** 2 / v), 9).alias("scale"))
 
 
-@query("affine_parts", "SELECT CAST(range AS INTEGER) AS k, round(1 + range / 50e0, 9) AS sx, round(1 + range / 80e0, 9) AS sy, round(range * 1.5e0, 9) + 0.0 AS angle, round(range / 100e0, 9) + 0.0 AS shear FROM range(50)")
+AFFINE_SQL = "SELECT event_id, 1 + event_id % 50 / 50e0 AS sx, 1 + event_id % 80 / 80e0 AS sy, value - 75e0 * floor(value / 75e0) AS angle, event_id % 100 / 100e0 AS shear FROM events WHERE value IS NOT NULL"
+
+
+@query("affine_parts", f"SELECT event_id, round(sx, 9) AS sx, round(sy, 9) AS sy, round(angle, 9) + 0.0 AS angle, round(shear, 9) + 0.0 AS shear FROM ({AFFINE_SQL})")
 def affine_parts(spark, sf_dir):
-    """Matrices composed of rotation, shear and scales, and taken apart again."""
-    i = F.col("id")
-    a, shear, sx, sy = F.radians(i * 1.5), i / 100, 1 + i / 50, 1 + i / 80
-    m = spark.range(50).select(
-        i.cast("int").alias("k"),
+    """Matrices composed of each event's rotation, shear and scales, and taken apart again."""
+    i = F.col("event_id")
+    e = table(spark, sf_dir, "events").where(F.col("value").isNotNull()).withColumn("angle", F.col("value") - 75.0 * F.floor(F.col("value") / 75.0))
+    a, shear, sx, sy = F.radians("angle"), i % 100 / 100, 1 + i % 50 / 50, 1 + i % 80 / 80
+    m = e.select(
+        "event_id",
         (F.cos(a) * sx).alias("m11"), ((F.cos(a) * shear - F.sin(a)) * sy).alias("m12"),
         (F.sin(a) * sx).alias("m21"), ((F.sin(a) * shear + F.cos(a)) * sy).alias("m22"),
     )
@@ -55,25 +59,30 @@ def affine_parts(spark, sf_dir):
     wide = F.sqrt(F.col("m11") ** 2 + F.col("m21") ** 2)
     high = det / wide
     lean = (F.col("m11") * F.col("m12") + F.col("m21") * F.col("m22")) / wide / high
-    return rounded(m.select("k", wide.alias("sx"), high.alias("sy"), F.degrees(angle).alias("angle"), lean.alias("shear")), ["k"], ["sx", "sy", "angle", "shear"], 9)
+    return rounded(m.select("event_id", wide.alias("sx"), high.alias("sy"), F.degrees(angle).alias("angle"), lean.alias("shear")), ["event_id"], ["sx", "sy", "angle", "shear"], 9)
 
 
-@query("taper", "SELECT CAST(range AS INTEGER) AS k, round(CASE WHEN range < 8 THEN (1 - cos(pi() * (range + 5e-1) / 8)) / 2 WHEN range >= 56 THEN (1 - cos(pi() * (63.5e0 - range) / 8)) / 2 ELSE 1 END, 9) AS w FROM range(64)")
+@query("taper", f"WITH {CURVE} SELECT vec_id, k, round(v * CASE WHEN k < 8 THEN (1 - cos(pi() * (k + 5e-1) / 8)) / 2 WHEN k >= 56 THEN (1 - cos(pi() * (63.5e0 - k) / 8)) / 2 ELSE 1 END, 9) + 0.0 AS v FROM curve")
 def taper(spark, sf_dir):
-    """A Hann edge of eight samples on both sides of a flat window."""
-    i, edge = F.col("id"), 8
-    near = F.least(i + 0.5, 63.5 - i)
-    return spark.range(64).select(i.cast("int").alias("k"), F.round(F.when(near < edge, (1 - F.cos(math.pi * near / edge)) / 2).otherwise(1.0), 9).alias("w"))
+    """Curves under a window with a Hann edge of eight samples on both sides."""
+    edge = 8
+    near = F.least(F.col("k") + 0.5, 63.5 - F.col("k"))
+    w = F.when(near < edge, (1 - F.cos(math.pi * near / edge)) / 2).otherwise(1.0)
+    return rounded(curves(spark, sf_dir).select("vec_id", "k", (F.col("v") * w).alias("v")), ["vec_id", "k"], ["v"], 9)
+
+
+LEGENDRE = {1: "x", 2: "(3 * x ** 2 - 1) / 2", 3: "(5 * x ** 3 - 3 * x) / 2", 4: "(35 * x ** 4 - 30 * x ** 2 + 3) / 8"}
 
 
-@query("legendre", "SELECT CAST(k AS INTEGER) AS k, round(x, 9) + 0.0 AS p1, round((3 * x ** 2 - 1) / 2, 9) + 0.0 AS p2, round((5 * x ** 3 - 3 * x) / 2, 9) + 0.0 AS p3, round((35 * x ** 4 - 30 * x ** 2 + 3) / 8, 9) + 0.0 AS p4 FROM (SELECT range AS k, range / 50e0 - 1 AS x FROM range(101))")
+@query("legendre", f"WITH {CURVE} SELECT vec_id, " + ", ".join(f"round(sum(v * {p}) * {2 * n + 1}e0 / 64, 9) + 0.0 AS c{n}" for n, p in LEGENDRE.items()) + " FROM (SELECT *, (k + 5e-1) / 32 - 1 AS x FROM curve) GROUP BY vec_id")
 def legendre(spark, sf_dir):
-    """By the recurrence (n + 1) P_n+1 = (2 n + 1) x P_n - n P_n-1."""
-    x = F.col("id") / 50 - 1
+    """The first coefficients of each curve in the Legendre basis, by the recurrence (n + 1) P_n+1 = (2 n + 1) x P_n - n P_n-1."""
+    x = (F.col("k") + 0.5) / 32 - 1
     p = [F.lit(1.0), x]
     for n in (1, 2, 3):
         p.append(((2 * n + 1) * x * p[n] - n * p[n - 1]) / (n + 1))
-    return rounded(spark.range(101).select(F.col("id").cast("int").alias("k"), *(p[n].alias(f"p{n}") for n in (1, 2, 3, 4))), ["k"], ["p1", "p2", "p3", "p4"], 9)
+    out = [(F.sum(F.col("v") * p[n]) * (2 * n + 1) / 64).alias(f"c{n}") for n in (1, 2, 3, 4)]
+    return rounded(curves(spark, sf_dir).groupBy("vec_id").agg(*out), ["vec_id"], [f"c{n}" for n in (1, 2, 3, 4)], 9)
 
 
 @query("image_gradient", f"{FR} SELECT vec_id, row, col, (lead(counts) OVER w - lag(counts) OVER w) / 2 AS dx FROM frame WINDOW w AS (PARTITION BY vec_id, row ORDER BY col)")

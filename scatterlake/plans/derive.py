@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 from scatterlake.operators import geometry as G
 from scatterlake.operators import model as M
 from scatterlake.operators import project as P
-from scatterlake.plans.grid import N, SIMPSON_SQL, rounded, voxel_sql
+from scatterlake.plans.grid import EXP_SQL, SIMPSON_SQL, exponents, rounded
 from scatterlake.plans.registry import query
 from scatterlake.session import table
-from scatterlake.sources import generate
+from scatterlake.sources import samples
 from scatterlake.sources.standins import FRAME_SQL, PATTERN_SQL, frames, patterns
 
-VOX = f"WITH voxel AS ({voxel_sql()})"
+VOX = f"WITH voxel AS ({samples.VOXEL_SQL})"
+NY = samples.NY_SQL
 SQ = "(a2 * a2 + a4 * a4 + a6 * a6)"
 
 
-def voxels(spark):
-    return generate.voxels(spark, N)
+def voxels(spark, sf_dir):
+    return samples.volume(spark, sf_dir).rows
 
 
 def anisotropy():
@@ -31,42 +32,42 @@ def anisotropy():
 
 @query("doo", f"{VOX} SELECT iy, ix, iz, round({SQ} / (a0 * a0 + {SQ}) * mask, 9) AS doo FROM voxel")
 def doo(spark, sf_dir):
-    return rounded(voxels(spark).withColumn("doo", anisotropy() * F.col("mask")), ["iy", "ix", "iz"], ["doo"], 9)
+    return rounded(voxels(spark, sf_dir).withColumn("doo", anisotropy() * F.col("mask")), ["iy", "ix", "iz"], ["doo"], 9)
 
 
 @query("a_ratio", f"{VOX} SELECT iy, ix, iz, round({SQ} / (a0 * a0 + {SQ}), 9) AS ratio FROM voxel")
 def a_ratio(spark, sf_dir):
-    return rounded(voxels(spark).withColumn("ratio", anisotropy()), ["iy", "ix", "iz"], ["ratio"], 9)
+    return rounded(voxels(spark, sf_dir).withColumn("ratio", anisotropy()), ["iy", "ix", "iz"], ["ratio"], 9)
 
 
 Y = "(a0 * 0.5 / sqrt(pi()) + a2 * sqrt(5 / pi()) * (0.75 * c ** 2 - 0.25) + a4 * sqrt(1 / pi()) * (9e0 / 16 - 45e0 / 8 * c ** 2 + 105e0 / 16 * c ** 4) + a6 * sqrt(13 / pi()) * (-5e0 / 32 + 105e0 / 32 * c ** 2 - 315e0 / 32 * c ** 4 + 231e0 / 32 * c ** 6))"
 
 
-@query("doa_sh", f"{VOX}, node AS ({SIMPSON_SQL}) SELECT iy, ix, iz, round((3 * sum(w * sin(t) * c * c * {Y} ** 2) / sum(w * sin(t) * {Y} ** 2) - 1) / 2, 6) AS doa FROM voxel, (SELECT *, cos(t) AS c FROM node) WHERE iz = 1 GROUP BY ALL")
+@query("doa_sh", f"{VOX}, node AS ({SIMPSON_SQL}) SELECT iy, ix, iz, round((3 * sum(w * sin(t) * c * c * {Y} ** 2) / sum(w * sin(t) * {Y} ** 2) - 1) / 2, 6) AS doa FROM voxel, (SELECT *, cos(t) AS c FROM node) GROUP BY iy, ix, iz")
 def doa_sh(spark, sf_dir):
-    rows = voxels(spark).where(F.col("iz") == 1).withColumn("doa", M.nematic_order(M.harmonic_weight))
+    rows = voxels(spark, sf_dir).withColumn("doa", M.nematic_order(M.harmonic_weight))
     return rounded(rows, ["iy", "ix", "iz"], ["doa"])
 
 
-@query("doa_exp", f"WITH node AS ({SIMPSON_SQL}) SELECT CAST(k.range AS INTEGER) AS k, round((3 * sum(w * sin(t) * cos(t) ** 2 * exp(-25e-2 * k.range * sin(t) ** 2)) / sum(w * sin(t) * exp(-25e-2 * k.range * sin(t) ** 2)) - 1) / 2, 6) + 0.0 AS doa FROM range(40) k, node GROUP BY k.range")
+@query("doa_exp", f"WITH node AS ({SIMPSON_SQL}), {EXP_SQL} SELECT vec_id, round((3 * sum(w * sin(t) * cos(t) ** 2 * exp(-b * sin(t) ** 2)) / sum(w * sin(t) * exp(-b * sin(t) ** 2)) - 1) / 2, 6) + 0.0 AS doa FROM e, node GROUP BY vec_id")
 def doa_exp(spark, sf_dir):
-    b = 0.25 * F.col("id")
-    rows = spark.range(40).select(F.col("id").cast("int").alias("k"), M.nematic_order(lambda x: F.exp(-b * F.sin(x) * F.sin(x))).alias("doa"))
-    return rounded(rows, ["k"], ["doa"])
+    b = F.col("B")
+    rows = exponents(spark, sf_dir).select("vec_id", M.nematic_order(lambda x: F.exp(-b * F.sin(x) * F.sin(x))).alias("doa"))
+    return rounded(rows, ["vec_id"], ["doa"])
 
 
 @query("angles_pi", f"{VOX} SELECT iy, ix, iz, round(4 * theta - pi() * floor(4 * theta / pi()), 6) AS theta, round(9 * phi - pi() * floor(9 * phi / pi()), 6) AS phi FROM voxel")
 def angles_pi(spark, sf_dir):
     pi = F.lit(math.pi)
-    rows = voxels(spark).select("iy", "ix", "iz", F.pmod(4 * F.col("theta"), pi).alias("theta"), F.pmod(9 * F.col("phi"), pi).alias("phi"))
+    rows = voxels(spark, sf_dir).select("iy", "ix", "iz", F.pmod(4 * F.col("theta"), pi).alias("theta"), F.pmod(9 * F.col("phi"), pi).alias("phi"))
     return rounded(rows, ["iy", "ix", "iz"], ["theta", "phi"])
 
 
-@query("vtk_vectors", f"{VOX}, m AS (SELECT *, {SQ} / (a0 * a0 + {SQ}) AS m FROM voxel) SELECT iy, ix, iz, round(CASE WHEN m BETWEEN 0.125 AND 0.135 THEN m * sin(theta) * sin(phi) ELSE 0 END, 9) + 0.0 AS vy, round(CASE WHEN m BETWEEN 0.125 AND 0.135 THEN m * sin(theta) * cos(phi) ELSE 0 END, 9) + 0.0 AS vx, round(CASE WHEN m BETWEEN 0.125 AND 0.135 THEN m * cos(theta) ELSE 0 END, 9) + 0.0 AS vz FROM m")
+@query("vtk_vectors", f"{VOX}, m AS (SELECT *, {SQ} / (a0 * a0 + {SQ}) AS m FROM voxel) SELECT iy, ix, iz, round(CASE WHEN m BETWEEN 0.1 AND 0.14 THEN m * sin(theta) * sin(phi) ELSE 0 END, 9) + 0.0 AS vy, round(CASE WHEN m BETWEEN 0.1 AND 0.14 THEN m * sin(theta) * cos(phi) ELSE 0 END, 9) + 0.0 AS vx, round(CASE WHEN m BETWEEN 0.1 AND 0.14 THEN m * cos(theta) ELSE 0 END, 9) + 0.0 AS vz FROM m")
 def vtk_vectors(spark, sf_dir):
     """Orientation vectors of the length of the anisotropy; outside the thresholds zero."""
-    rows = voxels(spark).select("iy", "ix", "iz", *G.axis_columns(), anisotropy().alias("m"))
-    length = F.when(F.col("m").between(0.125, 0.135), F.col("m")).otherwise(0.0)
+    rows = voxels(spark, sf_dir).select("iy", "ix", "iz", *G.axis_columns(), anisotropy().alias("m"))
+    length = F.when(F.col("m").between(0.1, 0.14), F.col("m")).otherwise(0.0)
     out = rows.select("iy", "ix", "iz", *((length * F.col(f"u{c}")).alias(f"v{c}") for c in "yxz"))
     return rounded(out, ["iy", "ix", "iz"], ["vy", "vx", "vz"], 9)
 
@@ -74,8 +75,8 @@ def vtk_vectors(spark, sf_dir):
 TENSOR = "SELECT iy, ix, iz, a0 + 1 AS xx, a0 AS yy, a2 + 2 AS zz, a4 / 2 AS xy, a6 AS xz, a4 / 4 AS yz FROM voxel"
 
 
-def tensors(spark):
-    return voxels(spark).select(
+def tensors(spark, sf_dir):
+    return voxels(spark, sf_dir).select(
         "iy", "ix", "iz", (F.col("a0") + 1).alias("xx"), F.col("a0").alias("yy"), (F.col("a2") + 2).alias("zz"),
         (F.col("a4") / 2).alias("xy"), F.col("a6").alias("xz"), (F.col("a4") / 4).alias("yz"),
     )
@@ -88,7 +89,7 @@ def frac_aniso(spark, sf_dir):
     trace = c("xx") + c("yy") + c("zz")
     norm = c("xx") ** 2 + c("yy") ** 2 + c("zz") ** 2 + 2 * (c("xy") ** 2 + c("xz") ** 2 + c("yz") ** 2)
     fa = F.sqrt(F.greatest(F.lit(0.0), 1.5 * (1 - trace * trace / 3 / norm)))
-    return rounded(tensors(spark).withColumn("fa", fa), ["iy", "ix", "iz"], ["fa"], 9)
+    return rounded(tensors(spark, sf_dir).withColumn("fa", fa), ["iy", "ix", "iz"], ["fa"], 9)
 
 
 def eigenvalues():
@@ -114,7 +115,7 @@ EIGEN_SQL = """SELECT iy, ix, iz, q + 2 * p * cos(f) AS l1, 3 * q - (q + 2 * p *
 def tensor_to_sh(spark, sf_dir):
     """Roots of the non-negative eigenvalues; the axis is the end of the larger gap."""
     l1, l2, l3 = eigenvalues()
-    rows = tensors(spark).select("iy", "ix", "iz", l1.alias("l1"), l2.alias("l2"), l3.alias("l3"))
+    rows = tensors(spark, sf_dir).select("iy", "ix", "iz", l1.alias("l1"), l2.alias("l2"), l3.alias("l3"))
     axis = F.when(F.col("l1") - F.col("l2") >= F.col("l2") - F.col("l3"), 1).otherwise(3)
     rows = rows.select("iy", "ix", "iz", axis.alias("axis"), *(F.sqrt(F.greatest(F.col(f"l{k}"), F.lit(0.0))).alias(f"s{k}") for k in (1, 2, 3)))
     return rounded(rows, ["iy", "ix", "iz", "axis"], ["s1", "s2", "s3"])
@@ -138,18 +139,18 @@ def eig_field(spark, sf_dir):
             top = top * np.sign(np.take_along_axis(top, np.abs(top).argmax(-1)[:, None], -1)) * np.where((values[:, -1] > 1) & (values[:, -1] < 4), values[:, -1], 0)[:, None]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("iy", "ix", "iz")), *(pa.array(top[:, k]) for k in range(3))], ["iy", "ix", "iz", "vx", "vy", "vz"])
 
-    return tensors(spark).mapInArrow(solve, "iy int, ix int, iz int, vx double, vy double, vz double")
+    return tensors(spark, sf_dir).mapInArrow(solve, "iy int, ix int, iz int, vx double, vy double, vz double")
 
 
 @query("angle_err", f"{VOX} SELECT iy, ix, iz, round(least(abs(phi - 3 * theta), abs(pi() - abs(phi - 3 * theta))), 6) AS err FROM voxel")
 def angle_err(spark, sf_dir):
     d = F.abs(F.col("phi") - 3 * F.col("theta"))
-    return rounded(voxels(spark).withColumn("err", F.least(d, F.abs(math.pi - d))), ["iy", "ix", "iz"], ["err"])
+    return rounded(voxels(spark, sf_dir).withColumn("err", F.least(d, F.abs(math.pi - d))), ["iy", "ix", "iz"], ["err"])
 
 
 @query("valid_summary", f"{VOX} SELECT param, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd FROM (UNPIVOT (SELECT a0, a2, theta FROM voxel WHERE mask = 1) ON a0, a2, theta INTO NAME param VALUE v) GROUP BY param")
 def valid_summary(spark, sf_dir):
-    rows = voxels(spark).where(F.col("mask") == 1).select(F.expr("stack(3, 'a0', a0, 'a2', a2, 'theta', theta) AS (param, v)"))
+    rows = voxels(spark, sf_dir).where(F.col("mask") == 1).select(F.expr("stack(3, 'a0', a0, 'a2', a2, 'theta', theta) AS (param, v)"))
     return rows.groupBy("param").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("sd"))
 
 
@@ -164,10 +165,10 @@ def run_summary(spark, sf_dir):
 # --- volume and projection masks ------------------------------------------------
 @query("otsu", f"""{VOX}, e AS (SELECT min(a0) AS lo, max(a0) AS hi FROM voxel), h AS (SELECT least(199, CAST(floor((a0 - lo) / (hi - lo) * 200) AS INTEGER)) AS b, count(*) AS c FROM voxel, e GROUP BY b),
 r AS (SELECT b, sum(c) OVER (ORDER BY b) AS w0, sum(c * b) OVER (ORDER BY b) AS m0, sum(c) OVER () AS w, sum(c * b) OVER () AS m FROM h), v AS (SELECT b, w0 * (w - w0) * (m0 / w0 - (m - m0) / nullif(w - w0, 0)) ** 2 AS s FROM r)
-SELECT CAST(min(b) AS INTEGER) AS bin FROM v WHERE s >= (SELECT max(s) FROM v) - 1e-6""")
+SELECT CAST(min(b) AS INTEGER) AS bin FROM v WHERE s >= (SELECT max(s) FROM v) * (1 - 1e-9)""")
 def otsu(spark, sf_dir):
     """The threshold bin of 200 that separates best: running sums over at most 200 rows."""
-    v = voxels(spark)
+    v = voxels(spark, sf_dir)
     ends = F.broadcast(v.agg(F.min("a0").alias("lo"), F.max("a0").alias("hi")))
     b = F.least(F.lit(199), F.floor((F.col("a0") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 200).cast("int"))
     h = v.crossJoin(ends).groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("c"))
@@ -176,38 +177,41 @@ def otsu(spark, sf_dir):
     gap = F.col("m0") / F.col("w0") - F.try_divide((F.col("m") - F.col("m0")).cast("double"), F.col("w") - F.col("w0"))
     r = r.withColumn("s", F.col("w0") * (F.col("w") - F.col("w0")) * gap * gap)
     best = F.broadcast(r.agg(F.max("s").alias("top")))
-    return r.crossJoin(best).where(F.col("s") >= F.col("top") - 1e-6).agg(F.min("b").alias("bin"))
+    return r.crossJoin(best).where(F.col("s") >= F.col("top") * (1 - 1e-9)).agg(F.min("b").alias("bin"))
 
 
-def _smooth(df, value):
-    for axis in ("iy", "ix", "iz"):
+def _smooth(df, value, bounds):
+    for axis, ends in bounds.items():
         others = [c for c in ("iy", "ix", "iz") if c != axis]
-        df = P.stencil(df, [axis], [value], [(-1, 0.25), (0, 0.5), (1, 0.25)], {axis: (1, N)}, others)
+        df = P.stencil(df, [axis], [value], [(-1, 0.25), (0, 0.5), (1, 0.25)], {axis: ends}, others)
     return df
 
 
 @query("mask3d", f"""{VOX}, k(o, w) AS (VALUES (-1, 25e-2), (0, 5e-1), (1, 25e-2)), s AS (SELECT v.iy + a.o AS iy, v.ix + b.o AS ix, v.iz + c.o AS iz, sum(a0 * mask * a.w * b.w * c.w) AS f FROM voxel v, k a, k b, k c GROUP BY ALL),
-m AS (SELECT iy, ix, iz, CASE WHEN f > 0.5 THEN 1e0 ELSE 0e0 END AS f FROM s WHERE iy BETWEEN 1 AND {N} AND ix BETWEEN 1 AND {N} AND iz BETWEEN 1 AND {N}),
+m AS (SELECT iy, ix, iz, CASE WHEN f > 0.5 THEN 1e0 ELSE 0e0 END AS f FROM s WHERE iy BETWEEN 1 AND {NY} AND ix BETWEEN 1 AND 8 AND iz BETWEEN 1 AND 8),
 t AS (SELECT v.iy + a.o AS iy, v.ix + b.o AS ix, v.iz + c.o AS iz, sum(f * a.w * b.w * c.w) AS f FROM m v, k a, k b, k c GROUP BY ALL)
-SELECT CAST(iy AS INTEGER) AS iy, CAST(ix AS INTEGER) AS ix, CAST(iz AS INTEGER) AS iz, CASE WHEN f > 0.5 THEN 1 ELSE 0 END AS mask FROM t WHERE iy BETWEEN 1 AND {N} AND ix BETWEEN 1 AND {N} AND iz BETWEEN 1 AND {N}""")
+SELECT CAST(iy AS INTEGER) AS iy, CAST(ix AS INTEGER) AS ix, CAST(iz AS INTEGER) AS iz, CASE WHEN f > 0.5 THEN 1 ELSE 0 END AS mask FROM t WHERE iy BETWEEN 1 AND {NY} AND ix BETWEEN 1 AND 8 AND iz BETWEEN 1 AND 8""")
 def mask3d(spark, sf_dir):
     """Smooth, cut, smooth again, cut at one half."""
-    rows = _smooth(voxels(spark).select("iy", "ix", "iz", (F.col("a0") * F.col("mask")).alias("f")), "f")
-    rows = _smooth(rows.withColumn("f", F.when(F.col("f") > 0.5, 1.0).otherwise(0.0)), "f")
+    v = samples.volume(spark, sf_dir)
+    rows = _smooth(v.rows.select("iy", "ix", "iz", (F.col("a0") * F.col("mask")).alias("f")), "f", v.bounds)
+    rows = _smooth(rows.withColumn("f", F.when(F.col("f") > 0.5, 1.0).otherwise(0.0)), "f", v.bounds)
     return rows.select("iy", "ix", "iz", F.when(F.col("f") > 0.5, 1).otherwise(0).alias("mask"))
 
 
-@query("needle_mask", f"""{VOX}, m AS (SELECT iy, ix, iz, CASE WHEN a0 > 1.25 AND NOT (iy <= 2 AND ix >= 8) THEN 1 ELSE 0 END AS m FROM voxel),
-d AS (SELECT a.iy, a.ix, a.iz, max(b.m) AS m FROM m a JOIN m b ON abs(a.iy - b.iy) <= 1 AND abs(a.ix - b.ix) <= 1 AND a.iz = b.iz GROUP BY ALL),
-e AS (SELECT a.iy, a.ix, a.iz, min(b.m) AS m FROM d a JOIN d b ON abs(a.iy - b.iy) <= 1 AND abs(a.ix - b.ix) <= 1 AND a.iz = b.iz GROUP BY ALL) SELECT * FROM e""")
+@query("needle_mask", f"""{VOX}, m AS (SELECT iy, ix, iz, CASE WHEN a0 > 1.1 AND NOT (iy <= 2 AND ix >= 8) THEN 1 ELSE 0 END AS m FROM voxel),
+o AS (SELECT a.range - 1 AS dy, b.range - 1 AS dx FROM range(3) a, range(3) b),
+d AS (SELECT a.iy, a.ix, a.iz, max(b.m) AS m FROM (SELECT iy, ix, iz, iy + dy AS ny, ix + dx AS nx FROM m, o) a JOIN m b ON b.iy = a.ny AND b.ix = a.nx AND b.iz = a.iz GROUP BY ALL),
+e AS (SELECT a.iy, a.ix, a.iz, min(b.m) AS m FROM (SELECT iy, ix, iz, iy + dy AS ny, ix + dx AS nx FROM d, o) a JOIN d b ON b.iy = a.ny AND b.ix = a.nx AND b.iz = a.iz GROUP BY ALL) SELECT * FROM e""")
 def needle_mask(spark, sf_dir):
     """Threshold, keep-out box, then closing: the largest and then the least of each 3 x 3 neighbourhood."""
     box = (F.col("iy") <= 2) & (F.col("ix") >= 8)
-    rows = voxels(spark).select("iy", "ix", "iz", F.when((F.col("a0") > 1.25) & ~box, 1).otherwise(0).alias("m"))
+    v = samples.volume(spark, sf_dir)
+    rows = v.rows.select("iy", "ix", "iz", F.when((F.col("a0") > 1.1) & ~box, 1).otherwise(0).alias("m"))
     around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
     for pick in (F.max, F.min):
         moved = rows.withColumn("o", F.explode(around)).select((F.col("iy") + F.col("o.a")).alias("iy"), (F.col("ix") + F.col("o.b")).alias("ix"), "iz", "m")
-        rows = moved.where(F.col("iy").between(1, N) & F.col("ix").between(1, N)).groupBy("iy", "ix", "iz").agg(pick("m").alias("m"))
+        rows = moved.where(F.col("iy").between(*v.bounds["iy"]) & F.col("ix").between(*v.bounds["ix"])).groupBy("iy", "ix", "iz").agg(pick("m").alias("m"))
     return rows
 
 
@@ -250,12 +254,11 @@ def pad(spark, sf_dir):
     return full.join(f, ["vec_id", "row", "col"], "left").select("vec_id", "row", "col", F.coalesce("counts", F.lit(1.0)).alias("v"))
 
 
-@query("plan_tilts", "SELECT CAST(range AS INTEGER) AS k, round(range * 45e0 / 9, 6) AS tilt, CAST(ceil(pi() * 30 / 2 * cos(radians(range * 5e0))) AS INTEGER) AS projections FROM range(10)")
+@query("plan_tilts", f"WITH pose AS ({samples.POSE_SQL}) SELECT p, round(rot_x, 6) AS tilt, CAST(ceil(pi() * 30 / 2 * cos(radians(rot_x))) AS INTEGER) AS projections FROM pose")
 def plan_tilts(spark, sf_dir):
-    """Projections for each tilt: the count at zero tilt, pi n / 2, shrinks with its cosine."""
-    tilt = F.col("id") * 5.0
-    count = F.ceil(math.pi * 30 / 2 * F.cos(F.radians(tilt))).cast("int")
-    return spark.range(10).select(F.col("id").cast("int").alias("k"), F.round(tilt, 6).alias("tilt"), count.alias("projections"))
+    """Projections for the tilt of each pose: the count at zero tilt, pi n / 2, shrinks with its cosine."""
+    count = F.ceil(math.pi * 30 / 2 * F.cos(F.radians("rot_x"))).cast("int")
+    return samples.poses(spark, sf_dir).select("p", F.round("rot_x", 6).alias("tilt"), count.alias("projections"))
 
 
 # --- segmentation ------------------------------------------------------------------
@@ -370,11 +373,12 @@ def calib_fit(spark, sf_dir):
 LINES = [("Fe Ka", 6.404), ("Cu Ka", 8.048), ("Zn Ka", 8.639), ("Ca Ka", 3.692), ("S Ka", 2.308)]
 
 
-@query("line_id", "WITH l(n, name, e) AS (VALUES (0, 'Fe Ka', 6.404), (1, 'Cu Ka', 8.048), (2, 'Zn Ka', 8.639), (3, 'Ca Ka', 3.692), (4, 'S Ka', 2.308)), p AS (SELECT range AS k, 2 + range * 7e-2 AS x FROM range(100)), d AS (SELECT k, name, row_number() OVER (PARTITION BY k ORDER BY abs(x - e), n) AS r FROM p, l) SELECT k, name FROM d WHERE r = 1")
+@query("line_id", "WITH l(n, name, e) AS (VALUES (0, 'Fe Ka', 6.404), (1, 'Cu Ka', 8.048), (2, 'Zn Ka', 8.639), (3, 'Ca Ka', 3.692), (4, 'S Ka', 2.308)), p AS (SELECT event_id, 2 + value - 7 * floor(value / 7) AS x FROM events WHERE value IS NOT NULL), d AS (SELECT event_id, name, row_number() OVER (PARTITION BY event_id ORDER BY abs(x - e), n) AS r FROM p, l) SELECT event_id, name FROM d WHERE r = 1")
 def line_id(spark, sf_dir):
-    """The nearest known line to each energy, the first on ties; known lines are a fixed list."""
+    """The nearest known line to each event's energy (its value folded to 2-9), the first on ties; known lines are a fixed list."""
     known = F.array(*(F.struct(F.abs(F.col("x") - e).alias("d"), F.lit(n).alias("n"), F.lit(name).alias("name")) for n, (name, e) in enumerate(LINES)))
-    return spark.range(100).select(F.col("id").alias("k"), (2 + F.col("id") * 0.07).alias("x")).select("k", F.array_min(known)["name"].alias("name"))
+    energy = table(spark, sf_dir, "events").where(F.col("value").isNotNull()).select("event_id", (2 + F.col("value") - 7 * F.floor(F.col("value") / 7)).alias("x"))
+    return energy.select("event_id", F.array_min(known)["name"].alias("name"))
 
 
 @query("band_map", f"{PATS}, b(band, centre, width) AS (VALUES ('a', 10, 5), ('b', 31, 9), ('c', 60, 4)) SELECT vec_id, band, sum(counts) AS total FROM frame JOIN b ON row * 8 + col BETWEEN centre - round(width / 2) AND centre + round(width / 2) GROUP BY vec_id, band")

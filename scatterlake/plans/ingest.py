@@ -7,46 +7,26 @@ from pyspark.sql import functions as F
 
 from scatterlake.plans.registry import query
 from scatterlake.session import table
-from scatterlake.sources import spec
+from scatterlake.sources import samples, spec
 from scatterlake.streaming import live
 
-LINES_SQL = """line AS (SELECT CAST(range // 400 AS INTEGER) AS file, range AS line_no, CASE range % 40 WHEN 0 THEN '#S ' || (range // 40 + 1) || ' cscan x 0 10' WHEN 1 THEN '#D 2024-01-' || lpad(CAST(range // 40 % 28 + 1 AS VARCHAR), 2, '0')
- WHEN 2 THEN '#P0 ' || range || ' ' || range * 2 WHEN 3 THEN '#L x y det' WHEN 20 THEN '#C mark ' || CASE WHEN range // 40 % 3 = 0 THEN 'A' ELSE 'BB' END WHEN 39 THEN CASE WHEN range // 40 % 2 = 0 THEN '#X ' || (range // 40 + 1) ELSE '#C aborted' END ELSE (range % 17) || ' ' || (range % 5) || ' 1' END AS text FROM range(2000))"""
-
-
-def lines(spark):
-    """A generated scan log: 50 scans in 5 files, some without an end mark."""
-    i, n = F.col("id"), F.expr("id div 40")
-    k = i % 40
-    text = (
-        F.when(k == 0, F.concat(F.lit("#S "), n + 1, F.lit(" cscan x 0 10")))
-        .when(k == 1, F.concat(F.lit("#D 2024-01-"), F.lpad((n % 28 + 1).cast("string"), 2, "0")))
-        .when(k == 2, F.concat(F.lit("#P0 "), i, F.lit(" "), i * 2))
-        .when(k == 3, "#L x y det")
-        .when(k == 20, F.concat(F.lit("#C mark "), F.when(n % 3 == 0, "A").otherwise("BB")))
-        .when(k == 39, F.when(n % 2 == 0, F.concat(F.lit("#X "), n + 1)).otherwise("#C aborted"))
-        .otherwise(F.concat_ws(" ", i % 17, i % 5, F.lit(1)))
-    )
-    return spark.range(2000).select(F.expr("CAST(id div 400 AS INT)").alias("file"), i.alias("line_no"), text.alias("text"))
-
-
 CARRY = "carried AS (SELECT *, last_value(CAST(nullif(regexp_extract(text, '^#S ([0-9]+)', 1), '') AS INTEGER) IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no) AS scan FROM line)"
 
 
-@query("spec_parse", f"""WITH {LINES_SQL}, {CARRY} SELECT file, scan, max(CASE WHEN text LIKE '#D%' THEN substr(text, 4) END) AS started, CAST(2 AS INTEGER) AS motors, CAST(3 AS INTEGER) AS counters,
+@query("spec_parse", f"""WITH {samples.LOG_SQL}, {CARRY} SELECT file, scan, max(CASE WHEN text LIKE '#D%' THEN substr(text, 4) END) AS started, CAST(2 AS INTEGER) AS motors, CAST(3 AS INTEGER) AS counters,
 count(*) FILTER (WHERE regexp_matches(text, '^[-+0-9.]')) AS n_rows, round(coalesce(sum(TRY_CAST(split_part(text, ' ', 1) AS DOUBLE)) FILTER (WHERE regexp_matches(text, '^[-+0-9.]')), 0), 6) AS total FROM carried WHERE scan IS NOT NULL GROUP BY file, scan""")
 def spec_parse(spark, sf_dir):
-    return spec.scans(lines(spark))
+    return spec.scans(samples.scan_log(spark, sf_dir))
 
 
-@query("find_scans", f"WITH {LINES_SQL}, {CARRY} SELECT file, line_no, scan FROM carried WHERE text LIKE '#C mark %' AND length(text) = 9 AND scan IS NOT NULL")
+@query("find_scans", f"WITH {samples.LOG_SQL}, {CARRY} SELECT file, line_no, scan FROM carried WHERE text LIKE '#C mark %' AND length(text) = 9 AND scan IS NOT NULL")
 def find_scans(spark, sf_dir):
-    return spec.find_scans(lines(spark), "#C mark ")
+    return spec.find_scans(samples.scan_log(spark, sf_dir), "#C mark ")
 
 
-@query("scan_state", f"WITH {LINES_SQL}, b AS (SELECT file, line_no, CAST(regexp_extract(text, '^#S ([0-9]+)', 1) AS INTEGER) AS scan FROM line WHERE text LIKE '#S %') SELECT file, scan, EXISTS (SELECT 1 FROM line l WHERE l.file = b.file AND l.text = '#X ' || b.scan) AS finished, lead(scan) OVER (PARTITION BY file ORDER BY line_no) IS NOT NULL AS overtaken FROM b")
+@query("scan_state", f"WITH {samples.LOG_SQL}, b AS (SELECT file, line_no, CAST(regexp_extract(text, '^#S ([0-9]+)', 1) AS INTEGER) AS scan FROM line WHERE text LIKE '#S %') SELECT file, scan, EXISTS (SELECT 1 FROM line l WHERE l.file = b.file AND l.text = '#X ' || b.scan) AS finished, lead(scan) OVER (PARTITION BY file ORDER BY line_no) IS NOT NULL AS overtaken FROM b")
 def scan_state(spark, sf_dir):
-    return spec.states(lines(spark))
+    return spec.states(samples.scan_log(spark, sf_dir))
 
 
 @query("frame_ids", "SELECT l_partkey AS id FROM lineitem WHERE l_quantity > 45 INTERSECT SELECT p_partkey FROM part WHERE p_size < 20")
@@ -87,11 +67,13 @@ def json_props(spark, sf_dir):
     )
 
 
-@query("angles_parse", "SELECT CAST(range AS INTEGER) AS k, range * 1.5e0 AS phi, -range / 4e0 AS chi FROM range(200)")
+@query("angles_parse", f"WITH pose AS ({samples.POSE_SQL}) SELECT p, round(rot_y, 2) AS phi, round(-rot_x, 2) + 0.0 AS chi FROM (SELECT p, rot_y, floor(rot_x * 4) / 4 AS rot_x FROM pose)")
 def angles_parse(spark, sf_dir):
-    names = spark.range(200).select(F.col("id").cast("int").alias("k"), F.format_string("sample_phi%.2f_chi%.2f_0001.edf", F.col("id") * 1.5, -F.col("id") / 4).alias("name"))
-    part = lambda mark: F.regexp_extract("name", rf"{mark}(-?[0-9.]+)_", 1).cast("double")
-    return names.select("k", part("phi").alias("phi"), part("chi").alias("chi"))
+    """Angles read back from the file names that the poses of the stage give their images."""
+    name = F.format_string("sample_phi%.2f_chi%.2f_0001.edf", F.col("rot_y"), -F.floor(F.col("rot_x") * 4) / 4)
+    names = samples.poses(spark, sf_dir).select("p", name.alias("name"))
+    part = lambda mark: F.regexp_extract("name", rf"{mark}(-?[0-9.]+)_", 1).cast("double") + F.lit(0.0)
+    return names.select("p", part("phi").alias("phi"), part("chi").alias("chi"))
 
 
 @query("poisson")

@@ -44,12 +44,14 @@ def mask_tune(spark, sf_dir):
     return I.tune_mask(frames(spark, sf_dir), CY, CX, 1.2)
 
 
-@query("mask_index", "SELECT CAST(range AS INTEGER) AS i, CAST((range - 1) % 12 * 7 + (range + 11) // 12 AS INTEGER) AS j, CAST((range - 1) % 12 + 1 AS INTEGER) AS row, CAST((range - 1) // 12 + 1 AS INTEGER) AS col FROM range(1, 85)")
+@query("mask_index", f"{FR} SELECT vec_id, CAST(i AS INTEGER) AS i, CAST((i - 1) % 8 * 8 + (i + 7) // 8 AS INTEGER) AS j, CAST((i - 1) % 8 + 1 AS INTEGER) AS row, CAST((i - 1) // 8 + 1 AS INTEGER) AS col FROM (SELECT vec_id, row + 1 + col * 8 AS i FROM frame WHERE counts < 150)")
 def mask_index(spark, sf_dir):
-    """Linear index of a 12 x 7 mask from column-major to row-major, and its row and column."""
-    d1, d2 = 12, 7
-    i = F.col("id")
-    return spark.range(1, d1 * d2 + 1).select(
+    """Each frame's valid pixels by column-major index, and from that the row-major index, row and column."""
+    d1, d2 = 8, 8
+    i = F.col("i")
+    valid = frames(spark, sf_dir).where(F.col("counts") < 150).select("vec_id", (F.col("row") + 1 + F.col("col") * d1).alias("i"))
+    return valid.select(
+        "vec_id",
         i.cast("int").alias("i"),
         (F.pmod(i - 1, F.lit(d1)) * d2 + F.ceil(i / d1)).cast("int").alias("j"),
         (F.pmod(i - 1, F.lit(d1)) + 1).cast("int").alias("row"),
@@ -90,10 +92,12 @@ def label_mask(spark, sf_dir):
     return all_pixels(spark, sf_dir).select("row", "col", F.when(r.between(1, 4), r + s * 4).otherwise(0).cast("int").alias("label"))
 
 
-@query("pixel_to_q", "SELECT CAST(range AS INTEGER) AS px, round(4 * pi() * sin(atan(range * 172e-6 / 7.126e0) / 2) / (12.39852e0 / 13.6e0), 9) AS q FROM range(1, 501)")
+@query("pixel_to_q", f"{FR} SELECT vec_id, round(4 * pi() * sin(atan(px * 172e-6 / 7.126e0) / 2) / (12.39852e0 / 13.6e0), 9) AS q FROM (SELECT vec_id, sum(counts * sqrt((row - {CY}) ** 2 + (col - {CX}) ** 2)) / sum(counts) AS px FROM frame WHERE counts > 0 GROUP BY vec_id)")
 def pixel_to_q(spark, sf_dir):
-    q = 4 * F.pi() * F.sin(F.atan(F.col("id") * 172e-6 / 7.126) / 2) / (12.39852 / 13.6)
-    return spark.range(1, 501).select(F.col("id").cast("int").alias("px"), F.round(q, 9).alias("q"))
+    """q at the mean radius of each frame's counts."""
+    px = F.sum(F.col("counts") * I.radius(CY, CX)) / F.sum("counts")
+    q = 4 * F.pi() * F.sin(F.atan(F.col("px") * 172e-6 / 7.126) / 2) / (12.39852 / 13.6)
+    return frames(spark, sf_dir).where(F.col("counts") > 0).groupBy("vec_id").agg(px.alias("px")).select("vec_id", F.round(q, 9).alias("q"))
 
 
 @query("beam_center", f"""{FR}, p AS (SELECT row, col, avg(counts) AS v FROM frame GROUP BY row, col), c AS (SELECT 2.5 + a.range * 5e-1 AS cy, 2.5 + b.range * 5e-1 AS cx FROM range(5) a, range(5) b),

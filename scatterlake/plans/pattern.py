@@ -178,25 +178,28 @@ def doo_hist(spark, sf_dir):
     return d.groupBy(F.floor(F.col("d") * 1000).alias("bin")).agg(F.count(F.lit(1)).alias("c")).crossJoin(F.broadcast(overall))
 
 
-@query("q_edges", "WITH e AS (SELECT range AS k, CAST(round(10 ** (ln(20) / ln(10) + range * (ln(800) - ln(20)) / ln(10) / 60)) AS BIGINT) AS edge FROM range(61)), d AS (SELECT edge, lag(edge) OVER (ORDER BY k) AS prev FROM e) SELECT edge FROM d WHERE prev IS NULL OR prev <> edge")
+@query("q_edges", f"""WITH pattern AS ({PATTERN_SQL}), top AS (SELECT vec_id, 2e1 + max(i) AS top FROM pattern WHERE i >= 0 GROUP BY vec_id), e AS (SELECT vec_id, range AS k, CAST(round(10 ** (ln(20) / ln(10) + range * (ln(top * 8) - ln(20)) / ln(10) / 60)) AS BIGINT) AS edge FROM top, range(61)), d AS (SELECT vec_id, edge, lag(edge) OVER (PARTITION BY vec_id ORDER BY k) AS prev FROM e) SELECT vec_id, edge FROM d WHERE prev IS NULL OR prev <> edge""")
 def q_edges(spark, sf_dir):
-    """Logarithmic integer edges from 20 to 800; equal neighbours are dropped."""
-    edge = F.round(F.pow(F.lit(10.0), F.log10(F.lit(20.0)) + F.col("id") * (F.log10(F.lit(800.0)) - F.log10(F.lit(20.0))) / 60)).cast("long")
-    rows = spark.range(61).select("id", edge.alias("edge")).withColumn("prev", F.lag("edge").over(Window.orderBy("id")))
-    return rows.where(F.col("prev").isNull() | (F.col("prev") != F.col("edge"))).select("edge")
+    """Logarithmic integer edges from 20 to eight times the reach of each pattern; equal neighbours are dropped."""
+    top = patterns(spark, sf_dir).where(F.col("i") >= 0).groupBy("vec_id").agg((20.0 + F.max("i")).alias("top"))
+    rows = top.select("vec_id", "top", F.explode(F.sequence(F.lit(0), F.lit(60))).alias("k"))
+    low = F.log10(F.lit(20.0))
+    edge = F.round(F.pow(F.lit(10.0), low + F.col("k") * (F.log10(F.col("top") * 8) - low) / 60)).cast("long")
+    rows = rows.select("vec_id", "k", edge.alias("edge")).withColumn("prev", F.lag("edge").over(Window.partitionBy("vec_id").orderBy("k")))
+    return rows.where(F.col("prev").isNull() | (F.col("prev") != F.col("edge"))).select("vec_id", "edge")
 
 
-@query("spacing", "SELECT CAST(range AS INTEGER) AS d, round(tan(2 * asin(0.9116e0 / (2e0 * range))) / 0.172e0 * 7126, 6) AS px, round(4 * pi() * sin(atan(range * 0.172e0 / 7126) / 2) / 0.9116e0, 9) AS q FROM range(1, 301)")
+@query("spacing", "SELECT event_id, round(tan(2 * asin(0.9116e0 / (2e0 * d))) / 0.172e0 * 7126, 6) AS px, round(4 * pi() * sin(atan(d * 0.172e0 / 7126) / 2) / 0.9116e0, 9) AS q FROM (SELECT event_id, 1 + abs(value) AS d FROM events WHERE value IS NOT NULL)")
 def spacing(spark, sf_dir):
-    """d-spacing (A) to pixel, and pixel to q, for the instrument's constants."""
+    """d-spacing (A) to pixel, and pixel to q, for the instrument's constants; an event's value is the spacing."""
     wave, size, distance = 0.9116, 0.172, 7126.0
-    d = F.col("id").cast("double")
-    rows = spark.range(1, 301).select(
-        F.col("id").cast("int").alias("d"),
+    d = F.col("d")
+    rows = table(spark, sf_dir, "events").where(F.col("value").isNotNull()).select("event_id", (1 + F.abs("value")).alias("d"))
+    return rows.select(
+        "event_id",
         F.round(F.tan(2 * F.asin(wave / (2 * d))) / size * distance, 6).alias("px"),
         F.round(4 * F.pi() * F.sin(F.atan(d * size / distance) / 2) / wave, 9).alias("q"),
     )
-    return rows
 
 
 @query("beer_lambert", f"{PAT}, {PROFILE} SELECT vec_id, round(-ln(sum(s) / (SELECT max(t) FROM (SELECT sum(s) AS t FROM profile GROUP BY vec_id))), 6) + 0.0 AS mu FROM profile GROUP BY vec_id")
