@@ -54,10 +54,11 @@ GENERATORS = (
     ("phone", r"(?:\+|(?<![0-9])00)[1-9][0-9]{0,2}(?:[\x20().-]{0,2}[0-9]){7,14}(?![0-9])", r"\+|00[1-9]"),
     ("phone", r"(?<![0-9+(.-])(?:\([0-9]{2,5}\)|[0-9]{2,5})[\x20./-]{1,2}[0-9]{3,4}[\x20./-]?[0-9]{3,5}(?![0-9])", r"[0-9][)]?[\x20./-]{1,2}[0-9]{3}"),
     ("secret", r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{16,256}+(?![A-Za-z0-9_/+-])", "[0-9]"),
+    ("secret", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s:,.-]{0,8192}?-----END [A-Z ]{0,40}PRIVATE KEY-----", "PRIVATE KEY-----"),
     ("secret", r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)[\x22\x27]?\s?[=:]\s?[\x22\x27]?[^\s\x22\x27,;]{6,128}+", r"[dtnyDTNY][\x22\x27]?\s?[=:]"),
 )
 #: A text without this has no candidate of any generator.
-ANY = r"[0-9@]|[(\[{] ?[aA][tT] ?[)\]}]|[dtnyDTNY][\x22\x27]?\s?[=:]"
+ANY = r"[0-9@]|PRIVATE KEY-----|[(\[{] ?[aA][tT] ?[)\]}]|[dtnyDTNY][\x22\x27]?\s?[=:]"
 #: Words before a span that speak of personal data or of a secret, and words that speak of something else.
 CUES = {
     "email": "(?i)(?:e-?mail|mail|contact|write|kontakt|correo|courriel|adresse)",
@@ -67,13 +68,16 @@ CUES = {
     "secret": "(?i)(?:password|passwd|pwd|secret|token|key|credential|auth|bearer)",
 }
 OTHER = "(?i)(?:order|invoice|version|release|build|commit|isbn|article|part|file|image|serial|batch|ratio|time|total|id|sha|md5|chapter)"
-KNOWN_SECRET = r"^(?:AKIA[A-Z0-9]{16}|ASIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk[-_][A-Za-z0-9_-]{16,}|xox[abp]-.{10,}|AIza[A-Za-z0-9_-]{20,}|glpat-[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{16,})"
-ASSIGNED = r"(?i)^(?:password|passwd|pwd|secret|token|api[_-]?key)[\x22\x27]?\s?[=:]"
+KNOWN_SECRET = r"^(?:-----BEGIN |AKIA[A-Z0-9]{16}|ASIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk[-_][A-Za-z0-9_-]{16,}|xox[abp]-.{10,}|AIza[A-Za-z0-9_-]{20,}|glpat-[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{16,})"
+#: An assignment: by an equals sign, or by a colon before what no sentence goes on with.
+ASSIGNED = r"(?i)^(?:password|passwd|pwd|secret|token|api[_-]?key)[\x22\x27]?\s?(?:=|:(?=\s?[\x22\x27]?(?:\S*[0-9!@#$%^&*_]|\S{14})))"
 NEAR = 24
 FOUND = "array<struct<start:int,`end`:int,text:string>>"
 ADDED = "array<struct<start:int,`end`:int,kind:int>>"
 CANDIDATES = "array<struct<start:int,`end`:int,kind:int,x:array<double>>>"
 CHUNK = 512
+#: Code points of a piece of a text: what surrounds a span is read from its pieces, not by counting from the text's start.
+PIECE = 1024
 
 #: Bounds of the training sample: stretches of texts, and planted examples.
 MAX_DOCS = 2_000
@@ -118,6 +122,42 @@ def located(text: str, pattern: str) -> str:
     return _let(_let(steps, "s", chunks), "parts", placed)
 
 
+def pieces(text: str) -> str:
+    """The text in pieces of PIECE code points, for ``between``."""
+    return f"regexp_extract_all({text}, r'(?s).{{1,{PIECE}}}', 0)"
+
+
+def between(parts: str, start: str, end: str) -> str:
+    """Code points ``start`` to ``end`` (exclusive) of a text in ``pieces``, in time that only their number counts for."""
+    first, last = f"CAST(floor(({start}) / {PIECE}) AS INT)", f"CAST(floor(({end} - 1) / {PIECE}) AS INT)"
+    return f"CASE WHEN {end} <= {start} THEN '' ELSE substr(array_join(slice({parts}, {first} + 1, {last} - {first} + 1), ''), ({start}) % {PIECE} + 1, {end} - ({start})) END"
+
+
+def scanned(items: str, kind: str, begin: str, step: str, out: str = "out") -> str:
+    """Folds an array from left to right and gives the array that the steps have put out, in linear time.
+
+    ``begin`` is the state, a struct with the empty array ``out`` of the given
+    type; ``step`` the next state from ``a`` (the state) and ``x`` (the item).
+    Arrays grow within chunks only, and chunks are flattened at the end.
+    """
+    fold = f"aggregate(slice(s, c * {CHUNK} + 1, {CHUNK}), named_struct('at', whole.at, 'out', CAST(array() AS {kind})), (a, x) -> {step})"
+    keep = _let(fold, "part", "named_struct('at', part.at, 'parts', concat(whole.parts, array(part.out)))")
+    chunks = f"sequence(0, greatest(CAST(ceil(size(s) / {CHUNK}) AS INT) - 1, 0))"
+    return _let(items, "s", f"aggregate({chunks}, named_struct('at', {begin}, 'parts', CAST(array() AS array<{kind}>)), (whole, c) -> {keep}, whole -> flatten(whole.parts))")
+
+
+def outside(found: str, ruled: str) -> str:
+    """The spans of ``found`` that overlap none of ``ruled``: one sort and one scan.
+
+    At a span's end, the farthest end of the ruled spans that have begun before tells.
+    """
+    none = f"CAST(NULL AS {FOUND[6:-1]})"
+    begun = f"transform({ruled}, r -> named_struct('pos', r.start, 'rule', 1, 'far', r.`end`, 'x', {none}))"
+    asked = f"transform(filter({found}, x -> x.start < x.`end`), x -> named_struct('pos', x.`end`, 'rule', 0, 'far', 0, 'x', x))"
+    step = "CASE WHEN x.rule = 1 THEN named_struct('at', greatest(a.at, x.far), 'out', a.out) WHEN a.at > x.x.start THEN a ELSE named_struct('at', a.at, 'out', concat(a.out, array(x.x))) END"
+    return f"CASE WHEN size({ruled}) = 0 THEN filter({found}, x -> x.start < x.`end`) ELSE {scanned(f'array_sort(concat({begun}, {asked}))', FOUND, '0', step)} END"
+
+
 def valid(kind: str, text: str) -> str:
     """Whether a match of the rule's pattern passes the rule."""
     if kind == "email":
@@ -150,28 +190,27 @@ def _passes(kind: str, span: str) -> str:
     return valid(kind, span)
 
 
-def candidates(text: str, generator: tuple[str, str, str], ruled: str) -> str:
+def candidates(text: str, generator: tuple[str, str, str], ruled: str, parts: str) -> str:
     """The generator's spans outside ``ruled`` as CANDIDATES, their features in the order of FEATURES."""
     kind, pattern, needs = generator
-    fresh = f"x.start < x.`end` AND NOT exists({ruled}, r -> r.start < x.`end` AND x.start < r.`end`)"
     counted = lambda other: f"length(regexp_replace(x.text, {_quoted(other)}, ''))"
-    before = f"substr({text}, greatest(x.start - {NEAR - 1}, 1), least(x.start, {NEAR}))"
+    before = between(parts, f"greatest(x.start - {NEAR}, 0)", "x.start")
     like = lambda what, where: f"{what} rlike {_quoted(where)}"
     values = [
         *(str(kind == k) for k in ADDED_KINDS),
         "length(x.text)", counted("[^0-9]"), counted("[^A-Z]"), counted("[^a-z]"), counted(r"[\p{L}\p{N}]"),
         "size(array_distinct(split(x.text, '')))", _passes(kind, "x.text"), like("x.text", r"^(?:\+|\(?0)"),
-        like("b", r"[\p{L}\p{N}]$"), like(f"substr({text}, x.`end` + 1, 1)", r"^[\p{L}\p{N}]"), like("b", CUES[kind]), like("b", OTHER),
+        like("b", r"[\p{L}\p{N}]$"), like(f"substr(get({parts}, CAST(floor(x.`end` / {PIECE}) AS INT)), x.`end` % {PIECE} + 1, 1)", r"^[\p{L}\p{N}]"), like("b", CUES[kind]), like("b", OTHER),
     ]
     x = _let(before, "b", f"array({', '.join(f'CAST({v} AS DOUBLE)' for v in values)})")
     described = f"named_struct('start', x.start, 'end', x.`end`, 'kind', {ADDED_KINDS.index(kind)}, 'x', {x})"
-    return f"coalesce(CASE WHEN {like(text, needs)} THEN transform(filter({located(text, pattern)}, x -> {fresh}), x -> {described}) END, CAST(array() AS {CANDIDATES}))"
+    return f"coalesce(CASE WHEN {like(text, needs)} THEN transform({_let(located(text, pattern), 'found', outside('found', ruled))}, x -> {described}) END, CAST(array() AS {CANDIDATES}))"
 
 
 def all_candidates(text: str) -> Column:
     """Those of all generators, outside the spans of the rules, which stand under their reserved names."""
     ruled = "concat(" + ", ".join(f"transform(`__{k}`, s -> named_struct('start', s.start, 'end', s.`end`))" for k in KINDS) + ")"
-    every = _let(ruled, "ruled", f"concat({', '.join(candidates(text, g, 'ruled') for g in GENERATORS)})")
+    every = _let(ruled, "ruled", _let(pieces(text), "p", f"concat({', '.join(candidates(text, g, 'ruled', 'p') for g in GENERATORS)})"))
     return F.expr(f"coalesce(CASE WHEN {text} rlike {_quoted(ANY)} THEN {every} END, CAST(array() AS {CANDIDATES}))")
 
 
@@ -241,8 +280,9 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, least: float,
 def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray, kind: np.ndarray, rounds: int = 30, depth: int = 4, precision: float = PRECISION) -> Boosted:
     """Trees from the rows that aren't ``held``, for each kind a threshold from those that are.
 
-    A threshold is the least score at which held rows of the kind are positive
-    in a share of ``precision``; None if there is no such score.
+    A threshold is the least score from which on held rows of the kind are
+    positive in a share of ``precision``, and never less than the score of even
+    odds, by a logistic curve through the held rows; None if there is none.
     """
     tx, ty = x[~held], y[~held].astype(float)
     mean = min(max(ty.mean() if len(ty) else 0.5, 1e-3), 1 - 1e-3)
@@ -268,9 +308,25 @@ def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray, kind: np.ndarray, rounds
             thresholds.append(float(least - 1e-6))
         else:  # between the two scores: even odds if they lie there, so that a wide gap isn't given away, else the middle
             thresholds.append(0.0 if below[0] < 0 < least else float((least + below[0]) / 2))
+        thresholds[-1] = max(thresholds[-1], even_odds(score, truth))
     return Boosted(base, tuple(trees), tuple(thresholds))
 
 
+def even_odds(score: np.ndarray, truth: np.ndarray) -> float:
+    """The score at which a logistic curve through the rows passes one half; a slight prior keeps it near zero."""
+    a, b = 1.0, 0.0
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(a * score + b, -35, 35)))
+        g, h = p - truth, np.maximum(p * (1 - p), 1e-9)
+        gradient = np.array([(g * score).sum() + (a - 1), g.sum() + b])
+        hessian = np.array([[(h * score * score).sum() + 1, (h * score).sum()], [(h * score).sum(), h.sum() + 1]])
+        step = np.linalg.solve(hessian, gradient)
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-6:
+            break
+    return float(-b / a) if a > 1e-3 else 0.0
+
+
 def _tagged(spans: Column, kind: int) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
@@ -326,10 +382,12 @@ def planted(rng: random.Random, kind: str) -> tuple[str, str, bool]:
         good = [
             lambda: "AKIA" + some(LETTERS.upper() + DIGITS, 16), lambda: "ghp_" + some(mixed, 36), lambda: "sk-" + some(mixed, 32, 48),
             lambda: f"{rng.choice(['password', 'secret', 'token', 'api_key'])}{rng.choice(['=', ': '])}{some(mixed, 5, 20)}{some(DIGITS, 1, 3)}", lambda: some(mixed, 30, 40) + some(DIGITS, 1),
+            lambda: f"{rng.choice(['password', 'secret', 'token'])}{rng.choice(['=', ' = '])}{some(LETTERS, 6, 12)}", lambda: f"{rng.choice(['password', 'secret'])}: {some(LETTERS, 15, 24)}",
+            lambda: f"-----BEGIN RSA PRIVATE KEY-----\n{some(mixed, 64)}\n{some(mixed, 64)}\n-----END RSA PRIVATE KEY-----",
         ]
         bad = [
             lambda: f"{word()}_{word()}_{some(DIGITS, 1, 4)}_{word()}", lambda: f"{word()}-{word()}-20{some(DIGITS, 2)}-{some(DIGITS, 2)}-{some(DIGITS, 2)}", lambda: f"IMG_20{some(DIGITS, 6)}_{some(DIGITS, 6)}",
-            lambda: f"{rng.choice(['password', 'secret', 'token'])}: {word()}{word()}", lambda: some(hexes, 40), lambda: f"{some(hexes, 8)}-{some(hexes, 4)}-{some(hexes, 4)}-{some(hexes, 12)}",
+            lambda: f"{rng.choice(['password', 'secret', 'token'])}: {some(LETTERS, 6, 10)}", lambda: some(hexes, 40), lambda: f"{some(hexes, 8)}-{some(hexes, 4)}-{some(hexes, 4)}-{some(hexes, 12)}",
             lambda: some(DIGITS, 16, 24), lambda: f"{word()}{word()}{word()}{some(DIGITS, 1, 2)}",
         ]
         cues, others = ["key", "token", "credential", "auth"], ["commit", "file", "image", "sha"]
@@ -391,8 +449,8 @@ def find_personal_data(docs: DataFrame, model: Boosted | None, text_col: str = "
     rows = rows.withColumn("__candidates", all_candidates(text))
     least = ", ".join("CAST(NULL AS DOUBLE)" if t is None else f"{t!r}D" for t in model.thresholds)
     taken = f"transform(filter(__candidates, c -> {model.expression('c.x')} >= get(array({least}), c.kind)), c -> named_struct('start', c.start, 'end', c.`end`, 'kind', c.kind))"
-    apart = "CASE WHEN try_element_at(acc, -1).`end` > c.start THEN acc ELSE concat(acc, array(c)) END"
-    added = F.expr(f"aggregate(array_sort({taken}), CAST(array() AS {ADDED}), (acc, c) -> {apart})")
+    apart = "CASE WHEN a.at > x.start THEN a ELSE named_struct('at', x.`end`, 'out', concat(a.out, array(x))) END"
+    added = F.expr(scanned(f"array_sort({taken})", ADDED, "0", apart))
     return rows.withColumn("__added", added).drop("__candidates")
 
 
@@ -408,21 +466,20 @@ def all_spans(with_added: bool) -> Column:
 
 
 def redact(docs: DataFrame, model: Boosted | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with each span of ``text_col`` replaced by its kind in brackets; where spans overlap, the first."""
+    """``docs`` with each span of ``text_col`` replaced by its kind in brackets; where spans overlap, the first.
+
+    Spans that begin together count in the order of their kinds, rules first.
+    Null texts become empty ones; texts without spans stay as they are.
+    Repeated rows each return a row, no rows none; all columns stay.
+    """
     rows = find_personal_data(docs, model, text_col)
-    parts = [_tagged(F.col(f"__{k}"), n) for n, k in enumerate(KINDS)]
-    names = F.array(*(F.lit(f"[{k}]") for k in ADDED_KINDS))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    state = F.expr("named_struct('at', 0, 'out', CAST(array() AS array<string>))")
-
-    def cut(acc, s):
-        keep = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["start"] < acc["at"], acc).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(keep, F.get(names, s["kind"]))).alias("out"))
-        )
-
-    whole = F.aggregate(
-        F.array_sort(F.concat(*parts, F.col("__added"))), state, cut,
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text))),
-    )
-    return rows.withColumn(text_col, whole).select(*docs.columns)
+    spans = ", ".join(f"transform(`__{k}`, s -> named_struct('start', s.start, 'end', s.`end`, 'kind', {n}))" for n, k in enumerate(KINDS))
+    ordered = f"array_sort(transform(concat({spans}, __added), s -> named_struct('start', s.start, 'kind', s.kind, 'end', s.`end`)))"
+    names = "array(" + ", ".join(f"'[{k}]'" for k in ADDED_KINDS) + ")"
+    keep = between("p", "a.at", "x.start")
+    step = f"CASE WHEN x.start < a.at THEN a ELSE named_struct('at', x.`end`, 'out', concat(a.out, array(named_struct('end', x.`end`, 'text', concat({keep}, get({names}, x.kind)))))) END"
+    cut = scanned(ordered, "array<struct<`end`:int,text:string>>", "0", step)
+    text = _text(text_col)
+    rest = between("p", "coalesce(try_element_at(cut, -1).`end`, 0)", f"length({text})")
+    whole = _let(pieces(text), "p", _let(cut, "cut", f"concat(array_join(transform(cut, x -> x.text), ''), {rest})"))
+    return rows.withColumn(text_col, F.expr(whole)).select(*(F.col(f"`{c}`") for c in docs.columns))
