@@ -133,3 +133,24 @@ def shell_correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     total = lambda v: np.bincount(ring, v.ravel())
     cross = total((fa * fb.conj()).real) + 1j * total((fa * fb.conj()).imag)
     return np.abs(cross) / np.sqrt(np.maximum(total(np.abs(fa) ** 2) * total(np.abs(fb) ** 2), 1e-300))
+
+
+def integrated(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
+    """The image of mean zero whose differences along both axes are nearest to ``dx`` (rows, n - 1) and ``dy`` (m - 1, n).
+
+    The Poisson equation with free edges is diagonal in the even extension of
+    the image, which one transform of twice the size gives.
+    """
+    m, n = dx.shape[0], dy.shape[1]
+    source = np.zeros((m, n))
+    source[:, :-1] += dx
+    source[:, 1:] -= dx
+    source[:-1] += dy
+    source[1:] -= dy
+    even = np.concatenate([source, source[::-1]], axis=0)
+    even = np.concatenate([even, even[:, ::-1]], axis=1)
+    wave = (2 * np.cos(np.pi * np.arange(2 * m) / m) - 2)[:, None] + (2 * np.cos(np.pi * np.arange(2 * n) / n) - 2)[None, :]
+    wave[0, 0] = 1
+    spectrum = np.fft.fft2(even) / wave
+    spectrum[0, 0] = 0
+    return np.fft.ifft2(spectrum).real[:m, :n]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from scatterlake.operators import geometry as G
 from scatterlake.operators import model as M
 from scatterlake.operators import project as P
+from scatterlake.operators.linesearch import minimise
 from scatterlake.session import stage
 
 KEY = ["iy", "ix", "iz"]
@@ -56,19 +57,19 @@ def _cosines(problem: Problem) -> list[Column]:
     return [M.cosine_to(f"{k}_qx", f"{k}_qy", f"{k}_qz") for k in range(problem.segments)]
 
 
-def simulate(problem: Problem, model: DataFrame) -> DataFrame:
-    """(p, y, x, s0..): the images of a model."""
-    rows = model.select(*KEY, *COEFFICIENTS, *G.axis_columns()).join(problem.taps, KEY).join(P.checked_broadcast(problem.directions), "p")
+def simulate(problem: Problem, model: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(p, y, x, s0..): the images of a model, or of several told apart by the columns ``by``."""
+    rows = model.select(*KEY, *by, *COEFFICIENTS, *G.axis_columns()).join(problem.taps, KEY).join(P.checked_broadcast(problem.directions), "p")
     values = []
     for name, c in zip(problem.names("s"), _cosines(problem), strict=True):
         a = M.amplitude(c)
         values.append(F.sum(a * a * F.col("w")).alias(name))
-    return rows.groupBy("p", "y", "x").agg(*values)
+    return rows.groupBy(*by, "p", "y", "x").agg(*values)
 
 
-def _compared(problem: Problem, model: DataFrame) -> DataFrame:
+def _compared(problem: Problem, model: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     images = problem.images.withColumnsRenamed({s: f"d{k}" for k, s in enumerate(problem.names("s"))})
-    return simulate(problem, model).join(images, ["p", "y", "x"])
+    return simulate(problem, model, by).join(images, ["p", "y", "x"])
 
 
 def error(problem: Problem, model: DataFrame) -> float:
@@ -77,6 +78,19 @@ def error(problem: Problem, model: DataFrame) -> float:
     return float(_compared(problem, model).agg(F.sum(sum(terms[1:], terms[0]))).first()[0] or 0.0) * 2 / problem.pixels
 
 
+def errors_along(problem: Problem, model: DataFrame, wanted: list[str], steps: list[float], mu: float = 0.0) -> list[float]:
+    """The errors of ``model`` moved by each of ``steps`` along its columns h_<parameter>: one job for all steps."""
+    rows = model.withColumn("step", F.explode(F.array(*(F.lit(float(s)) for s in steps))))
+    rows = rows.select(*KEY, "step", *((F.col(w) + F.col("step") * F.col(f"h_{w}") if w in wanted else F.col(w)).alias(w) for w in PARAMETERS))
+    terms = [F.pow(F.sqrt(f"s{k}") - F.sqrt(f"d{k}"), 2) for k in range(problem.segments)]
+    sums = _compared(problem, rows, ("step",)).groupBy("step").agg((F.sum(sum(terms[1:], terms[0])) * 2 / problem.pixels).alias("e"))
+    if mu:
+        squares = sum((F.col(w) * F.col(w) for w in wanted[1:]), F.col(wanted[0]) * F.col(wanted[0]))
+        sums = sums.unionByName(rows.groupBy("step").agg((mu * F.sum(squares)).alias("e")))
+    found = {r["step"]: r["e"] for r in sums.groupBy("step").agg(F.sum("e").alias("e")).collect()}
+    return [float(found.get(float(s)) or 0.0) for s in steps]
+
+
 def gradients(problem: Problem, model: DataFrame, wanted: list[str]) -> DataFrame:
     """``model`` with g_<parameter> for each of ``wanted``, the exact adjoint of the projection."""
     g = [((F.sqrt(f"s{k}") - F.sqrt(f"d{k}")) / (F.sqrt(f"s{k}") + 1e-10) / problem.pixels).alias(f"g{k}") for k in range(problem.segments)]
@@ -105,12 +119,12 @@ def _dot(df: DataFrame, wanted: list[str], a: str, b: str) -> Column:
     return F.sum(sum(terms[1:], terms[0]))
 
 
-def conjugate_gradient(problem: Problem, model: DataFrame, wanted: list[str], iterations: int, restart: int = 25, mu: float = 0.0) -> tuple[DataFrame, list[float]]:
+def conjugate_gradient(problem: Problem, model: DataFrame, wanted: list[str], iterations: int, restart: int = 25, mu: float = 0.0, search: int = 4) -> tuple[DataFrame, list[float]]:
     """(model, errors): Polak-Ribiere with a restart every ``restart`` steps or when not descending.
 
-    The line search needs no gradients: a step shrinks to a quarter until the
-    error falls, then doubles while that helps. ``mu`` adds mu * sum of the
-    squared wanted parameters.
+    The line search needs no gradients: it brackets a minimum and refines it by
+    parabolic and golden steps, ``search`` rounds of several steps at most.
+    ``mu`` adds mu * sum of the squared wanted parameters.
     """
 
     def penalty(df: DataFrame) -> float:
@@ -145,20 +159,10 @@ def conjugate_gradient(problem: Problem, model: DataFrame, wanted: list[str], it
         if slope >= 0:
             now = stage(now.withColumns({f"h_{w}": -F.col(f"g_{w}") for w in wanted}), "direction")
             size = now.agg(_dot(now, wanted, "h", "h")).first()[0]
-        step = errors[-1] / size if step is None else step
-        value = total(moved(now, step))
-        for _ in range(8):
-            if value <= errors[-1]:
-                break
-            step /= 4
-            value = total(moved(now, step))
-        else:
+        guess = errors[-1] / size if step is None else step
+        step, value, _ = minimise(lambda steps, now=now: errors_along(problem, now, wanted, steps, mu), guess, errors[-1], search, 0.05)
+        if not step:
             break
-        for _ in range(2):
-            further = total(moved(now, step * 2))
-            if further >= value:
-                break
-            step, value = step * 2, further
         model = stage(moved(now, step), "model")
         errors.append(value)
         before = now

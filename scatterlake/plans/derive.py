@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scatterlake.operators import geometry as G
 from scatterlake.operators import model as M
 from scatterlake.operators import project as P
+from scatterlake.operators.ranks import ranked
 from scatterlake.plans.grid import EXP_SQL, SIMPSON_SQL, exponents, rounded
 from scatterlake.plans.registry import query
 from scatterlake.session import table
@@ -322,18 +323,21 @@ def pca(spark, sf_dir):
 @query("kmeans")
 def kmeans(spark, sf_dir):
     """(vec_id, cluster) by k-means++ with the best silhouette over k = 2..6, seeded."""
+    from pyspark import StorageLevel
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).cache()
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    rows = rows.persist(StorageLevel.DISK_ONLY)  # read by every fit; released before the winner labels the table
     best = None
     for k in range(2, 7):
-        found = KMeans(k=k, seed=7, initMode="k-means||").fit(rows).transform(rows)
-        score = ClusteringEvaluator().evaluate(found)
+        model = KMeans(k=k, seed=7, initMode="k-means||").fit(rows)
+        score = ClusteringEvaluator().evaluate(model.transform(rows))
         if best is None or score > best[0]:
-            best = (score, found)
-    return best[1].select("vec_id", F.col("prediction").alias("cluster"))
+            best = (score, model)
+    rows.unpersist()
+    return best[1].transform(rows).select("vec_id", F.col("prediction").alias("cluster"))
 
 
 @query("rep_signals", f"""WITH {CURVE}, c AS (SELECT label, k, avg(v) AS m FROM curve JOIN embeddings USING (vec_id) GROUP BY label, k), d AS (SELECT vec_id, sum(dist) AS t FROM (SELECT vec_id, c.label, sqrt(sum((v - m) ** 2)) AS dist FROM curve JOIN c USING (k) GROUP BY vec_id, c.label) GROUP BY vec_id),
@@ -345,9 +349,8 @@ def rep_signals(spark, sf_dir):
     centroids = rows.join(labels, "vec_id").groupBy("label", "k").agg(F.avg("v").alias("m"))
     square = F.sum((F.col("v") - F.col("m")) ** 2)
     far = rows.join(P.checked_broadcast(centroids), "k").groupBy("vec_id", "label").agg(F.sqrt(square).alias("d")).groupBy("vec_id").agg(F.sum("d").alias("t"))
-    w = Window.partitionBy("label")
-    ranked = far.join(labels, "vec_id").withColumn("p", F.row_number().over(w.orderBy(F.desc(F.round("t", 9)), "vec_id"))).withColumn("n", F.count(F.lit(1)).over(w))
-    chosen = ranked.where(F.col("p") <= F.ceil(F.col("n") / 5)).select("vec_id", "label")
+    places = ranked(far.join(labels, "vec_id").withColumn("t", F.round("t", 9)), "label", [F.desc("t"), F.asc("vec_id")])
+    chosen = places.where(F.col("p") <= F.ceil(F.col("n") / 5)).select("vec_id", "label")
     return rounded(rows.join(chosen, "vec_id").groupBy("label", "k").agg(F.percentile("v", 0.5).alias("v")), ["label", "k"], ["v"])
 
 

@@ -260,17 +260,18 @@ def err_metric(spark, sf_dir):
     return rounded(measured(modelled(spark, volume)).groupBy("p").agg(e.alias("e")), ["p"], ["e"], 9)
 
 
-def _residual_images(spark, volume):
+def residual_images(spark, volume):
     """(p, y, x, s0..s7): w * (sqrt(model) - sqrt(data)) / (sqrt(model) + 1e-10) / pixels."""
     rows = measured(modelled(spark, volume))
     g = (F.sqrt("i") - F.sqrt("d")) / (F.sqrt("i") + 1e-10) / pixels(volume)
     return rows.withColumn("g", g).groupBy("p", "y", "x").pivot("seg", list(range(SEG))).agg(F.first("g")).withColumnsRenamed({str(k): f"s{k}" for k in range(SEG)})
 
 
-def _gathered(spark, volume):
+def gathered(spark, volume, images=None):
     """Residuals gathered by voxel and projection, next to the model's cosines."""
+    images = residual_images(spark, volume) if images is None else images
     points = P.hit_points(volume.rows.select("iy", "ix", "iz"), generate.projections(spark, NP), volume.shape, volume.ny, IX)
-    back = P.back(points, _residual_images(spark, volume), ["iy", "ix", "iz", "p"], S, volume.ny, IX)
+    back = P.back(points, images, ["iy", "ix", "iz", "p"], S, volume.ny, IX)
     v = volume.rows.select("*", *G.axis_columns())
     return v.join(back, ["iy", "ix", "iz"]).join(P.checked_broadcast(wide_directions(spark)), "p")
 
@@ -286,7 +287,7 @@ Y_SQL = {0: "0.5 / sqrt(pi())", 2: "sqrt(5 / pi()) * (0.75 * c * c - 0.25)", 4:
 
 @query("grad_a", with_sql("SELECT iy, ix, iz, " + ", ".join(f"round(4 * sum(g * amp * {y}), 9) + 0.0 AS g{n}" for n, y in Y_SQL.items()) + " FROM b JOIN model USING (iy, ix, iz, p, seg) GROUP BY ALL", *ALL, m=MEASURED_SQL, b=BACK_SQL))
 def grad_a(spark, sf_dir):
-    rows = _gathered(spark, samples.volume(spark, sf_dir))
+    rows = gathered(spark, samples.volume(spark, sf_dir))
     c = [M.cosine_to(f"{k}_qx", f"{k}_qy", f"{k}_qz") for k in range(SEG)]
     out = []
     for n in ORDERS:
@@ -303,7 +304,7 @@ DY_SQL = "(a2 * sqrt(5 / pi()) * 1.5 * c + a4 * sqrt(1 / pi()) * (-45e0 / 4 * c
 FROM b JOIN model USING (iy, ix, iz, p, seg) JOIN voxel USING (iy, ix, iz) JOIN q USING (p, seg) GROUP BY ALL""", *ALL, m=MEASURED_SQL, b=BACK_SQL))
 def grad_angles(spark, sf_dir):
     """By dY/dc and the derivatives of the axis, so that the pole needs no division."""
-    rows = _gathered(spark, samples.volume(spark, sf_dir))
+    rows = gathered(spark, samples.volume(spark, sf_dir))
     t, f = F.col("theta"), F.col("phi")
     totals = {"g_theta": [], "g_phi": []}
     for k in range(SEG):

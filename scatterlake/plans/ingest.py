@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scatterlake.plans.registry import query
@@ -78,26 +77,36 @@ def angles_parse(spark, sf_dir):
 
 @query("poisson")
 def poisson(spark, sf_dir):
-    """Noise by row, seeded by its key: above 32 a rounded normal held at 0, below by uniform products."""
+    """Noise by row, from hashes of its key: above 32 a rounded normal held at 0, below the inverse of the distribution.
+
+    Whole batches are drawn at once; a row's draw doesn't depend on its batch.
+    """
     import numpy as np
     import pyarrow as pa
 
     def noise(batches):
         for b in batches:
-            out = np.zeros(b.num_rows, np.int64)
-            for i, (key, mean) in enumerate(zip(b.column(0).to_numpy(), b.column(1).to_numpy(), strict=True)):
-                rng = np.random.default_rng([11, int(key)])
-                if mean > 32:
-                    out[i] = max(0, round(mean + np.sqrt(mean) * rng.standard_normal()))
-                else:
-                    limit, k, p = np.exp(-mean), 0, rng.random()
-                    while p > limit:
-                        k, p = k + 1, p * rng.random()
-                    out[i] = k
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], ["event_id", "mean", "count"])
+            key, mean, u1, u2 = (b.column(i).to_numpy() for i in range(4))
+            # from 53 bits of a hash: inside (0, 1)
+            u1, u2 = (((u.view(np.uint64) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53 for u in (u1, u2))
+            normal = np.sqrt(-2 * np.log(u1)) * np.cos(2 * np.pi * u2)
+            many = np.maximum(0, np.rint(mean + np.sqrt(mean) * normal)).astype(np.int64)
+            few = np.zeros(b.num_rows, np.int64)
+            small = np.minimum(mean, 32.0)
+            chance = np.exp(-small)
+            reached = chance.copy()
+            for k in range(1, 200):  # beyond 200 at a mean of 32 lies less than a double can tell
+                short = reached < u1
+                if not short.any():
+                    break
+                few[short] = k
+                chance = chance * small / k
+                reached = reached + chance
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.where(mean > 32, many, few))], ["event_id", "mean", "count"])
 
     rows = table(spark, sf_dir, "events").where(F.col("value").isNotNull()).select("event_id", F.abs("value").cast("double").alias("mean"))
-    return rows.mapInArrow(noise, "event_id long, mean double, count long")
+    drawn = rows.select("event_id", "mean", F.xxhash64(F.lit(11), "event_id").alias("u1"), F.xxhash64(F.lit(12), "event_id").alias("u2"))
+    return drawn.mapInArrow(noise, "event_id long, mean double, count long")
 
 
 @query("line_release", "WITH l AS (SELECT user_id AS scan, event_id AS line, round(value, 6) AS value, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS next FROM events WHERE value IS NOT NULL) SELECT scan, line, value FROM l WHERE next IS NOT NULL")
@@ -113,8 +122,7 @@ def queue_replay(spark, sf_dir):
 
 @query("scan_steps", "SELECT event_type AS scan, CAST(count(*) AS BIGINT) AS n, round(avg(step), 6) AS mean_step FROM (SELECT event_type, date_diff('second', lag(date_trunc('second', ts)) OVER w, date_trunc('second', ts)) AS step FROM events WINDOW w AS (PARTITION BY event_type ORDER BY date_trunc('second', ts), event_id)) WHERE step IS NOT NULL GROUP BY event_type")
 def scan_steps(spark, sf_dir):
-    """Mean time between the frames of each scan."""
-    rows = table(spark, sf_dir, "events").select("event_type", "event_id", F.unix_timestamp(F.date_trunc("second", "ts")).alias("t"))
-    step = F.col("t") - F.lag("t").over(Window.partitionBy("event_type").orderBy("t", "event_id"))
-    rows = rows.withColumn("step", step).where(F.col("step").isNotNull())
-    return rows.groupBy(F.col("event_type").alias("scan")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("step"), 6).alias("mean_step"))
+    """Mean time between the frames of each scan: the steps of a sorted scan add up to its span, so nothing is sorted."""
+    t = F.unix_timestamp(F.date_trunc("second", "ts"))
+    rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("scan")).agg((F.count(t) - 1).alias("n"), (F.max(t) - F.min(t)).alias("span"))
+    return rows.where(F.col("n") > 0).select("scan", "n", F.round(F.col("span") / F.col("n"), 6).alias("mean_step"))
