@@ -46,7 +46,7 @@ Y = "(a0 * 0.5 / sqrt(pi()) + a2 * sqrt(5 / pi()) * (0.75 * c ** 2 - 0.25) + a4
 
 @query("doa_sh", f"{VOX}, node AS ({SIMPSON_SQL}) SELECT iy, ix, iz, round((3 * sum(w * sin(t) * c * c * {Y} ** 2) / sum(w * sin(t) * {Y} ** 2) - 1) / 2, 6) AS doa FROM voxel, (SELECT *, cos(t) AS c FROM node) GROUP BY iy, ix, iz")
 def doa_sh(spark, sf_dir):
-    rows = voxels(spark, sf_dir).withColumn("doa", M.nematic_order(M.harmonic_weight))
+    rows = voxels(spark, sf_dir).withColumn("doa", M.harmonic_order())
     return rounded(rows, ["iy", "ix", "iz"], ["doa"])
 
 
