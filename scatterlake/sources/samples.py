@@ -18,6 +18,8 @@ from scatterlake.session import table
 
 #: Voxels of a slice along ix and iz, and columns of the images that a turned slice fits in.
 SIDE, COLUMNS = 8, 16
+#: Vectors in one partition of the volume, at most about.
+EACH = 65_536
 
 
 @dataclass(frozen=True)
@@ -39,6 +41,8 @@ class Volume:
 def volume(spark: SparkSession, sf_dir: str) -> Volume:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     ny = int(vectors.agg(F.coalesce(F.max("vec_id"), F.lit(-1)) + 1).first()[0])
+    # each vector becomes 64 voxels, and each of these 16 taps of images: compact rows are spread first
+    vectors = vectors.repartition(max(spark.sparkContext.defaultParallelism, ny // EACH), "vec_id")
     e = F.col("embedding")
     at = lambda step: F.get(e, F.pmod(F.col("k") + step, F.size(e))).cast("double")
     rows = vectors.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.size(e) - 1)).alias("k"))
