@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scatterlake.plans.registry import query
-from scatterlake.session import table
-from scatterlake.sources import samples, spec
+from scatterlake.session import table, work_path
+from scatterlake.sources import hdf5, samples, spec
+from scatterlake.sources.standins import FRAME_SQL, SIDE
 from scatterlake.streaming import live
 
 CARRY = "carried AS (SELECT *, last_value(CAST(nullif(regexp_extract(text, '^#S ([0-9]+)', 1), '') AS INTEGER) IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no) AS scan FROM line)"
@@ -126,3 +127,34 @@ def scan_steps(spark, sf_dir):
     t = F.unix_timestamp(F.date_trunc("second", "ts"))
     rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("scan")).agg((F.count(t) - 1).alias("n"), (F.max(t) - F.min(t)).alias("span"))
     return rows.where(F.col("n") > 0).select("scan", "n", F.round(F.col("span") / F.col("n"), 6).alias("mean_step"))
+
+
+def _stored(spark, sf_dir, per_file):
+    """The embeddings' frames written as HDF5 files; the folder's path."""
+    pixels = F.transform("embedding", lambda v: F.floor(F.abs(v.cast("double")) * 1000).cast("double"))
+    rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") == SIDE * SIDE)
+    path = work_path(spark, "hdf5")
+    frames = rows.select(F.col("vec_id").alias("label"), F.lit(SIDE).alias("rows"), F.lit(SIDE).alias("columns"), pixels.alias("data"))
+    hdf5.write_hdf5(frames, path, dtype="int32", framesPerChunk=16, fileBytes=per_file * SIDE * SIDE * 4)
+    return path
+
+
+@query("hdf5_frames", f"SELECT vec_id, row, col, counts FROM ({FRAME_SQL}) WHERE row BETWEEN 2 AND 5 AND col BETWEEN 1 AND 6")
+def hdf5_frames(spark, sf_dir):
+    """A window of every frame, from HDF5 files of many chunks."""
+    tiles = hdf5.read_hdf5(spark, _stored(spark, sf_dir, 4096), labels="/entry/label", rows="2:6", columns="1:7")
+    cells = tiles.select(F.col("label").alias("vec_id"), "row", "column", "columns", F.posexplode("data").alias("k", "counts"))
+    return cells.select(
+        "vec_id", (F.col("row") + F.expr("CAST(k div columns AS INT)")).alias("row"), (F.col("column") + F.col("k") % F.col("columns")).alias("col"), "counts"
+    )
+
+
+@query("hdf5_sums", f"SELECT row, CAST(count(*) AS BIGINT) AS n, sum(counts) AS counts, max(counts) AS most FROM ({FRAME_SQL}) GROUP BY row")
+def hdf5_sums(spark, sf_dir):
+    """Sums over all frames by detector row, summed within a tile before anything moves."""
+    tiles = hdf5.read_hdf5(spark, _stored(spark, sf_dir, 4096))
+    lines = tiles.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: F.slice("data", r * F.col("columns") + 1, F.col("columns")))).alias("r", "line"), "row")
+    sums = lines.groupBy((F.col("row") + F.col("r")).alias("row")).agg(
+        F.sum(F.size("line")).alias("n"), F.sum(F.aggregate("line", F.lit(0.0), lambda a, v: a + v)).alias("counts"), F.max(F.array_max("line")).alias("most")
+    )
+    return sums.select("row", F.col("n").cast("long").alias("n"), "counts", "most")
