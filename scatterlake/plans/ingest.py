@@ -8,7 +8,7 @@ from scatterlake.plans.registry import query
 from scatterlake.session import table, work_path
 from scatterlake.sources import hdf5, samples, spec
 from scatterlake.sources.standins import FRAME_SQL, SIDE
-from scatterlake.streaming import live
+from scatterlake.streaming import live, waiting
 
 CARRY = "carried AS (SELECT *, last_value(CAST(nullif(regexp_extract(text, '^#S ([0-9]+)', 1), '') AS INTEGER) IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no) AS scan FROM line)"
 
@@ -158,3 +158,15 @@ def hdf5_sums(spark, sf_dir):
         F.sum(F.size("line")).alias("n"), F.sum(F.aggregate("line", F.lit(0.0), lambda a, v: a + v)).alias("counts"), F.max(F.array_max("line")).alias("most")
     )
     return sums.select("row", F.col("n").cast("long").alias("n"), "counts", "most")
+
+
+@query("frame_wait", """WITH f AS (SELECT event_id // 16 AS scan, event_id % 16 AS frame, epoch_ms(ts) AS ms, event_type <> 'error' AS came, max(epoch_ms(ts)) FILTER (WHERE event_type <> 'error') OVER () AS newest FROM events),
+after_gap AS (SELECT *, came AND frame > 0 AND NOT coalesce(lag(came) OVER w, false) AS opens FROM f WINDOW w AS (PARTITION BY scan ORDER BY frame)),
+due AS (SELECT *, coalesce(max(ms) FILTER (WHERE opens) OVER (PARTITION BY scan ORDER BY frame), 0) AS waits, min(ms) FILTER (WHERE came) OVER (PARTITION BY scan ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS then_at FROM after_gap)
+SELECT scan, frame, CASE WHEN NOT came THEN 'missing' WHEN frame = 15 THEN 'final' ELSE 'released' END AS status FROM due
+WHERE CASE WHEN came THEN waits = 0 OR waits + 3600000 <= newest ELSE then_at + 3600000 <= newest END""")
+def frame_wait(spark, sf_dir):
+    """Frames released in order: errors are frames that never come, an hour is waited for each gap, the sixteenth closes a scan."""
+    rows = live.event_stream(spark, sf_dir).where(F.col("event_type") != "error")
+    rows = rows.select(F.expr("event_id div 16").alias("scan"), (F.col("event_id") % 16).alias("frame"), "ts")
+    return live.run_available(waiting.waited_frames(rows, "scan", "frame", "ts", F.col("frame") == 15, patience=3600), "waiting")
