@@ -6,7 +6,7 @@ import importlib
 
 from scatterlake.plans import registry
 
-MODULES: tuple[str, ...] = ("grid", "pattern", "integrate", "derive", "ingest", "iterate", "arrays", "recon", "maps")
+MODULES: tuple[str, ...] = ("grid", "pattern", "integrate", "derive", "ingest", "iterate", "arrays", "recon", "maps", "waves")
 
 
 def queries():
