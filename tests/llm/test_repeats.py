@@ -147,6 +147,38 @@ def test_multikey_quicksort(rows):
     assert group.tolist() == [sorted(set(rows)).index(r) for r in got]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2**64 - 1) | st.integers(0, 2)), max_size=80), st.integers(0, 9))
+def test_small_parts_are_sorted_together(rows, small):
+    from scatterlake.llm import suffixes
+
+    before, suffixes.SMALL = suffixes.SMALL, small
+    try:
+        order, group = multikey_quicksort([np.array([r[i] for r in rows], np.uint64) for i in (0, 1)])
+    finally:
+        suffixes.SMALL = before
+    got = [rows[i] for i in order.tolist()]
+    assert got == sorted(rows) and group.tolist() == [sorted(set(rows)).index(r) for r in got]
+
+
+def test_whole_copies_take_no_part_in_the_exchange(spark, monkeypatch):
+    rows = corpus(4)
+    rows = [*rows, *((i + 5000, t) for i, t in rows if i is not None), (6, "short"), (8, "short"), (None, "short")]
+    seen, whole = [], substrings.R.exchange
+
+    def counted(docs, *args, **kwargs):
+        seen.append(docs.count())
+        return whole(docs, *args, **kwargs)
+
+    monkeypatch.setattr(substrings.R, "exchange", counted)
+    got = substrings.remove_repeats(frame(spark, rows), block_bytes=2000).collect()
+    assert sorted(((r["__id"], bytes(r["__kept"]), r["__n_bytes"], len(r["__spans"])) for r in got), key=repr) == plain_bytes(rows, 50)
+    least = {}
+    for i, t in rows:
+        least[t or ""] = min(least.get(t or "", float("inf")), float("inf") if i is None else i)
+    assert seen == [sum(least[t or ""] == (float("inf") if i is None else i) for i, t in rows)]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text(alphabet="ab", min_size=40, max_size=200), st.sampled_from([5, 20, 30]))
 def test_suffix_order(text, depth):
