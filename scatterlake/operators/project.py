@@ -4,16 +4,29 @@ Intensities of all segments ride as columns of one row, so the explode makes
 voxels x projections x 4 rows, not x segments; map-side aggregation shrinks
 them before the shuffle. The projection table is geometry: its size is checked
 before it is broadcast.
+
+Images come back to the voxels by slabs, runs of slices along iy: each slab gets
+the image rows that its voxels meet, once, and gathers its pixels in place, so
+that no row is made for each voxel, projection and pixel.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scatterlake.operators.geometry import centred, rotation_columns
 
 MAX_BROADCAST_ROWS = 100_000
+#: Slices in a slab.
+SLAB = 64
+
+
+def slab(iy: str | Column = "iy") -> Column:
+    """The slab of a slice, a column to partition voxels by."""
+    return F.floor((F.col(iy) if isinstance(iy, str) else iy) / SLAB).cast("int").alias("slab")
 
 
 def checked_broadcast(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -63,23 +76,56 @@ def forward_nearest(points: DataFrame, values: list[str], ny: int, nx: int) -> D
     return rows.groupBy("p", "y", "x").agg(*(F.sum(v).alias(v) for v in values))
 
 
-def back(points: DataFrame, images: DataFrame, key: list[str], values: list[str], ny: int, nx: int) -> DataFrame:
-    """(key..., values...): each voxel gathers four pixels of every image, bilinear, summed over images.
+def gather(points: DataFrame, images: DataFrame, keep: list[str], values: list[str], ny: int, nx: int, every: bool = False) -> DataFrame:
+    """(keep..., p, values...): each point with what four pixels of its image give it, bilinear.
 
-    Coordinates outside the image read pixel 1; on the last row or column the
-    weight moves to the inner neighbour.
+    ``points`` have slab, p, xp, yp and the columns ``keep``, of plain types;
+    rows of a slab are handled by one task, without a shuffle if they are
+    partitioned by it. Coordinates outside the image read pixel 1; on the last
+    row or column the weight moves to the inner neighbour. Pixels that
+    ``images`` lacks give nothing; a point that has none is left out, unless
+    ``every`` keeps it with zeros.
     """
+
     def side(c: str, n: int) -> tuple[Column, Column]:
         v = F.when((F.col(c) < 1) | (F.col(c) > n), F.lit(1.0)).otherwise(F.col(c))
         low = F.when(v == n, F.lit(n - 1)).otherwise(F.floor(v))
         return low.cast("int"), v - low
 
     (lx, tx), (ly, ty) = side("xp", nx), side("yp", ny)
-    tap = lambda y, x, w: F.struct(y.alias("y"), x.alias("x"), w.alias("w"))
-    taps = F.array(tap(ly, lx, (1 - tx) * (1 - ty)), tap(ly + 1, lx, (1 - tx) * ty), tap(ly, lx + 1, tx * (1 - ty)), tap(ly + 1, lx + 1, tx * ty))
-    rows = points.select(*key, "p", F.explode(taps).alias("t")).select(*key, "p", "t.*")
-    met = rows.join(images.select("p", "y", "x", *values), ["p", "y", "x"])
-    return met.groupBy(*key).agg(*(F.sum(F.col(v) * F.col("w")).alias(v) for v in values))
+    rows = points.select("slab", *keep, "p", lx.alias("__lx"), tx.alias("__tx"), ly.alias("__ly"), ty.alias("__ty"))
+    wanted = rows.select("slab", "p", F.explode(F.array(F.col("__ly"), F.col("__ly") + 1)).alias("y")).distinct()
+    # names of their own: both sides may come from the same rows
+    wanted = wanted.select(F.col("slab").alias("__slab"), F.col("p").alias("__p"), F.col("y").alias("__y"))
+    sent = images.select(*(F.col(c).alias(f"__{c}") for c in ("p", "y", "x")), *(F.col(v).alias(f"__v{k}") for k, v in enumerate(values))).join(wanted, ["__p", "__y"])
+    known = dict(points.dtypes)
+    schema = ", ".join([*(f"`{c}` {known[c]}" for c in [*keep, "p"]), *(f"`{v}` double" for v in values)])
+
+    def fill(left: pa.Table, right: pa.Table) -> pa.Table:
+        column = lambda t, c: t.column(c).to_numpy()
+        place = lambda p, y, x: (p.astype(np.int64) * (ny + 2) + y) * (nx + 2) + x
+        codes = place(*(column(right, c) for c in ("__p", "__y", "__x")))
+        order = np.argsort(codes)
+        codes = codes[order]
+        pixels = np.stack([column(right, f"__v{k}") for k in range(len(values))], 1)[order] if len(codes) else np.zeros((1, len(values)))
+        p, x, tx, y, ty = (column(left, c) for c in ("p", "__lx", "__tx", "__ly", "__ty"))
+        out, met = np.zeros((len(p), len(values))), np.zeros(len(p), bool)
+        for dy, dx, w in ((0, 0, (1 - tx) * (1 - ty)), (1, 0, (1 - tx) * ty), (0, 1, tx * (1 - ty)), (1, 1, tx * ty)):
+            code = place(p, y + dy, x + dx)
+            at = np.minimum(np.searchsorted(codes, code), max(len(codes) - 1, 0))
+            hit = codes[at] == code if len(codes) else np.zeros(len(p), bool)
+            out += pixels[at] * np.where(hit, w, 0.0)[:, None]
+            met |= hit
+        found = pa.table([*(left.column(c) for c in [*keep, "p"]), *(pa.array(out[:, k]) for k in range(len(values)))], names=[*keep, "p", *values])
+        return found if every else found.filter(pa.array(met))
+
+    return rows.groupBy("slab").cogroup(sent.groupBy("__slab")).applyInArrow(fill, schema)
+
+
+def back(points: DataFrame, images: DataFrame, key: list[str], values: list[str], ny: int, nx: int) -> DataFrame:
+    """(key..., values...): ``gather`` summed over images, or for each of them if ``key`` holds p."""
+    met = gather(points, images, [c for c in key if c != "p"], values, ny, nx)
+    return met.groupBy(*key).agg(*(F.sum(v).alias(v) for v in values))
 
 
 def stencil(df: DataFrame, axes: list[str], values: list[str], offsets: list[tuple], bounds: dict[str, tuple[int, int]], key: list[str] = ()) -> DataFrame:

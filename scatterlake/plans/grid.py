@@ -241,7 +241,7 @@ JOIN fwd f ON f.p = b.p AND f.x = b.fx AND f.y = b.fy GROUP BY ALL""", *ALL))
 def back_project(spark, sf_dir):
     volume = samples.volume(spark, sf_dir)
     images = P.forward(intensities(spark, volume), S, volume.ny, IX)
-    points = P.hit_points(volume.rows.select("iy", "ix", "iz"), generate.projections(spark, NP), volume.shape, volume.ny, IX)
+    points = P.hit_points(volume.rows.select("iy", "ix", "iz", "slab"), generate.projections(spark, NP), volume.shape, volume.ny, IX)
     rows = P.back(points, images, ["iy", "ix", "iz"], S, volume.ny, IX)
     return rounded(unpivot(rows, ["iy", "ix", "iz"]), ["iy", "ix", "iz", "seg"], ["i"])
 
@@ -262,18 +262,21 @@ def err_metric(spark, sf_dir):
 
 def residual_images(spark, volume):
     """(p, y, x, s0..s7): w * (sqrt(model) - sqrt(data)) / (sqrt(model) + 1e-10) / pixels."""
-    rows = measured(modelled(spark, volume))
-    g = (F.sqrt("i") - F.sqrt("d")) / (F.sqrt("i") + 1e-10) / pixels(volume)
-    return rows.withColumn("g", g).groupBy("p", "y", "x").pivot("seg", list(range(SEG))).agg(F.first("g")).withColumnsRenamed({str(k): f"s{k}" for k in range(SEG)})
+    images = P.forward(intensities(spark, volume), S, volume.ny, IX)
+    out = []
+    for k, s in enumerate(S):
+        model, data = F.sqrt(s), F.sqrt(F.col(s) * (1.0 + 0.1 * F.sin(F.col("p") + F.col("y") + 2 * F.col("x") + 3 * k)))
+        out.append(((model - data) / (model + 1e-10) / pixels(volume)).alias(s))
+    return images.select("p", "y", "x", *out)
 
 
 def gathered(spark, volume, images=None):
     """Residuals gathered by voxel and projection, next to the model's cosines."""
     images = residual_images(spark, volume) if images is None else images
-    points = P.hit_points(volume.rows.select("iy", "ix", "iz"), generate.projections(spark, NP), volume.shape, volume.ny, IX)
-    back = P.back(points, images, ["iy", "ix", "iz", "p"], S, volume.ny, IX)
     v = volume.rows.select("*", *G.axis_columns())
-    return v.join(back, ["iy", "ix", "iz"]).join(P.checked_broadcast(wide_directions(spark)), "p")
+    points = P.hit_points(v, generate.projections(spark, NP), volume.shape, volume.ny, IX)
+    met = P.gather(points, images, [c for c in v.columns if c != "slab"], S, volume.ny, IX)
+    return met.join(P.checked_broadcast(wide_directions(spark)), "p")
 
 
 BACK_SQL = f"""SELECT b.iy, b.ix, b.iz, b.p, f.seg, sum((sqrt(f.i) - sqrt(f.d)) / (sqrt(f.i) + 1e-10) / {PIXELS_SQL} * (CASE ox WHEN 1 THEN tx ELSE 1 - tx END) * (CASE oy WHEN 1 THEN ty ELSE 1 - ty END)) AS g

@@ -14,17 +14,21 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scatterlake.operators import project as P
 from scatterlake.session import table
 
 #: Voxels of a slice along ix and iz, and columns of the images that a turned slice fits in.
 SIDE, COLUMNS = 8, 16
 #: Vectors in one partition of the volume, at most about.
-EACH = 65_536
+EACH = 8_192
 
 
 @dataclass(frozen=True)
 class Volume:
-    """voxel(iy, ix, iz, theta, phi, a0, a2, a4, a6, mask); iy is 1 + vec_id, up to ``ny``."""
+    """voxel(iy, ix, iz, theta, phi, a0, a2, a4, a6, mask, slab); iy is 1 + vec_id, up to ``ny``.
+
+    Rows are partitioned by slab, so neighbours in iy share a task.
+    """
 
     rows: DataFrame
     ny: int
@@ -42,14 +46,14 @@ def volume(spark: SparkSession, sf_dir: str) -> Volume:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     ny = int(vectors.agg(F.coalesce(F.max("vec_id"), F.lit(-1)) + 1).first()[0])
     # each vector becomes 64 voxels, and each of these 16 taps of images: compact rows are spread first
-    vectors = vectors.repartition(max(spark.sparkContext.defaultParallelism, ny // EACH), "vec_id")
+    vectors = vectors.withColumn("slab", P.slab(F.col("vec_id") + 1)).repartition(max(spark.sparkContext.defaultParallelism, ny // EACH), "slab")
     e = F.col("embedding")
     at = lambda step: F.get(e, F.pmod(F.col("k") + step, F.size(e))).cast("double")
-    rows = vectors.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.size(e) - 1)).alias("k"))
-    rows = rows.select("vec_id", "k", at(0).alias("e0"), at(16).alias("e1"), at(32).alias("e2"), at(48).alias("e3"))
+    rows = vectors.select("slab", "vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.size(e) - 1)).alias("k"))
+    rows = rows.select("slab", "vec_id", "k", at(0).alias("e0"), at(16).alias("e1"), at(32).alias("e2"), at(48).alias("e3"))
     rows = rows.select(
         (F.col("vec_id") + 1).cast("int").alias("iy"), (F.col("k") % SIDE + 1).cast("int").alias("ix"),
-        F.expr(f"CAST(k div {SIDE} + 1 AS INT)").alias("iz"), "e0", "e1", "e2", "e3",
+        F.expr(f"CAST(k div {SIDE} + 1 AS INT)").alias("iz"), "e0", "e1", "e2", "e3", "slab",
     )
     inside = F.greatest(F.abs(F.col("ix") - 4.5), F.abs(F.col("iz") - 4.5)) <= 2.5
     return Volume(
@@ -62,6 +66,7 @@ def volume(spark: SparkSession, sf_dir: str) -> Volume:
             F.expr("(1e0 + e2) / 6e0").alias("a4"),
             F.expr("(1e0 + e3) / 12e0").alias("a6"),
             F.when(inside & (F.abs("e0") < 0.4), 1).otherwise(0).alias("mask"),
+            "slab",
         ),
         ny,
     )

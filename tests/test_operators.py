@@ -59,6 +59,33 @@ def test_path_length_of_a_cube_of_ones(spark):
     assert len(near) == n * n and set(near.values()) == {float(n)}
 
 
+def test_gather_equals_a_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    ny, nx = 9, 5
+    image = {(p, y, x): (float(rng.random()), float(rng.random())) for p in (0, 1) for y in range(1, ny + 1) for x in range(1, nx + 1) if rng.random() < 0.7}
+    places = [(1.0, 1.0), (5.0, 9.0), (0.5, 4.25), (6.0, 3.0), (2.5, 9.5), (3.0, 2.0), *((float(a), float(b)) for a, b in rng.random((200, 2)) * (6, 11))]
+    points = [(i // 10, i, i % 2, x, y) for i, (x, y) in enumerate(places)]
+
+    def low(v, n):
+        v = 1.0 if v < 1 or v > n else v
+        a = n - 1 if v == n else math.floor(v)
+        return a, v - a
+
+    want = {}
+    for _, i, p, x, y in points:
+        (lx, tx), (ly, ty) = low(x, nx), low(y, ny)
+        taps = [(ly + b, lx + a, (tx if a else 1 - tx) * (ty if b else 1 - ty)) for a in (0, 1) for b in (0, 1)]
+        met = [(image[p, r, c], w) for r, c, w in taps if (p, r, c) in image]
+        if met:
+            want[i] = [sum(v[k] * w for v, w in met) for k in (0, 1)]
+    rows = spark.createDataFrame(points, "slab int, id int, p int, xp double, yp double").repartition(3, "slab")
+    images = spark.createDataFrame([(*k, *v) for k, v in image.items()], "p int, y int, x int, s0 double, s1 double")
+    for every in (False, True):
+        got = {r["id"]: [r["s0"], r["s1"]] for r in P.gather(rows, images, ["id"], ["s0", "s1"], ny, nx, every).collect()}
+        assert set(got) == (set(range(len(places))) if every else set(want))
+        assert all(v == pytest.approx(want.get(i, [0, 0])) for i, v in got.items())
+
+
 def test_harmonics_are_normalised(spark):
     rows = spark.range(1)
     for order in (0, 2, 4, 6):
