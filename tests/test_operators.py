@@ -1,4 +1,5 @@
 import math
+import pathlib
 
 import numpy as np
 import pytest
@@ -48,6 +49,31 @@ def test_conjugate_gradient_lowers_the_error(problem):
     assert len(errors) == 3 and errors[0] > errors[1] >= errors[2]
 
 
+def test_iterations_keep_no_tables_but_models(spark, problem):
+    from scatterlake.session import work_path
+
+    made, truth = problem
+    start = stage(truth.withColumn("a0", F.col("a0") * 0.7), "start")
+    root = pathlib.Path(work_path(spark, "any").removeprefix("file:")).parent
+    kept = lambda: {p.name for kind in ("direction-*", "gradient-*") for p in root.glob(kind)}
+    assert list(root.glob("start-*"))
+    before = kept()
+    _, errors = O.conjugate_gradient(made, start, ["a0"], 2, search=1)
+    assert len(errors) == 3 and kept() == before
+
+
+def test_frames_are_turned_to_rows_piece_by_piece():
+    import pyarrow as pa
+
+    from scatterlake.plans import iterate
+
+    n = 3 * iterate.PIECE + 5
+    whole = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([[float(i)] * 64 for i in range(n)])], ["vec_id", "f"])
+    got = list(iterate._kernel_rows([whole], lambda i, f: [(i, k, float(f[0, 0])) for k in range(64)], ["vec_id", "k", "v"]))
+    assert max(b.num_rows for b in got) == iterate.PIECE * 64
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == [(i, k, float(i)) for i in range(n) for k in range(64)]
+
+
 def test_path_length_of_a_cube_of_ones(spark):
     n = 5
     grid = generate.voxels(spark, n).withColumn("one", F.lit(1.0))
