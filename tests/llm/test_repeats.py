@@ -179,6 +179,14 @@ def test_whole_copies_take_no_part_in_the_exchange(spark, monkeypatch):
     assert seen == [sum(least[t or ""] == (float("inf") if i is None else i) for i, t in rows)]
 
 
+def test_copies_are_marked_by_one_plan_at_any_size(spark):
+    rows = [(i, f"text {i % 7}") for i in range(20)]
+    marked = substrings.marked_copies(frame(spark, rows), "doc_id", "text")
+    assert sorted(r["__id"] for r in marked.collect() if r["__copy"]) == list(range(7, 20))
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text(alphabet="ab", min_size=40, max_size=200), st.sampled_from([5, 20, 30]))
 def test_suffix_order(text, depth):
