@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -12,83 +13,96 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Scans of neighbouring numbers that share a state.
+SCANS = 64
+STATE = "timer long, scans array<struct<scan: long, next: long, closed: boolean, frames: array<long>, times: array<long>, finals: array<boolean>>>"
+
+
 class _Frames(StatefulProcessor):
-    """State of one scan: the next frame and whether it is closed, and frames held behind a gap with the time they came."""
+    """State of SCANS scans: of each the next frame and whether it is closed, and frames held behind a gap with the time they came.
+
+    All of it is one value, read and written whole: each call to the state is a
+    round trip between processes, which takes longer than the work on a scan.
+    """
 
     def __init__(self, patience_ms: int, first: int):
         self.patience, self.first = patience_ms, first
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.place = handle.getValueState("place", "next long, closed boolean, timer long")
-        self.held = handle.getMapState("held", "frame long", "at long, final boolean")
+        self.known = handle.getValueState("known", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        start, closed, timer, behind = self._state()
-        kept = set(behind)
-        # gaps whose time is up go before what comes now, whatever the batches
-        out, start, closed = self._give_up(key, start, closed, behind, timerValues.getCurrentWatermarkInMs())
-        yield from out
+        timer, scans = self._state()
+        now = timerValues.getCurrentWatermarkInMs()
         # by number within a batch: what came together isn't late to itself
-        for row in sorted(rows, key=lambda r: (r["frame"], r["at"])):
-            frame = row["frame"]
-            if closed or frame < start:
-                yield Row(scan=key[0], frame=frame, status="late")
-            elif frame in behind:
-                yield Row(scan=key[0], frame=frame, status="repeated")
-            else:
-                behind[frame] = (row["at"], row["final"])
-                out, start, closed = self._release(key, start, behind)
-                yield from out
-        self._keep(start, closed, timer, behind, kept)
+        for scan, some in groupby(sorted(rows, key=lambda r: (r["scan"], r["frame"], r["at"])), key=lambda r: r["scan"]):
+            start, closed, behind = scans.get(scan, (self.first, False, {}))
+            # gaps whose time is up go before what comes now, whatever the batches
+            out, start, closed = self._give_up(scan, start, closed, behind, now)
+            yield from out
+            for row in some:
+                frame = row["frame"]
+                if closed or frame < start:
+                    yield Row(scan=scan, frame=frame, status="late")
+                elif frame in behind:
+                    yield Row(scan=scan, frame=frame, status="repeated")
+                else:
+                    behind[frame] = (row["at"], row["final"])
+                    out, start, closed = self._release(scan, start, behind)
+                    yield from out
+            scans[scan] = (start, closed, behind)
+        self._keep(timer, scans)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        start, closed, timer, behind = self._state()
-        kept, now = set(behind), timerValues.getCurrentWatermarkInMs()
-        out, start, closed = self._give_up(key, start, closed, behind, now)
-        yield from out
-        self._keep(start, closed, -1 if timer <= now else timer, behind, kept)
-
-    def _state(self) -> tuple[int, bool, int, dict[int, tuple[int, bool]]]:
-        start, closed, timer = self.place.get() if self.place.exists() else (self.first, False, -1)
-        return start, closed, timer, {k[0]: (v[0], v[1]) for k, v in self.held.iterator()}
-
-    def _give_up(self, key, start: int, closed: bool, behind: dict, now: int) -> tuple[list[Row], int, bool]:
+        timer, scans = self._state()
+        now = timerValues.getCurrentWatermarkInMs()
+        for scan, (start, closed, behind) in scans.items():
+            out, start, closed = self._give_up(scan, start, closed, behind, now)
+            yield from out
+            scans[scan] = (start, closed, behind)
+        self._keep(-1 if timer <= now else timer, scans)
+
+    def _state(self) -> tuple[int, dict[int, tuple[int, bool, dict[int, tuple[int, bool]]]]]:
+        known = self.known.get()
+        if known is None:
+            return -1, {}
+        timer, scans = known
+        return timer, {scan: (start, closed, {f: (at, final) for f, at, final in zip(*held, strict=True)}) for scan, start, closed, *held in scans}
+
+    def _give_up(self, scan: int, start: int, closed: bool, behind: dict, now: int) -> tuple[list[Row], int, bool]:
         """Everything up to the last frame that has waited long enough; what lacks before it is missing."""
         due = max((f for f, (at, _) in behind.items() if at + self.patience <= now), default=-1)
         out: list[Row] = []
         while not closed and behind and start <= due:
             nearest = min(behind)
-            out += [Row(scan=key[0], frame=gap, status="missing") for gap in range(start, nearest)]
-            told, start, closed = self._release(key, nearest, behind)
+            out += [Row(scan=scan, frame=gap, status="missing") for gap in range(start, nearest)]
+            told, start, closed = self._release(scan, nearest, behind)
             out += told
         return out, start, closed
 
-    def _release(self, key, start: int, behind: dict) -> tuple[list[Row], int, bool]:
+    def _release(self, scan: int, start: int, behind: dict) -> tuple[list[Row], int, bool]:
         out = []
         while start in behind:
             _, final = behind.pop(start)
-            out.append(Row(scan=key[0], frame=start, status="final" if final else "released"))
+            out.append(Row(scan=scan, frame=start, status="final" if final else "released"))
             start += 1
             if final:
                 # whatever was numbered beyond the final frame comes too late
-                out += [Row(scan=key[0], frame=f, status="late") for f in sorted(behind)]
+                out += [Row(scan=scan, frame=f, status="late") for f in sorted(behind)]
                 behind.clear()
                 return out, start, True
         return out, start, False
 
-    def _keep(self, start: int, closed: bool, timer: int, behind: dict, kept: set) -> None:
-        for frame in kept - set(behind):
-            self.held.removeKey((frame,))
-        for frame in set(behind) - kept:
-            self.held.updateValue((frame,), behind[frame])
-        due = min(at for at, _ in behind.values()) + self.patience if behind else -1
+    def _keep(self, timer: int, scans: dict) -> None:
+        due = min((at for *_, behind in scans.values() for at, _ in behind.values()), default=-1 - self.patience) + self.patience
         if due != timer:
             if timer >= 0:
                 self.handle.deleteTimer(timer)
             if due >= 0:
                 self.handle.registerTimer(due)
-        self.place.update((start, closed, due))
+        held = [(scan, start, closed, list(behind), [at for at, _ in behind.values()], [final for _, final in behind.values()]) for scan, (start, closed, behind) in scans.items()]
+        self.known.update((due, held))
 
     def close(self) -> None:
         pass
@@ -103,7 +117,7 @@ def waited_frames(stream: DataFrame, scan: str, frame: str, at: str, final: Colu
     and is ``final``. Frames that were given up, released already or numbered
     past the final one are ``late``, a second copy of a waiting one is
     ``repeated``. Arrivals more than ``disorder`` behind the newest are dropped
-    by the watermark. State holds the waiting frames of open scans and one row
+    by the watermark. State holds the waiting frames of open scans and an entry
     for each scan ever seen, so that a closed one stays closed. Rows with null
     scan, frame or time are left out, a null mark isn't final; no rows, none.
     """
@@ -113,7 +127,8 @@ def waited_frames(stream: DataFrame, scan: str, frame: str, at: str, final: Colu
         F.col(scan).cast("long").alias("scan"), F.col(frame).cast("long").alias("frame"), F.col(at).cast("timestamp").alias("__time"), F.coalesce(final, F.lit(False)).alias("final")
     )
     rows = rows.withWatermark("__time", disorder).withColumn("at", F.unix_millis("__time"))
-    return rows.groupBy("scan").transformWithState(_Frames(int(patience * 1000), first), "scan long, frame long, status string", "append", "eventTime")
+    rows = rows.withColumn("__share", F.floor(F.col("scan") / SCANS))
+    return rows.groupBy("__share").transformWithState(_Frames(int(patience * 1000), first), "scan long, frame long, status string", "append", "eventTime")
 
 
 def run_until(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, stop: str, every: str = "2 seconds", poll: float = 0.5) -> int:

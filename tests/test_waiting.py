@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scatterlake.streaming.live import run_available
 from scatterlake.streaming.sink import MarkedTable
-from scatterlake.streaming.waiting import run_until, waited_frames
+from scatterlake.streaming.waiting import _Frames, run_until, waited_frames
 
 SCHEMA = "scan long, frame long, at timestamp, last boolean"
 
@@ -51,6 +51,38 @@ def test_what_still_waits_is_not_told(spark, tmp_path):
     assert _statuses(run_available(waited_frames(stream, "scan", "frame", "at", F.col("last"), patience=20, first=1), "t")) == [(1, 1, "released")]
 
 
+def test_calls_to_the_state_do_not_grow_with_the_frames():
+    """Each is a round trip between processes: there are as many for 3 frames of a scan held behind gaps as for 300 of each of 20."""
+
+    class State:
+        def __init__(self):
+            self.value, self.calls = None, 0
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls += 1
+                if name == "update":
+                    self.value = args[0]
+                return {"get": self.value, "exists": self.value is not None, "iterator": iter(())}.get(name)
+
+            return call
+
+    def calls(frames, scans):
+        every = State()
+        handle = type("Handle", (), {"getValueState": lambda *_: every, "getMapState": lambda *_: every, "registerTimer": every.registerTimer, "deleteTimer": every.deleteTimer})()
+        watermark = type("Times", (), {"getCurrentWatermarkInMs": lambda self: self.now})()
+        processor = _Frames(1000, 0)
+        processor.init(handle)
+        watermark.now = 0
+        told = list(processor.handleInputRows((1,), [{"scan": s, "frame": 2 * i + 1, "at": 5, "final": False} for s in range(scans) for i in range(frames)], watermark))
+        watermark.now = 5000
+        told += list(processor.handleExpiredTimer((1,), watermark, None))
+        assert [(r.scan, r.frame, r.status) for r in told] == [(s, i, "released" if i % 2 else "missing") for s in range(scans) for i in range(2 * frames)]
+        return every.calls
+
+    assert calls(3, 1) == calls(300, 20) <= 6
+
+
 def test_stream_runs_until_the_stop_mark(spark, tmp_path):
     stream = _stream(spark, tmp_path / "in", [[(1, 0, 0, None)], [(1, 1, 1, None)]])
     table = MarkedTable(spark, f"file://{tmp_path}/out")
