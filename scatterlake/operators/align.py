@@ -21,19 +21,33 @@ from scatterlake.session import discard, stage
 STATE = "id long, degrees double, f array<double>, y double, x double, sy double, sx double"
 
 
+#: Pixels worked on at once.
+PIXELS = 1 << 18
+
+
 def _images(batch: pa.RecordBatch, side: int) -> Iterator[tuple]:
-    for key, degrees, f, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-        yield key, degrees, np.array(f, float).reshape(-1, side), *rest
+    """(angle, rows, images, y, x, sy, sx) of the batch: stacks of one angle, of bounded size."""
+    if not batch.num_rows:
+        return
+    images = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1, side)
+    degrees, *moves = (batch.column(i).to_numpy() for i in (1, 3, 4, 5, 6))
+    each = max(1, PIXELS // max(1, images[0].size))
+    for angle in np.unique(degrees).tolist():
+        same = np.flatnonzero(degrees == angle)
+        for at in np.split(same, range(each, len(same), each)):
+            yield angle, at, images[at], *(c[at] for c in moves)
 
 
 def reconstruct(state: DataFrame, side: int, count: int, centre: tuple[float, float]) -> np.ndarray:
     """(slices, side * side): filtered back projection of all projections, moved by their shift and last step."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # moving back from the transform, filtering and spreading are linear: done once for the sum of an angle's images
         total = None
         for batch in batches:
-            for _, degrees, image, y, x, sy, sx in _images(batch, side):
-                part = K.smear(K.moved(image, y + sy - centre[0], x + sx - centre[1]), degrees).ravel()
+            for angle, _, images, y, x, sy, sx in _images(batch, side):
+                together = np.fft.ifft2(K.turned(images, y + sy - centre[0], x + sx - centre[1]).sum(axis=0)).real
+                part = K.smear(together, angle).ravel()
                 total = part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "v"])
@@ -60,12 +74,11 @@ def align(projections: DataFrame, side: int, rounds: int = 30, least: float = 0.
 
         def step(batches: Iterator[pa.RecordBatch], volume=volume, centre=centre) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = []
-                for _, degrees, image, y, x, sy, sx in _images(batch, side):
+                columns = np.zeros((4, batch.num_rows))
+                for angle, at, images, y, x, sy, sx in _images(batch, side):
                     y, x = y + sy - centre[0], x + sx - centre[1]
-                    off = K.gradient_shift(K.high_pass(K.reproject(volume, degrees)), K.high_pass(K.moved(image, y, x)))
-                    at.append((y, x, *np.clip([-off[0], -off[1]], -1, 1)))
-                columns = np.array(at, float).reshape(-1, 4).T
+                    off = K.gradient_shift(K.high_pass(K.reproject(volume, angle)), K.high_pass(K.moved(images, y, x)))
+                    columns[:, at] = y, x, *np.clip([-off[0], -off[1]], -1, 1)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c) for c in columns)], ["id", "degrees", "f", "y", "x", "sy", "sx"])
 
         before, state = state, stage(state.mapInArrow(step, STATE), "aligned")

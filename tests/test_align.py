@@ -1,6 +1,8 @@
 import numpy as np
+import pyarrow as pa
 
 from scatterlake.functions import images as K
+from scatterlake.operators import align as A
 from scatterlake.operators.align import align
 
 SIDE = 16
@@ -22,6 +24,27 @@ def test_spreading_is_adjoint_to_projecting():
     assert np.isclose((K.reproject(v, 33.0) * p).sum(), (v * spread).sum())
 
 
+def test_images_of_an_angle_are_worked_on_together(monkeypatch):
+    """Stacks of one angle, of bounded size, and kernels that give for each image of a stack what they give for it alone."""
+    rng = np.random.default_rng(3)
+    images, degrees = rng.random((40, 4, 6)), np.arange(40) % 4 * 22.5
+    moves = rng.uniform(-2, 2, (4, 40))
+    names = ["id", "degrees", "f", "y", "x", "sy", "sx"]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(40)), pa.array(degrees), pa.array([f.ravel().tolist() for f in images]), *map(pa.array, moves)], names)
+    assert [(a, at.tolist()) for a, at, *_ in A._images(batch, 6)] == [(k * 22.5, list(range(k, 40, 4))) for k in range(4)]
+    monkeypatch.setattr(A, "PIXELS", 24 * 3)
+    stacks = list(A._images(batch.slice(2, 30), 6))
+    assert sorted(i for _, at, *_ in stacks for i in at.tolist()) == list(range(30)) and max(len(at) for _, at, *_ in stacks) == 3
+    model = rng.random((4, 6))
+    for angle, at, stack, y, x, *_ in stacks:
+        assert np.array_equal(stack, images[at + 2]) and (degrees[at + 2] == angle).all()
+        found = K.high_pass(K.moved(stack, y, x))
+        off = np.array(K.gradient_shift(model, found))
+        for i, j in enumerate(at + 2):
+            alone = K.high_pass(K.moved(images[j], moves[0, j], moves[1, j]))
+            assert np.allclose(found[i], alone) and np.allclose(off[:, i], K.gradient_shift(model, alone))
+
+
 def test_known_shifts_are_taken_back(spark):
     rng = np.random.default_rng(1)
     angles = np.arange(36) * 5.0
