@@ -29,6 +29,11 @@ def slab(iy: str | Column = "iy") -> Column:
     return F.floor((F.col(iy) if isinstance(iy, str) else iy) / SLAB).cast("int").alias("slab")
 
 
+def own(iy: str | Column = "iy") -> Column:
+    """Whether a slice is one of its row's slab, not of the slab's halo."""
+    return slab(iy) == F.col("slab")
+
+
 def checked_broadcast(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows, else left to the planner."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -133,7 +138,7 @@ def stencil(df: DataFrame, axes: list[str], values: list[str], offsets: list[tup
 
     The offsets ride along as a literal array: one explode and one aggregation
     by the shifted index, no self join. What leaves the bounds is dropped, so
-    outside counts as zero.
+    outside counts as zero. Rows partitioned by a column of ``key`` aren't moved.
     """
     table = F.array(*(F.struct(*(F.lit(o).alias(f"o{i}") for i, o in enumerate(off[:-1])), F.lit(float(off[-1])).alias("w")) for off in offsets))
     rows = df.withColumn("__o", F.explode(table))

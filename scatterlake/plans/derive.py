@@ -183,7 +183,7 @@ def otsu(spark, sf_dir):
 
 def _smooth(df, value, bounds):
     for axis, ends in bounds.items():
-        others = [c for c in ("iy", "ix", "iz") if c != axis]
+        others = [c for c in ("slab", "iy", "ix", "iz") if c != axis and c in df.columns]
         df = P.stencil(df, [axis], [value], [(-1, 0.25), (0, 0.5), (1, 0.25)], {axis: ends}, others)
     return df
 
@@ -194,9 +194,10 @@ t AS (SELECT v.iy + a.o AS iy, v.ix + b.o AS ix, v.iz + c.o AS iz, sum(f * a.w *
 SELECT CAST(iy AS INTEGER) AS iy, CAST(ix AS INTEGER) AS ix, CAST(iz AS INTEGER) AS iz, CASE WHEN f > 0.5 THEN 1 ELSE 0 END AS mask FROM t WHERE iy BETWEEN 1 AND {NY} AND ix BETWEEN 1 AND 8 AND iz BETWEEN 1 AND 8""")
 def mask3d(spark, sf_dir):
     """Smooth, cut, smooth again, cut at one half."""
-    v = samples.volume(spark, sf_dir)
-    rows = _smooth(v.rows.select("iy", "ix", "iz", (F.col("a0") * F.col("mask")).alias("f")), "f", v.bounds)
-    rows = _smooth(rows.withColumn("f", F.when(F.col("f") > 0.5, 1.0).otherwise(0.0)), "f", v.bounds)
+    v = samples.volume(spark, sf_dir, halo=2, each=2_048)
+    rows = _smooth(v.rows.select("slab", "iy", "ix", "iz", (F.col("a0") * F.col("mask")).alias("f")), "f", v.bounds)
+    # of the halo, the first smoothing leaves one slice right, which the second one needs
+    rows = _smooth(rows.withColumn("f", F.when(F.col("f") > 0.5, 1.0).otherwise(0.0)), "f", v.bounds).where(P.own())
     return rows.select("iy", "ix", "iz", F.when(F.col("f") > 0.5, 1).otherwise(0).alias("mask"))
 
 

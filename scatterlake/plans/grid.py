@@ -383,6 +383,8 @@ def hamming(n=5):
     return [0.54 - 0.46 * math.cos(2 * math.pi * k / (n - 1)) for k in range(n)]
 
 
+#: Vectors in one partition of a volume whose voxels are blurred or multiplied in place.
+STENCIL_EACH = 2_048
 HAM_SQL = "SELECT range - 2 AS o, (0.54e0 - 0.46e0 * cos(pi() * range / 2)) / (SELECT sum(0.54e0 - 0.46e0 * cos(pi() * range / 2)) FROM range(5)) AS w FROM range(5)"
 
 
@@ -391,11 +393,13 @@ FROM voxel v, h a, h b, h c WHERE v.iy + a.o BETWEEN 1 AND {NY} AND v.ix + b.o B
 def sieve_blur(spark, sf_dir):
     """A 5 x 5 x 5 Hamming kernel of sum one as three passes of five taps, not 125."""
     w = hamming()
-    volume = samples.volume(spark, sf_dir)
-    rows = volume.rows.select("iy", "ix", "iz", F.col("a0").alias("g"))
+    # slabs bring their neighbours' slices along, so that no pass moves voxels and no task's table grows with the volume
+    volume = samples.volume(spark, sf_dir, halo=2, each=STENCIL_EACH)
+    rows = volume.rows.select("slab", "iy", "ix", "iz", F.col("a0").alias("g"))
     for axis in ("iy", "ix", "iz"):
         others = [c for c in ("iy", "ix", "iz") if c != axis]
-        rows = P.stencil(rows, [axis], ["g"], [(k - 2, w[k] / sum(w)) for k in range(5)], {axis: volume.bounds[axis]}, others)
+        rows = P.stencil(rows, [axis], ["g"], [(k - 2, w[k] / sum(w)) for k in range(5)], {axis: volume.bounds[axis]}, ["slab", *others])
+        rows = rows.where(P.own()) if axis == "iy" else rows
     return rounded(rows, ["iy", "ix", "iz"], ["g"])
 
 
@@ -404,12 +408,14 @@ FROM voxel v, (VALUES (-1), (0), (1)) a(o), (VALUES (-1), (0), (1)) b(o), (VALUE
 WHERE 2 * v.iy - 1 + a.o BETWEEN 1 AND 2 * {NY} - 1 AND 2 * v.ix - 1 + b.o BETWEEN 1 AND {2 * SIDE - 1} AND 2 * v.iz - 1 + c.o BETWEEN 1 AND {2 * SIDE - 1} GROUP BY ALL""", "voxel"))
 def upsample(spark, sf_dir):
     """Trilinear doubling to 2n - 1: a voxel adds to its own place and, halved, to the neighbours."""
-    volume = samples.volume(spark, sf_dir)
-    rows = volume.rows.select("iy", "ix", "iz", "a0")
+    volume = samples.volume(spark, sf_dir, halo=1, each=STENCIL_EACH)
+    rows = volume.rows.select("slab", "iy", "ix", "iz", "a0")
     for axis, (_, n) in volume.bounds.items():
         rows = rows.withColumn(axis, F.col(axis) * 2 - 1)
         others = [c for c in ("iy", "ix", "iz") if c != axis]
-        rows = P.stencil(rows, [axis], ["a0"], [(-1, 0.5), (0, 1.0), (1, 0.5)], {axis: (1, 2 * n - 1)}, others)
+        rows = P.stencil(rows, [axis], ["a0"], [(-1, 0.5), (0, 1.0), (1, 0.5)], {axis: (1, 2 * n - 1)}, ["slab", *others])
+        # slices 2 i - 1 and 2 i come from slices i and i + 1
+        rows = rows.where(P.own(F.expr("(iy + 1) div 2"))) if axis == "iy" else rows
     return rounded(rows, ["iy", "ix", "iz"], ["a0"])
 
 

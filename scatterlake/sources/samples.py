@@ -42,11 +42,17 @@ class Volume:
         return {"iy": (1, self.ny), "ix": (1, SIDE), "iz": (1, SIDE)}
 
 
-def volume(spark: SparkSession, sf_dir: str) -> Volume:
+def volume(spark: SparkSession, sf_dir: str, halo: int = 0, each: int = EACH) -> Volume:
+    """The volume in partitions of about ``each`` vectors at most; a slab also gets the ``halo`` slices next to it.
+
+    With a halo a slice stands in several slabs: what a slab computes beyond its own slices must be dropped (``P.own``).
+    """
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     ny = int(vectors.agg(F.coalesce(F.max("vec_id"), F.lit(-1)) + 1).first()[0])
     # each vector becomes 64 voxels, and each of these 16 taps of images: compact rows are spread first
-    vectors = vectors.withColumn("slab", P.slab(F.col("vec_id") + 1)).repartition(max(spark.sparkContext.defaultParallelism, ny // EACH), "slab")
+    near = [P.slab(F.col("vec_id") + 1 + o) for o in ((-halo, 0, halo) if halo else (0,))]
+    vectors = vectors.withColumn("slab", F.explode(F.array_distinct(F.array(*near))) if halo else near[0])
+    vectors = vectors.repartition(max(spark.sparkContext.defaultParallelism, ny // each), "slab")
     e = F.col("embedding")
     at = lambda step: F.get(e, F.pmod(F.col("k") + step, F.size(e))).cast("double")
     rows = vectors.select("slab", "vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.size(e) - 1)).alias("k"))

@@ -1,10 +1,12 @@
 """Queries over all frames, whatever their ids, against plain numpy."""
 
+import duckdb
 import numpy as np
 import pytest
 
 import scatterlake.plans as plans
 from scatterlake.functions import images as K
+from tests.oracle import compare
 
 IDS = [0, 3, 45, 250, 5000]
 
@@ -91,3 +93,17 @@ def test_median_and_padding_of_every_frame(spark, sf, images):
     wide = {i: np.pad(images[i], ((0, 1), (0, 2)), constant_values=1) for i in IDS}
     got = {(r["vec_id"], r["row"], r["col"]): r["v"] for r in run(spark, "pad", sf)}
     assert got == {(i, r, c): wide[i][r, c] for i in IDS for r in range(9) for c in range(10)}
+
+
+@pytest.mark.parametrize("name", ["upsample", "sieve_blur", "mask3d"])
+def test_stencils_of_the_volume_move_vectors_only(spark, tmp_path, name):
+    """Slabs of 64 slices bring their neighbours along: one exchange, by slab, in as many parts as the volume needs."""
+    rng = np.random.default_rng(5)
+    ids = [0, 1, *range(60, 70), *range(126, 131), 192, 400]
+    write(spark, tmp_path, {i: rng.integers(0, 900, (8, 8)).astype(float) for i in ids})
+    found = plans.queries()[name](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == plan.count("Exchange hashpartitioning(slab") == 1
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    compare(found, con, plans.oracle_sql()[name])
