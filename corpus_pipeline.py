@@ -58,7 +58,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_shipped
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of five-word similarity 0.8 or more stays, that of the smallest id."""
+    """One document of each class of five-word similarity 0.8 or more stays, that of the smallest id; SimHash proposes pairs, whole sets verify them, a lossless join finds the rest."""
     return simhash.one_of_each(docs, words=jaccard.WORDS, classes_of=jaccard.near_classes)
 
 

@@ -2,10 +2,13 @@
 
 Of two sets of similarity 0.8 or more, the first fifth in any common order
 share an element (prefix filter). Those fifths are indexed; an element of one
-text alone goes no further. Each text first meets the least text of its
-elements, the few that it meets most often, so that groups of copies hang
-together by few pairs; then texts of different classes meet, at the elements
-that hold several classes only, where short bitmaps refuse most pairs at once.
+text alone goes no further. SimHash proposes first: texts whose fingerprints
+differ in three bits or fewer are pairs to verify. Each text also meets the
+least text of its elements, the few that it meets most often, so that groups of
+copies hang together by few pairs; then texts of different classes meet, at the
+elements that hold several classes only, where short bitmaps refuse most pairs
+at once. The last step finds what no fingerprint can: most near copies differ
+in more than three bits.
 Texts that meet are held against each other by bitmaps first: the bits in which
 they differ bound what the sets share from above, so nothing is lost. Pairs that
 pass are verified on their whole sets. Equal word sequences collapse before all
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from scatterlake.llm.common import keep_only, parts_for, scope, stage
 from scatterlake.llm.components import components
-from scatterlake.llm.simhash import KEYS_EACH, SEED, text_hash
+from scatterlake.llm.simhash import KEYS_EACH, SEED, fingerprint, fingerprint_links, text_hash
 
 WORDS = 5
 #: Texts that tell which shingles are frequent, at least, and one text in so many; in how many of them, and how many shingles are told to all.
@@ -38,6 +41,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 BITS = 1024
 #: Bits of the short bitmap that goes with each element; the longer one folded.
 FOLDED = 512
+#: SimHash keys in one index partition: small, as workers keep their memory for the stages that follow.
+PROPOSED_EACH = 250_000
 #: So many hashes of texts (8 bytes each) are sent to all.
 NAMES = 1_000_000
 
@@ -107,7 +112,7 @@ def _source(docs, id_col, text_col):
 
 
 def _prefixes(docs, id_col, text_col, words, often) -> DataFrame:
-    """(__id, __text_hash, __fp, n, s, m, f): the hash of each text's words, the size, first fifth, bitmap and folded bitmap of its set."""
+    """(__id, __text_hash, __fp, h, n, s, m, f): the hash of each text's words, its SimHash, the size, first fifth, bitmap and folded bitmap of its set."""
 
     def prefix(s):
         late = among(s, often.value)
@@ -115,18 +120,19 @@ def _prefixes(docs, id_col, text_col, words, often) -> DataFrame:
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, firsts, maps = [], [], [], []
+            fps, hashes, sizes, firsts, maps = [], [], [], [], []
             for text in batch.column(1):
                 fp, tokens = sequence(text.as_py())
                 s = shingles(tokens, words)
                 fps.append(fp)
+                hashes.append(fingerprint(text.as_py()))
                 sizes.append(len(s))
                 firsts.append(prefix(s))
                 maps.append(bitmap(s))
-            columns = [batch.column(0), batch.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(maps, pa.binary()), pa.array([folded(m) for m in maps], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["__id", "__text_hash", "__fp", "n", "s", "m", "f"])
+            columns = [batch.column(0), batch.column(2), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, hashes)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(maps, pa.binary()), pa.array([folded(m) for m in maps], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["__id", "__text_hash", "__fp", "h", "n", "s", "m", "f"])
 
-    return _source(docs, id_col, text_col).mapInArrow(compute, "__id long, __text_hash long, __fp long, n int, s array<bigint>, m binary, f binary")
+    return _source(docs, id_col, text_col).mapInArrow(compute, "__id long, __text_hash long, __fp long, h long, n int, s array<bigint>, m binary, f binary")
 
 
 def _sets(docs, id_col, text_col, words, wanted=None) -> DataFrame:
@@ -184,6 +190,20 @@ def meetings(keys, fps, sizes, places, classes, folds) -> tuple[np.ndarray, np.n
     return found[:, 0], found[:, 1]
 
 
+def proposed(texts: DataFrame) -> DataFrame:
+    """(a, b): pairs that span the groups of SimHashes ``h`` at three or fewer differing bits, texts named by ``__fp``.
+
+    Texts of one fingerprint are held against the least of them, and the least
+    ones of linked fingerprints against each other.
+    """
+    heads = stage(texts.groupBy("h").agg(F.min("__fp").alias("head")), "simhashes")
+    alike = texts.join(heads, "h").where(F.col("__fp") != F.col("head")).select(F.col("head").alias("a"), F.col("__fp").alias("b"))
+    links = stage(fingerprint_links(heads, "h", heads.count(), PROPOSED_EACH), "simhash-links")
+    side = lambda of, name: heads.select(F.col("h").alias(of), F.col("head").alias(name))
+    across = links.select(F.col("a").alias("ha"), F.col("b").alias("hb")).join(side("ha", "x"), "ha").join(side("hb", "y"), "hb")
+    return alike.union(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(__id, __text_hash, __class) of every row: classes are linked by Jaccard similarity 0.8 or more.
 
@@ -205,7 +225,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, made: list
     often = context.broadcast(_frequent(docs, id_col, text_col, words))
     rows = stage(_prefixes(docs, id_col, text_col, words, often), "prefixes")
     names = stage(rows.select("__id", "__text_hash", "__fp"), "names")
-    distinct = stage(rows.groupBy("__fp").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.first("m").alias("m"), F.first("f").alias("f")), "distinct-prefixes")
+    distinct = stage(rows.groupBy("__fp").agg(F.first("h").alias("h"), F.first("n").alias("n"), F.first("s").alias("s"), F.first("m").alias("m"), F.first("f").alias("f")), "distinct-prefixes")
     keep(names, distinct)
 
     elements = distinct.select("__fp", "n", F.posexplode("s").alias("place", "key"))
@@ -248,7 +268,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, made: list
         return shares.groupBy("__fp").agg(most.alias("most")).select(F.explode("most.first").alias("a"), F.col("__fp").alias("b"))
 
     # groups of copies hang together by few pairs, of each text and the least of each of its elements; only pairs across classes are left then
-    links = similar(chosen(elements.join(shared, "key").where(F.col("__fp") != F.col("first"))))
+    links = similar(proposed(distinct).union(chosen(elements.join(shared, "key").where(F.col("__fp") != F.col("first")))).distinct())
     roots = stage(components(links, "a", "b"), "roots")
     keep(names, distinct, shared, links, roots)
 

@@ -164,7 +164,7 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, wide: int = WIDE) -> list[tu
     return [(int(signed[a]), int(signed[b])) for a, b in forest.links]
 
 
-def fingerprint_links(distinct_fps: DataFrame, fp_col: str, n_fps: int) -> DataFrame:
+def fingerprint_links(distinct_fps: DataFrame, fp_col: str, n_fps: int, keys_each: int = KEYS_EACH) -> DataFrame:
     """(a, b): links between different fingerprints that span their components."""
     fp = F.col("fp")
     wild = F.col("wild")
@@ -185,7 +185,7 @@ def fingerprint_links(distinct_fps: DataFrame, fp_col: str, n_fps: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts_for(64 * n_fps, KEYS_EACH, spread), "key").mapInArrow(link, "a long, b long")
+    return rows.repartition(parts_for(64 * n_fps, keys_each, spread), "key").mapInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:

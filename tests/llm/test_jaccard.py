@@ -96,3 +96,26 @@ def test_a_class_that_holds_most_of_a_run_is_paired_with_the_others_only():
     classes = np.array([5] * 3000 + [1, 9])
     a, b = jaccard.meetings(keys, fps, np.full(3002, 9), np.zeros(3002, np.int64), classes, np.zeros((3002, jaccard.FOLDED // 64), np.uint64))
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(i, j) for i in range(3002) for j in (3000, 3001) if i < j}
+
+
+def test_the_stage_verifies_what_simhash_proposes(spark, monkeypatch):
+    """The fingerprints of the texts go through the SimHash operator, and what it proposes is verified and kept."""
+    from scatterlake.llm import simhash
+
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    rows = [(0, " ".join(base)), (1, " ".join([*base, "more"])), (2, " ".join(base[:-1])), (3, "something else altogether here"), (4, "")]
+    seen, whole = [], simhash.fingerprint_links
+
+    def told(distinct, fp, n, *each):
+        seen.append(sorted(r[fp] for r in distinct.collect()))
+        return whole(distinct, fp, n, *each)
+
+    monkeypatch.setattr(jaccard, "fingerprint_links", told)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert kept == plain_kept(rows) == [0, 3, 4]
+    assert seen == [sorted({int(np.uint64(simhash.fingerprint(t.encode())).view(np.int64)) for _, t in rows})]
+    texts = spark.createDataFrame([(1, 8), (2, 8), (3, 9), (4, 1 << 40), (5, (1 << 62) - 1)], "__fp long, h long")
+    pairs = {tuple(r) for r in jaccard.proposed(texts).collect()}
+    assert {(1, 2), (1, 3)} <= pairs <= {(1, 2), (1, 3), (1, 4), (3, 4)} and len(pairs) >= 3
