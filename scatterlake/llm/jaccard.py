@@ -236,7 +236,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, made: list
     def wanted_sets(wanted: DataFrame) -> DataFrame:
         """The whole sets of some texts. If their names are few, they go to the texts and no other set is made."""
         if wanted.count() <= NAMES:
-            few = context.broadcast(np.sort(np.array([r[0] for r in wanted.collect()], np.int64)))
+            few = context.broadcast(np.sort(wanted.toArrow().column(0).to_numpy()))
             return _sets(docs, id_col, text_col, words, few).dropDuplicates(["__fp"])
         return _sets(docs, id_col, text_col, words).join(wanted, "__fp", "left_semi").dropDuplicates(["__fp"])
 

@@ -19,7 +19,7 @@ from scatterlake.llm import kernels as K
 PLAIN = re.compile("[\t\n\r -&(-~À-ÖØ-öø-įı-ž]*")
 SPECIAL = "<|"
 MAX_WORDS = 1_000_000
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 GROUP = 1 << 18
 
 BLANK, LETTER, DIGIT, MARK = 0, 1, 2, 3

@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from scatterlake.llm import kernels as K
-from scatterlake.llm.common import discard_path, stage, thinned
+from scatterlake.llm.common import discard_path, parts_for, stage, thinned
 
 THRESHOLD = 0.3
 #: The bounds of the training sample: labelled ids, and features of their texts together (four bytes each).
 MAX_ROWS = 12_000
 MAX_FEATURES = 16_000_000
+#: Bytes of features that the driver fetches at once.
+FETCHED = 8 << 20
 BITS = 20
 
 
@@ -94,6 +96,29 @@ class Model:
         return bool(len(self.features)) or self.intercept != 0
 
 
+def gathered(rows: DataFrame, n: int) -> tuple[np.ndarray, list[tuple]]:
+    """The ``n`` features of (o, i, y, x) rows in one array, and (o, i, y, size, first features, place) of each row.
+
+    A few MB of rows come at a time: neither the driver's JVM nor Python holds
+    them all beside the array.
+    """
+    flat, keys, at = np.empty(n, np.int32), [], 0
+    for o, i, y, packed in rows.coalesce(parts_for(4 * n, FETCHED)).toLocalIterator():
+        x = np.frombuffer(packed, "<i4")
+        flat[at : at + len(x)] = x
+        keys.append((o, i, y, len(x), x[:16].tobytes(), at))
+        at += len(x)
+    return flat[:at], keys
+
+
+def occurrences(flat: np.ndarray, n: int) -> np.ndarray:
+    """How often each of 0..n-1 occurs; in pieces, as numpy widens what it counts to eight bytes."""
+    seen = np.zeros(n, np.int64)
+    for a in range(0, len(flat), n):
+        seen += np.bincount(flat[a : a + n], minlength=n)
+    return seen
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -140,32 +165,30 @@ def train(
     sizes = found.groupBy("o").agg(F.sum(F.octet_length("x") / 4).alias("n")).orderBy("o").collect()
     total = np.cumsum([r["n"] for r in sizes])
     fits = int(np.searchsorted(total, max_features, "right"))
-    got = found.where(F.col("o") <= sizes[fits - 1]["o"]) if fits else found.limit(0)
-    got = got.toArrow().combine_chunks()
-    discard_path(found)
     last = 1 << settings.bits
     ftrl = Ftrl(settings)
-    if got.num_rows:
-        column = got["x"].chunk(0)
-        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 4
-        data = column.buffers()[2]
-        flat = np.frombuffer(data, "<i4", ends[-1]) if data is not None else np.zeros(0, "<i4")
+    if fits:
+        n = int(total[fits - 1])
+        flat, keys = gathered(found.where(F.col("o") <= sizes[fits - 1]["o"]), n)
+        seen = occurrences(flat, last)
         # a feature's sum of gradients moves by at most one an example: those that
         # can't pass the L1 bound in all epochs have no weight and are left out
-        seen = np.bincount(flat[ends[0] :], minlength=last)
         can = seen * settings.epochs > settings.l1
-        keys = [got[c].to_pylist() for c in "oiy"]
+        examples, end = [], 0
+        for o, i, y, size, first, at in keys:  # in place: what stays is never longer than what was read
+            x = flat[at : at + size]
+            x = x[can[x]]
+            flat[end : end + len(x)] = x
+            examples.append((o, i, y, size, first, end, end + len(x)))
+            end += len(x)
         # rows of one id and label in the order of their features, whatever the partitions
-        order = sorted(range(len(ends) - 1), key=lambda r: (*(k[r] for k in keys), ends[r + 1] - ends[r], flat[ends[r] : ends[r] + 16].tobytes()))
-        examples = []
-        for r in order:
-            x = flat[ends[r] : ends[r + 1]]
-            if len(x):
-                examples.append((keys[2][r], np.append(x[can[x]], last).astype(np.int32)))
-        del got, column, data, flat
+        examples.sort()
         for _ in range(settings.epochs):
-            for y, x in examples:
-                ftrl.update(x, y)
+            for _, _, y, size, _, a, b in examples:
+                if size:
+                    ftrl.update(np.append(flat[a:b], np.int32(last)), y)
+        del flat
+    discard_path(found)
     every = ftrl.weights(np.arange(last + 1))
     kept = np.flatnonzero(every[:last])
     return Model(kept.astype(np.int32), every[kept].astype(np.float32), float(every[last]), settings)

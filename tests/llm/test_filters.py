@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scatterlake.llm import decontam, shards, toxicity
@@ -76,6 +78,19 @@ def test_toxicity_learns_words_and_never_held_out_labels(spark):
     assert {round(r["__score"], 6) for r in toxicity.score(docs.limit(5), empty).collect()} == {0.5}
 
 
+
+def test_toxicity_holds_its_sample_once_in_the_driver(spark):
+    docs = spark.range(1600).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 3000), i -> pmod(xxhash64(id, i), 90000)), ' ')").alias("text"))
+    labels = docs.select("doc_id", F.expr("cast(doc_id % 2 as int)").alias("toxic"))
+    settings = toxicity.Settings(bits=12, epochs=1)
+    n = docs.join(labels.where(~toxicity.held_out(F.col("doc_id"))), "doc_id").count()
+    tracemalloc.start()
+    toxicity.train(docs, labels, settings=settings)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # nearly all of the 4,096 features occur in each text, four bytes each
+    assert 3 * 4096 * n < peak < 1.5 * 4 * 4096 * n
+
 def test_sharding_round_trip(spark):
     rows = [(i, f"text {i}" * (i % 50), None if i % 9 == 0 else i % 5) for i in range(400)] + [(1, "text 1", 1), (None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, __part int").repartition(6)
