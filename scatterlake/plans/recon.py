@@ -66,17 +66,16 @@ def slice_tomo(spark, sf_dir):
 def line_search(spark, sf_dir):
     """(round, step, error): a search along the steepest descent of a0, several steps to a job, then the step that is taken."""
     problem, start = _problem(spark, sf_dir)
-    now = stage(O.gradients(problem, start, ["a0"]).withColumn("h_a0", -F.col("g_a0")), "direction")
-    at_zero = O.error(problem, start)
-    size = now.agg(F.sum(F.col("h_a0") * F.col("h_a0"))).first()[0]
+    state = O.Descent.at(problem, stage(O.packed(problem, start), "blocks"), ["a0"])
+    at_zero = state.errors([0.0])[0]
     tried = []
 
     def score(steps):
-        values = O.errors_along(problem, now, ["a0"], steps)
+        values = state.errors(steps)
         tried.extend((len(tried), float(s), float(v)) for s, v in zip(steps, values, strict=True))
         return values
 
-    step, value, _ = O.minimise(score, at_zero / size, at_zero, 4, 0.05)
+    step, value, _ = O.minimise(score, at_zero / state.size, at_zero, 4, 0.05)
     return spark.createDataFrame([*tried, (-1, float(step), float(value))], "trial int, step double, error double")
 
 

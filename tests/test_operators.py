@@ -181,3 +181,84 @@ def test_registration_and_peak_fit():
     p = K.fit_peak(x, 5 * np.exp(-(((x - 4) / 0.8) ** 2)) + 2 * x**-1.5 + 1)
     assert p[:3] == pytest.approx((5, 4, 0.8), rel=0.02)
     assert K.shell_correlation(a, a) == pytest.approx(1)
+
+
+def explode_simulated(made, projections, model):
+    """Images by a row for each voxel, projection and tap."""
+    from scatterlake.operators import geometry as G
+
+    q = G.directions(projections, generate.segments(model.sparkSession)).groupBy("p").pivot("seg", list(range(generate.SEGMENTS))).agg(F.first("qx").alias("qx"), F.first("qy").alias("qy"), F.first("qz").alias("qz"))
+    points = P.hit_points(model, projections, 5, 5, 5).select("*", *G.axis_columns()).join(q, "p")
+    values = [F.pow(M.amplitude(M.cosine_to(f"{k}_qx", f"{k}_qy", f"{k}_qz")), 2).alias(f"s{k}") for k in range(generate.SEGMENTS)]
+    return P.forward(points.select("p", "xp", "yp", *values), made.names("s"), 5, 5).where(" + ".join(made.names("s")) + " > 0")
+
+
+@pytest.fixture(scope="module")
+def tilted(spark):
+    """A cube under tilts up to 90 degrees, whose images are met by several blocks of one or two slices."""
+    grid = generate.voxels(spark, 5)
+    tilts = [(0, 0.0, 0.0, 0.0, 0.0), (1, 40.0, 20.0, 0.25, 0.5), (4, 90.0, 35.0, 0.0, -0.25), (7, 170.0, 10.0, -0.5, 0.0)]
+    poses = spark.createDataFrame(tilts, "p int, rot_x double, rot_y double, dx double, dy double")
+    truth = stage(grid.select(*O.KEY, *O.PARAMETERS), "truth")
+    measured = None
+    made = []
+    for slices in (5, 1, 2):
+        m = O.Problem.of(grid, poses, generate.segments(spark), grid, 5, 4, generate.SEGMENTS, slices=slices)
+        measured = measured or stage(explode_simulated(m, poses, truth), "measured")
+        m.images = measured
+        made.append(m)
+    return made, truth, poses
+
+
+def test_blocks_sum_images_as_single_rows_do(tilted):
+    made, truth, _ = tilted
+    key = ["p", "y", "x"]
+    want = made[0].images.orderBy(*key).toPandas().to_numpy()
+    for m in made:
+        got = O.simulate(m, truth).orderBy(*key).toPandas().to_numpy()
+        assert got.shape == want.shape and np.allclose(got, want, rtol=1e-12, atol=1e-12)
+
+
+def test_blocks_that_share_rows_find_what_one_block_finds(tilted):
+    made, truth, _ = tilted
+    start = stage(truth.select(*O.KEY, *((F.col(c) * 0.9).alias(c) for c in O.COEFFICIENTS), (F.col("theta") + 0.2).alias("theta"), "phi"), "start")
+    found = []
+    for m in made:
+        slopes = O.gradients(m, start, O.PARAMETERS).orderBy(*O.KEY).toPandas().to_numpy()
+        state = O.Descent.at(m, stage(O.packed(m, start), "blocks"), ["a0", "theta"], mu=0.01)
+        state.beta = 0.0
+        after = O.Descent.at(m, state.blocks, ["a0", "theta"], 0.0, 0.3, 0.01)
+        after.beta = 0.2
+        found.append((slopes, np.array([*state.errors([0.0, 0.3]), *after.errors([0.0, 0.1]), after.slope, after.size, after.squares(0.4)])))
+    assert found[0][1][1] == pytest.approx(found[0][1][2]) and found[0][1][0] > 0
+    for slopes, values in found[1:]:
+        assert np.allclose(slopes, found[0][0], rtol=1e-9, atol=1e-14)
+        assert np.allclose(values, found[0][1], rtol=1e-9)
+
+
+def test_unmeasured_pixels_count_nothing(tilted, problem):
+    made, truth, _ = tilted
+    start = stage(truth.withColumn("a0", F.col("a0") * 0.7), "start")
+    whole = O.error(made[1], start)
+    errors = []
+    for keep in (F.col("y") <= 3, F.col("y") > 3):
+        part = O.Problem(made[1].geometry, made[1].images.where(keep), made[1].segments, made[1].pixels)
+        errors.append(O.error(part, start))
+    assert min(errors) > 0 and sum(errors) == pytest.approx(whole)
+
+
+def shuffled(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_an_iteration_exchanges_few_rows(spark):
+    from scatterlake.plans import iterate
+
+    made, start = iterate._problem(spark, "/root/testdata/sf0.001")
+    before = set(shuffled(spark))
+    _, errors = O.conjugate_gradient(made, start, ["a0"], 1)
+    written = sum(v for k, v in shuffled(spark).items() if k not in before)
+    assert len(errors) == 2 and errors[1] < errors[0]
+    assert written < 5e6  # the voxels once, the measured images once
