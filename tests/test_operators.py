@@ -262,3 +262,20 @@ def test_an_iteration_exchanges_few_rows(spark):
     written = sum(v for k, v in shuffled(spark).items() if k not in before)
     assert len(errors) == 2 and errors[1] < errors[0]
     assert written < 5e6  # the voxels once, the measured images once
+
+
+def test_reconstruction_runs_as_long_as_the_reference_does(spark, monkeypatch):
+    from scatterlake.plans import iterate
+
+    monkeypatch.setattr(iterate, "_problem", lambda spark, sf_dir: (None, None))
+    asked = []
+    monkeypatch.setattr(O, "four_steps", lambda problem, start, iterations: (asked.append(iterations), (None, [1.0, 0.5]))[1])
+    assert iterate.recon_sh(spark, "").count() == 2
+    assert asked == [(10, 20, 20, 50)]
+
+
+def test_a_converged_search_ends(tilted):
+    made, truth, _ = tilted
+    start = stage(truth.withColumn("a0", F.col("a0") + F.when(F.col("iy") == 2, 0.01).otherwise(0.0)), "start")
+    _, errors = O.conjugate_gradient(made[0], start, ["a0"], 25)
+    assert 2 < len(errors) < 26 and errors == sorted(errors, reverse=True)
