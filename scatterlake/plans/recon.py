@@ -67,11 +67,11 @@ def line_search(spark, sf_dir):
     """(round, step, error): a search along the steepest descent of a0, several steps to a job, then the step that is taken."""
     problem, start = _problem(spark, sf_dir)
     state = O.Descent.at(problem, stage(O.packed(problem, start), "blocks"), ["a0"])
-    at_zero = state.errors([0.0])[0]
+    at_zero = state.errors([0.0])[0][0]
     tried = []
 
     def score(steps):
-        values = state.errors(steps)
+        values = [e for e, _ in state.errors(steps)]
         tried.extend((len(tried), float(s), float(v)) for s, v in zip(steps, values, strict=True))
         return values
 

@@ -229,8 +229,8 @@ def test_blocks_that_share_rows_find_what_one_block_finds(tilted):
         state.beta = 0.0
         after = O.Descent.at(m, state.blocks, ["a0", "theta"], 0.0, 0.3, 0.01)
         after.beta = 0.2
-        found.append((slopes, np.array([*state.errors([0.0, 0.3]), *after.errors([0.0, 0.1]), after.slope, after.size, after.squares(0.4)])))
-    assert found[0][1][1] == pytest.approx(found[0][1][2]) and found[0][1][0] > 0
+        found.append((slopes, np.array([*np.ravel(state.errors([0.0, 0.3])), *np.ravel(after.errors([0.0, 0.1])), after.slope, after.size])))
+    assert found[0][1][2:4] == pytest.approx(found[0][1][4:6]) and found[0][1][0] > 0
     for slopes, values in found[1:]:
         assert np.allclose(slopes, found[0][0], rtol=1e-9, atol=1e-14)
         assert np.allclose(values, found[0][1], rtol=1e-9)
@@ -279,3 +279,25 @@ def test_a_converged_search_ends(tilted):
     start = stage(truth.withColumn("a0", F.col("a0") + F.when(F.col("iy") == 2, 0.01).otherwise(0.0)), "start")
     _, errors = O.conjugate_gradient(made[0], start, ["a0"], 25)
     assert 2 < len(errors) < 26 and errors == sorted(errors, reverse=True)
+
+
+def test_regularisation_scan_is_the_reference_s(spark, monkeypatch):
+    from scatterlake.plans import iterate
+
+    monkeypatch.setattr(iterate, "_problem", lambda spark, sf_dir: (None, None))
+    asked = []
+    monkeypatch.setattr(O, "l_curve", lambda *given: (asked.append(given[2:]), [(1.0, 2.0, 3.0)])[1])
+    assert iterate.lcurve(spark, "").count() == 1
+    (wanted, weights, iterations), = asked
+    assert wanted == O.PARAMETERS and iterations == 10
+    assert np.allclose(np.log10(weights), np.linspace(-5, 10, 15))
+
+
+def test_heavier_weights_leave_a_larger_error_and_a_smaller_penalty(tilted):
+    made, truth, _ = tilted
+    start = stage(truth.withColumn("a0", F.col("a0") * 0.9), "start")
+    found = O.l_curve(made[0], start, ["a0"], [0.0, 1e-2, 1e8], 3)
+    assert [mu for mu, _, _ in found] == [0.0, 1e-2, 1e8]
+    assert found[0][1] < found[1][1] < found[2][1] and found[0][2] > found[1][2] > found[2][2] >= 0
+    again, _ = O.conjugate_gradient(made[0], start, ["a0"], 3, mu=1e-2)
+    assert found[1][1] == pytest.approx(O.error(made[0], again)) and found[1][2] == pytest.approx(again.agg(F.sum(F.col("a0") * F.col("a0"))).first()[0])
